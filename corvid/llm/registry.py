@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from corvid.llm.chat_format import op5_chat_formatting
 from corvid.llm.html_extract import op10_html_extraction
 from corvid.llm.license_scan import op1_license_scans
+from corvid.llm.ngram_join import op6_ngram_jaccard_join
 from corvid.llm.secret_scan import op8_secret_scans
+from corvid.llm.substring_dedup import op3_substring_dedup
 from corvid.llm.token_count import op9_token_counts
 
-OPERATORS = (op1_license_scans, op5_chat_formatting, op8_secret_scans, op9_token_counts, op10_html_extraction)
+OPERATORS = (op1_license_scans, op3_substring_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op8_secret_scans, op9_token_counts, op10_html_extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
