@@ -286,3 +286,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents at five words and a similarity of 0.75."""
     return ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, of several the first by its text's hash.
+
+    Rows with empty sets are linked with nothing and all stay. Repeated rows are one.
+    """
+    found = ngram_components(docs, k, percent).select("doc_id", "__k1", "__k2", F.col("component_id").alias("__to"), (F.col("n_shingles") == 0).alias("__blank"))
+    mine = F.struct("doc_id", "__k1", "__k2")
+    one = found.where("not __blank").groupBy("__to", F.when(F.col("__to").isNull(), F.col("__k1")).alias("__own")).agg(F.min(mine).alias("x")).select("x.*")
+    kept = one.unionByName(found.where("__blank").select("doc_id", "__k1", "__k2")).distinct().withColumnRenamed("doc_id", "__id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select("*", *content_key(text))
+    rows = keyed.join(kept, (keyed["__k1"] == kept["__k1"]) & (keyed["__k2"] == kept["__k2"]) & keyed["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    return rows.select(*docs.columns)

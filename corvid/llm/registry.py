@@ -7,14 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corvid.llm.chat_format import op5_chat_formatting
+from corvid.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
 from corvid.llm.html_extract import op10_html_extraction
 from corvid.llm.license_scan import op1_license_scans
+from corvid.llm.mixing import mix_sql, op7_mixing
 from corvid.llm.ngram_join import op6_ngram_jaccard_join
+from corvid.llm.quality_rules import op2_quality_rules
 from corvid.llm.secret_scan import op8_secret_scans
 from corvid.llm.substring_dedup import op3_substring_dedup
 from corvid.llm.token_count import op9_token_counts
 
-OPERATORS = (op1_license_scans, op3_substring_dedup, op5_chat_formatting, op6_ngram_jaccard_join, op8_secret_scans, op9_token_counts, op10_html_extraction)
+OPERATORS = (
+    op1_license_scans,
+    op2_quality_rules,
+    op3_substring_dedup,
+    op4_benchmark_decontamination,
+    op5_chat_formatting,
+    op6_ngram_jaccard_join,
+    op7_mixing,
+    op8_secret_scans,
+    op9_token_counts,
+    op10_html_extraction,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_benchmark_decontamination": OP4_SQL, "op7_mixing": mix_sql()}
