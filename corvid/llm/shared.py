@@ -2,56 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SPACES = r"[\x20\x09-\x0D]+"
-_own_folder: str | None = None
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
-    global _own_folder
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="corvid-")
-    return f"file://{_own_folder}"
+from corvid.plans.scratch import table, written
 
+__all__ = ["SPACES", "content_key", "in_slices", "mix", "sliding", "table", "utf8", "window_hashes", "word_hashes", "written"]
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
-
-    The table is removed when the driver ends, as the caller's result may still read it before.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/corvid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-    except Exception:  # the JVM may have ended already; the folder is the cluster's to clear then
-        pass
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 def content_key(*columns: Column) -> list[Column]:
