@@ -55,7 +55,7 @@ def read_passages(spark: SparkSession, path: str, limit: int | None = None) -> D
 
 def normalise_reviews(rows: DataFrame, least: int = 20) -> DataFrame:
     """id, text (title and text), meta from review rows; texts of `least` characters or fewer go."""
-    has = lambda *names: first_filled(*(F.col(n) for n in names if n in rows.columns), F.lit(""))
+    has = lambda *names: F.coalesce(first_filled(*(F.col(n) for n in names if n in rows.columns)), F.lit(""))
     text = F.trim(F.concat(has("title", "Title"), F.lit(" "), has("text", "Text", "Body")))
     meta = F.struct(*((F.col(n) if n in rows.columns else F.lit(None).cast(t)).alias(a) for n, a, t in (("asin", "asin", "string"), ("rating", "rating", "double"), ("verified_purchase", "verified", "boolean"))))
     return rows.select(has("id", "review_id").alias("id"), text.alias("text"), meta.alias("meta")).where(F.length("text") > least)
