@@ -99,8 +99,10 @@ def _cells(centres: np.ndarray, probes: int):
     return run
 
 
-def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 12, cells: int | None = None, with_self: bool = False) -> DataFrame:
-    """As knn_exact, but a query looks only at the `probes` cells nearest to it; every vector is in the index.
+def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.65, cells: int | None = None, with_self: bool = False) -> DataFrame:
+    """As knn_exact, but a query looks only at that share of the cells that is nearest to it; every vector is in the index.
+
+    The default gives a recall of 0.9 and more on vectors without structure; clustered ones need far less.
 
     Cells are cut into parts of about PART vectors by a hash of vec_id, and each (query, cell) goes to each part, so a
     cell of any size is spread over tasks. Queries and vectors meet in a join on (cell, part) and k rows a query are kept there.
@@ -113,7 +115,7 @@ def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, probes: int = 1
     indexed = put(vectors, "vec_id", 1)
     sizes = indexed.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     rows = indexed.join(F.broadcast(sizes), "cell").select("cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), "id", "embedding")
-    asked = put(queries, "query_id", min(probes, len(centres))).join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "embedding")
+    asked = put(queries, "query_id", max(1, round(share * len(centres)))).join(F.broadcast(sizes), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "id", "embedding")
     both = rows.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "id")
     near = both.mapInArrow(_search(k, with_self), "query_id bigint, vec_id bigint, distance double")
     return top_k(near, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
