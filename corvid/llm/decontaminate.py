@@ -82,20 +82,3 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     ids = docs.select("doc_id", *content_key(F.coalesce("text", F.lit(""))))
     return ids.join(found, ["__k1", "__k2"]).select("doc_id", "item_id", "n_matched", "n_item", "containment")
 
-
-OP4_SQL = r"""
-WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
-), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
-), its AS (
-  SELECT DISTINCT item_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
-), n AS (
-  SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id
-)
-SELECT ds.doc_id, its.item_id, count(*)::BIGINT AS n_matched, any_value(n.n_item)::BIGINT AS n_item, count(*) / any_value(n.n_item) AS containment
-FROM ds JOIN its USING (s) JOIN n ON n.item_id = its.item_id
-GROUP BY ds.doc_id, its.item_id HAVING count(*) * 100 >= any_value(n.n_item) * 75
-"""

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvid.llm import sql
 from corvid.llm.chat_format import op5_chat_formatting
-from corvid.llm.decontaminate import OP4_SQL, op4_benchmark_decontamination
+from corvid.llm.decontaminate import op4_benchmark_decontamination
 from corvid.llm.html_extract import op10_html_extraction
 from corvid.llm.license_scan import op1_license_scans
 from corvid.llm.mixing import mix_sql, op7_mixing
@@ -36,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": OP4_SQL, "op7_mixing": mix_sql()}
+    return {"op3_substring_dedup": sql.OP3, "op5_chat_formatting": sql.OP5, "op6_ngram_jaccard_join": sql.OP6, "op4_benchmark_decontamination": sql.OP4, "op7_mixing": mix_sql()}
