@@ -339,13 +339,22 @@ def scheduler_stats(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(F.sum("n").alias("n_requests"), F.count("*").alias("n_batches"), F.round(F.sum("n") / F.count("*"), 6).alias("avg_batch"))
 
 
-@query()
+#: The events of each kind in order, and a fold over them as a recursion.
+_STEPS = "e AS MATERIALIZED (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn, epoch_us(ts) / 1e6::DOUBLE AS t, floor(value)::BIGINT AS tok, user_id AS item, user_id % 90 + 10 AS size, event_id FROM events)"
+_ADMISSION = f"""WITH RECURSIVE {_STEPS}, r AS (
+SELECT DISTINCT event_type, 0::BIGINT AS rn, NULL::BIGINT AS request_id, NULL::VARCHAR AS decision, []::STRUCT(t DOUBLE, n BIGINT)[] AS win FROM events
+UNION ALL SELECT event_type, rn, event_id, decision, CASE WHEN decision = 'admitted' THEN list_append(w, {{'t': t, 'n': tok}}) ELSE w END FROM (
+SELECT *, CASE WHEN len(w) / 3600.0::DOUBLE >= 0.002::DOUBLE THEN 'qps' WHEN (coalesce(list_sum(list_transform(w, lambda x: x.n)), 0) + tok) / 3600.0::DOUBLE > 0.2::DOUBLE THEN 'tokens' ELSE 'admitted' END AS decision FROM (
+SELECT e.*, list_filter(r.win, lambda x: e.t - x.t <= 3600) AS w FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1)))"""
+
+
+@query(f"{_ADMISSION} SELECT event_type, request_id, decision FROM r WHERE rn > 0")
 def admission_replay(spark: SparkSession, d: str) -> DataFrame:
     rows = _requests(spark, d).select("event_type", serving.micros("created_at").alias("micros"), "request_id", "tokens")
     return serving.replay_admission(rows, "event_type", qps=0.002, token_rate=0.2, seconds=3600.0).select("event_type", "request_id", "decision")
 
 
-@query()
+@query(f"{_ADMISSION} SELECT event_type, count(*) AS n, count(*) FILTER (decision = 'admitted') AS admitted, count(*) FILTER (decision = 'qps') AS over_qps, count(*) FILTER (decision = 'tokens') AS over_tokens, round(1 - count(*) FILTER (decision = 'admitted') / count(*), 6) AS reject_rate FROM r WHERE rn > 0 GROUP BY event_type")
 def admission_stats(spark: SparkSession, d: str) -> DataFrame:
     n = lambda v: F.sum(F.when(F.col("decision") == v, 1).otherwise(0))
     return admission_replay(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), n("admitted").alias("admitted"), n("qps").alias("over_qps"), n("tokens").alias("over_tokens"), F.round(1 - n("admitted") / F.count("*"), 6).alias("reject_rate"))
@@ -356,7 +365,12 @@ def _accesses(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_type", serving.micros().alias("micros"), "event_id", F.col("user_id").alias("item"), (F.col("user_id") % 90 + 10).alias("tokens"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_STEPS}, r AS (
+SELECT DISTINCT event_type, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BOOLEAN AS hit, 0 AS evicted, []::STRUCT(k BIGINT, n BIGINT)[] AS held FROM events
+UNION ALL SELECT event_type, rn, event_id, hit, (len(w) - len(kept))::INTEGER, kept FROM (
+SELECT *, list_filter(w, lambda x, i: list_sum(list_transform(w[i:], lambda y: y.n)) <= 2000) AS kept FROM (
+SELECT e.*, len(list_filter(r.held, lambda x: x.k = e.item)) > 0 AS hit, list_append(list_filter(r.held, lambda x: x.k <> e.item), {{'k': e.item, 'n': e.size}}) AS w FROM r JOIN e ON e.event_type = r.event_type AND e.rn = r.rn + 1)))
+SELECT event_type, event_id, hit, evicted, list_sum(list_transform(held, lambda x: x.n))::BIGINT AS total_tokens FROM r WHERE rn > 0""")
 def lru_replay(spark: SparkSession, d: str) -> DataFrame:
     return serving.replay_lru(_accesses(spark, d), "event_type", 2000).select("event_type", "event_id", "hit", "evicted", "total_tokens")
 
