@@ -178,3 +178,23 @@ def queue_state(operations: DataFrame) -> DataFrame:
 def pop_order(queue: DataFrame, largest: bool = False) -> DataFrame:
     """queue with the place in which each key would be popped; ties by key."""
     return global_row_number(queue, [F.desc("score") if largest else F.asc("score"), F.asc("key")], "place")
+
+
+def wrong_updates(operations: DataFrame) -> DataFrame:
+    """(seq, key, problem) of operations (seq, op, key, score) that a strict queue refuses: pushes of a known key, changes and
+    deletes of an unknown one, decreases to no lower and increases to no higher a score (an equal one is no change)."""
+    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.coalesce(F.last(F.when(F.col("op").isin("push", "delete"), F.col("op")), ignorenulls=True).over(w) == "push", F.lit(False))
+    score = F.last("score", ignorenulls=True).over(w)
+    problem = (
+        F.when((F.col("op") == "push") & known, "duplicate key")
+        .when((F.col("op") != "push") & ~known, "unknown key")
+        .when((F.col("op") == "decrease") & (F.col("score") > score), "not lower")
+        .when((F.col("op") == "increase") & (F.col("score") < score), "not higher")
+    )
+    return operations.select("seq", "key", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
+def complete(requests: DataFrame, done: DataFrame) -> DataFrame:
+    """Requests without those that are done (request_id)."""
+    return requests.join(done.select("request_id").distinct(), "request_id", "left_anti")
