@@ -1,12 +1,15 @@
 """n-gram Jaccard join: documents linked when their sets of word 5-grams overlap enough.
 
 Candidates: linked sets have Jaccard similarity t or more, so each of the union's smallest hashes is in both sets with
-probability t; of the SKETCH = 32 smallest, linked sets share SHARED = 3 or more but for a chance under 1e-15 at 0.75.
-Sets that share a sketch hash form a group; groups are cut into blocks of bounded rows and bytes.
+probability t; of the SKETCH = 64 smallest, linked sets share SHARED = 20 or more but for a chance under 1e-12 at 0.75
+(of smaller sets they share t of all). So of a set's shared hashes, in order of their frequency, the SHARED - 1 most
+frequent ones aren't needed: linked sets meet at another. That keeps passages that many documents share out of the
+search. Sets that share one of the others form a group; groups are cut into blocks of bounded rows and bytes.
 In a block a signature tree is built: leaves and inner nodes hold the OR of token bitmaps and the range of set sizes. Two
 trees (or one with itself) are walked together; node pairs whose largest possible overlap is too small are left out, as
-are pairs already joined. What remains is verified on the exact sets. A first pass, with one group per document,
-contracts groups of copies; the second looks at the remaining groups only where they hold several components.
+are pairs already joined. What remains is verified on the exact sets. Two passes contract groups of copies, with one
+group per document and with one document per component and group; the last looks at all documents of the groups that
+still hold several components.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corvid.llm.shared import content_key, in_slices, mix, table, utf8, window_hashes, word_hashes, written
 
-SKETCH, SHARED = 32, 3
-BLOCK_ROWS, BLOCK_TOKENS = 1024, 1 << 21
+SKETCH, SHARED = 64, 20
+BLOCK_ROWS, BLOCK_TOKENS = 4096, 1 << 21
 LEAF, FAN = 8, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -52,7 +55,7 @@ def _fingerprints(h: np.ndarray, first: np.ndarray) -> list[bytes]:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, __k1, __k2 (of the text), n, cid (the set's fingerprint), sketch (its smallest hashes)."""
+    """doc_id, __k1, __k2 (of the text), n, print (the set's fingerprint), sketch (its smallest hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
@@ -60,16 +63,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             small = [h[a : min(z, a + SKETCH)].view(np.int64) for a, z in zip(first, first[1:], strict=False)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("__k1"), b.column("__k2"), pa.array(np.diff(first)), pa.array(_fingerprints(h, first), pa.binary()), pa.array(small, pa.list_(pa.int64()))],
-                ["doc_id", "__k1", "__k2", "n", "cid", "sketch"],
+                ["doc_id", "__k1", "__k2", "n", "print", "sketch"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __k1 bigint, __k2 bigint, n bigint, cid binary, sketch array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, __k1 bigint, __k2 bigint, n bigint, print binary, sketch array<bigint>")
 
 
 class Tree:
     """Signature tree over sets sorted by size; level 0 has the sets, each level above nodes of FAN (LEAF at first)."""
 
-    def __init__(self, sets: list[np.ndarray], width: int):
+    def __init__(self, sets: list[np.ndarray], width: int, met: np.ndarray):
         bits = np.zeros((len(sets), width // 8), np.uint8)
         for row, s in zip(bits, sets, strict=True):
             at = (s & np.uint64(width - 1)).astype(np.int64)
@@ -78,10 +81,13 @@ class Tree:
         #: tokens of a set less its bits: what several tokens at one bit can add to an overlap
         spare = n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [(bits, n, n, spare)]
+        #: bits that all rows below a node have in `met`: nodes with a common one hold pairs that have met alone
+        self.met = [met]
         while len(self.levels[-1][1]) > 1:
             bits, lo, hi, spare = self.levels[-1]
             at = np.arange(0, len(lo), LEAF if len(self.levels) == 1 else FAN)
             self.levels.append((np.bitwise_or.reduceat(bits, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(spare, at)))
+            self.met.append(np.bitwise_and.reduceat(self.met[-1], at))
 
     def children(self, level: int, node: int) -> np.ndarray:
         fan = LEAF if level == 1 else FAN
@@ -91,8 +97,8 @@ class Tree:
 class Joined:
     """Union-find over the rows of a block."""
 
-    def __init__(self, labels: list[bytes]):
-        seen: dict[bytes, int] = {}
+    def __init__(self, labels: list[int]):
+        seen: dict[int, int] = {}
         self.up = [seen.setdefault(x, i) for i, x in enumerate(labels)]
 
     def root(self, x: int) -> int:
@@ -113,9 +119,9 @@ class Joined:
 
 
 def _possible(a: Tree, la: int, xs: np.ndarray, b: Tree, lb: int, ys: np.ndarray, percent: int) -> np.ndarray:
-    """Which of the node pairs (xs[i], ys[i]) can hold sets that are similar enough, by sizes and bitmaps."""
+    """Which of the node pairs (xs[i], ys[i]) can hold sets that are similar enough and haven't met, by sizes and bitmaps."""
     (bits_a, lo_a, hi_a, spare_a), (bits_b, lo_b, hi_b, spare_b) = a.levels[la], b.levels[lb]
-    ok = (100 * hi_a[xs] >= percent * lo_b[ys]) & (100 * hi_b[ys] >= percent * lo_a[xs])
+    ok = (100 * hi_a[xs] >= percent * lo_b[ys]) & (100 * hi_b[ys] >= percent * lo_a[xs]) & ~(a.met[la][xs] & b.met[lb][ys]).any(axis=1)
     at = np.flatnonzero(ok)
     if len(at):
         x, y = xs[at], ys[at]
@@ -130,10 +136,23 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def join_block(sets: list[np.ndarray], labels: list[bytes], side: np.ndarray, crossed: bool, percent: int) -> list[tuple[int, int]]:
-    """Links that join the block's labels: all pairs of the rows, or those of side 0 with side 1 if crossed."""
+def _masks(earlier: list[np.ndarray]) -> np.ndarray:
+    """For each row the bits of its groups before this one: rows with a common bit have met there."""
+    known, at = np.unique(np.concatenate(earlier), return_inverse=True)
+    bits = np.zeros((len(earlier), max(1, -(-len(known) // 8))), np.uint8)
+    row = np.repeat(np.arange(len(earlier)), [len(x) for x in earlier])
+    np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def join_block(sets: list[np.ndarray], labels: list[int], side: np.ndarray, crossed: bool, percent: int, earlier: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Links that join the block's labels: all pairs of the rows, or those of side 0 with side 1 if crossed.
+
+    earlier: the groups before this one in which each row is; pairs that have one in common are left to it.
+    """
     links: list[tuple[int, int]] = []
     joined = Joined(labels)
+    met = _masks(earlier) if earlier is not None else np.zeros((len(sets), 1), np.uint8)
     # Within a factor of 2 in size bitmaps have one width; larger sets stand beside smaller ones of the class below too.
     sizes = np.array([len(s) for s in sets])
     classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(int)
@@ -144,8 +163,8 @@ def join_block(sets: list[np.ndarray], labels: list[bytes], side: np.ndarray, cr
         if not len(left) or not len(right):
             continue
         width = max(64, 8 << int(c))
-        a = Tree([sets[i] for i in left], width)
-        b = Tree([sets[i] for i in right], width) if crossed else a
+        a = Tree([sets[i] for i in left], width, met[left])
+        b = Tree([sets[i] for i in right], width, met[right]) if crossed else a
         stack = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
         while stack:
             la, x, lb, y = stack.pop()
@@ -168,19 +187,19 @@ def join_block(sets: list[np.ndarray], labels: list[bytes], side: np.ndarray, cr
 
 
 def _block_links(percent: int):
-    """Links found in each block; a block's rows, (h, p, q, side, cid, label, tokens), stand together."""
+    """Links found in each block; a block's rows, (h, p, q, side, cid, label, earlier, tokens), stand together."""
 
-    def solve(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
         h, p, q = rows[0][:3]
-        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sets, earlier = [np.frombuffer(r[7], np.uint64) for r in rows], [np.array(r[6], np.int64) for r in rows]
         side = np.array([r[3] for r in rows])
-        found = join_block(sets, [r[5] for r in rows], side, p != q, percent)
+        found = join_block(sets, [r[5] for r in rows], side, p != q, percent, earlier)
         return [(rows[i][4], rows[j][4]) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
-            links: list[tuple[bytes, bytes]] = []
+            links: list[tuple[int, int]] = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if rows and rows[-1][:3] != r[:3]:
                     links += solve(rows)
@@ -189,26 +208,27 @@ def _block_links(percent: int):
             yield pack(links)
         yield pack(solve(rows) if rows else [])
 
-    def pack(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+    def pack(links: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
 def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the sets of each group: rows (h, cid, label, n) of which one group may hold any share.
+    """Links (a, b) among the sets of each group: rows (h, cid, label, n, earlier) of which one group may hold any share.
 
     A group of more than BLOCK_ROWS rows or BLOCK_TOKENS tokens is cut into parts by a hash of cid; each pair of parts is a
     block, so a task holds two parts at most and no pair of a group is lost.
     """
     size = groups.groupBy("h").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
+    groups = groups.drop("n")
     cut = groups.join(size.where("rows > 1").select("h", parts.alias("parts")), "h")
     mine = F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("parts")).cast("int")
     dealt = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = dealt.select("h", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid", "label")
-    full = blocks.join(sets.select("cid", "tokens"), "cid").select("h", "p", "q", "side", "cid", "label", "tokens")
-    return full.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_block_links(percent), "a binary, b binary")
+    blocks = dealt.select("h", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid", "label", "earlier")
+    full = blocks.join(sets.select("cid", "tokens"), "cid").select("h", "p", "q", "side", "cid", "label", "earlier", "tokens")
+    return full.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_block_links(percent), "a bigint, b bigint")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -235,6 +255,25 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "cid", "left").withColumn("label", F.coalesce("root", "cid")).drop("root")
 
 
+def _tied(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots with further links."""
+    return components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(links))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows (h, cid, n, df, needed, label) of groups with several labels, as far as linked sets need them to meet."""
+    several = rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("h")
+    order = Window.partitionBy("cid").orderBy(F.desc("df"), "h")
+    found = rows.join(several, "h").withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.col("needed"))
+    return written(found.select("h", "cid", "n", "label"), "open")
+
+
+def _unlike(rows: DataFrame) -> DataFrame:
+    """Rows (h, cid, n, label) of groups with several members; of groups with the same members one."""
+    alike = rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(F.lit(3), "cid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(9), "cid")).alias("x"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m")
+    return rows.join(alike.groupBy("rows", "s", "x").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+
+
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
     """doc_id, __k1, __k2 (content_key of the text), n_shingles, component_id (smallest doc_id reachable) per row of docs.
 
@@ -245,14 +284,16 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     source = docs.select("doc_id", *content_key(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     base = written(sketches(source, k), "sketches")
     row = F.struct("doc_id", "__k1", "__k2")
-    classes = written(base.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    tokens = classes.select("cid", "n", F.explode("sketch").alias("h"))
+    classes = base.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # as written, the numbers stay
+    needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)).cast("int")
+    tokens = classes.select("cid", F.explode("sketch").alias("h"))
     runs = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    mine = Window.partitionBy("cid")
-    shared = tokens.join(runs, "h").withColumn("hits", F.count("*").over(mine)).where(F.col("hits") >= SHARED)
-    shared = written(shared, "shared")
+    hits = written(tokens.join(runs, "h"), "hits")
+    enough = hits.groupBy("cid").agg(F.count("*").alias("hits")).join(classes.select("cid", "n", needed.alias("needed")), "cid").where("hits >= needed")
+    shared = written(hits.join(enough, "cid"), "shared")
     # The exact sets of all classes with enough shared hashes, each from one row's text.
-    need = shared.select("cid").distinct().join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("__id"), F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
+    need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("__id"), F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
     texts = source.join(need, (source["__k1"] == need["__k1"]) & (source["__k2"] == need["__k2"]) & source["doc_id"].eqNullSafe(need["__id"])).groupBy("cid").agg(F.first("text").alias("text"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,26 +301,24 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
             h, first = shingle_sets(utf8(b, "text"), k)
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([h[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)], pa.binary())], ["cid", "tokens"])
 
-    sets = written(texts.mapInArrow(full, "cid binary, tokens binary"), "sets")
-    # First pass: documents with half their sketch shared, each in the group of its smallest shared hash alone.
+    sets = written(texts.mapInArrow(full, "cid bigint, tokens binary"), "sets")
+    # First pass: sets with half their sketch shared, each in the group of its smallest shared hash alone.
     strong = shared.where(F.col("hits") * 2 >= F.least(F.col("n"), F.lit(SKETCH))).groupBy("cid", "n").agg(F.min("h").alias("h"))
-    links = written(block_links(strong.withColumn("label", F.col("cid")), sets, percent), "links")
-    roots = components(links)
-    # Second pass: groups with several components; a set's SHARED - 1 most frequent hashes aren't needed, as linked sets
-    # share SHARED, and of groups with the same members one is enough.
-    open_rows = _labelled(shared.drop("hits"), roots)
-    several = open_rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("h")
-    ordered = Window.partitionBy("cid").orderBy(F.desc("df"), "h")
-    open_rows = written(open_rows.join(several, "h").withColumn("place", F.row_number().over(ordered)).where(F.col("place") >= SHARED).drop("place", "df"), "open")
-    member = F.xxhash64(F.lit(3), "cid")
-    alike = open_rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum(member.cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(9), "cid")).alias("x")).where("rows > 1")
-    one = alike.groupBy("rows", "s", "x").agg(F.min("h").alias("h")).select("h")
-    more = block_links(open_rows.join(one, "h", "left_semi"), sets, percent)
-    roots = components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(more))
+    none = F.array().cast("array<bigint>")
+    roots = components(block_links(strong.withColumns({"label": F.col("cid"), "earlier": none}), sets, percent))
+    # Second pass: of each group one set of each component, another one in each group.
+    first = _several(_labelled(shared, roots))
+    some = first.groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
+    roots = _tied(roots, block_links(_unlike(some).withColumn("earlier", none), sets, percent))
+    # Last pass: all sets of the groups that hold several components; two sets are compared in the first group of both.
+    rest = _unlike(_several(_labelled(shared, roots)))
+    before = rest.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("all"))
+    rest = rest.join(before, "cid").withColumn("earlier", F.filter("all", lambda x: x < F.col("h"))).drop("all")
+    roots = _tied(roots, block_links(rest, sets, percent))
     labelled = _labelled(classes.select("cid", "least"), roots)
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "label").select("cid", "component_id")
-    out = base.join(named, "cid", "left")
+    named = labelled.join(ids, "label").select("cid", "component_id").join(classes.select("cid", "print"), "cid")
+    out = base.join(named, "print", "left")
     return out.select("doc_id", "__k1", "__k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
 
 
@@ -294,8 +333,8 @@ def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     Rows with empty sets are linked with nothing and all stay. Repeated rows are one.
     """
     found = ngram_components(docs, k, percent).select("doc_id", "__k1", "__k2", F.col("component_id").alias("__to"), (F.col("n_shingles") == 0).alias("__blank"))
-    mine = F.struct("doc_id", "__k1", "__k2")
-    one = found.where("not __blank").groupBy("__to", F.when(F.col("__to").isNull(), F.col("__k1")).alias("__own")).agg(F.min(mine).alias("x")).select("x.*")
+    mine = F.struct(F.col("doc_id").isNull().alias("__last"), "doc_id", "__k1", "__k2")
+    one = found.where("not __blank").groupBy("__to", F.when(F.col("__to").isNull(), F.col("__k1")).alias("__own")).agg(F.min(mine).alias("x")).select("x.doc_id", "x.__k1", "x.__k2")
     kept = one.unionByName(found.where("__blank").select("doc_id", "__k1", "__k2")).distinct().withColumnRenamed("doc_id", "__id")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.select("*", *content_key(text))
