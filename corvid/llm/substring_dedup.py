@@ -53,7 +53,7 @@ def _alive(batch: pa.RecordBatch, first: np.ndarray) -> np.ndarray | None:
 
 
 def _minimisers(length: int, window: int):
-    """Per document its distinct minimisers at this length and their number of places, times the text's copies."""
+    """Per document its distinct minimisers at this length and their number of places, times the text's copies; g: at the last length a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
@@ -68,9 +68,12 @@ def _minimisers(length: int, window: int):
             count = np.diff(np.append(new, len(h)))
             h, doc = h[new], doc[new]
             copies = np.asarray(b.column("copies"), np.int64) if "copies" in b.schema.names else np.ones(b.num_rows, np.int64)
-            second = window_hashes(words, first, length, salt=7)[0][at[new]] if length == window else np.zeros(len(h), np.uint64)
             keys = [pa.array(np.asarray(b.column(k), np.int64)[doc]) for k in ("__k1", "__k2")]
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(second.view(np.int64)), pa.array(count * copies[doc]), *keys], ["h", "g", "n", "__k1", "__k2"])
+            out, names = [pa.array(h.view(np.int64)), pa.array(count * copies[doc]), *keys], ["h", "n", "__k1", "__k2"]
+            if length == window:
+                out.append(pa.array(window_hashes(words, first, length, salt=7)[0][at[new]].view(np.int64)))
+                names.append("g")
+            yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
@@ -127,9 +130,11 @@ def find_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
     keyed = source.select(*content_key(F.col("text")), "text")
     rows, texts = keyed, keyed.groupBy("__k1", "__k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     for length in levels(window):
-        marks = written(rows.mapInArrow(_minimisers(length, window), "h bigint, g bigint, n bigint, __k1 bigint, __k2 bigint"), f"repeats-{length}")
-        again = marks.groupBy("h", "g").agg(F.sum("n").alias("n")).where("n > 1").select("h", "g")
-        found = marks.join(again, ["h", "g"], "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("h").alias("found"))
+        key = ["h", "g"] if length == window else ["h"]
+        # Computed for the counts and for the join: a table of them would take more disk than the texts they are from.
+        marks = rows.mapInArrow(_minimisers(length, window), "h bigint, n bigint, __k1 bigint, __k2 bigint" + ", g bigint" * (length == window))
+        again = marks.groupBy(*key).agg(F.sum("n").alias("n")).where("n > 1").select(*key)
+        found = marks.drop("n").join(again, key, "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("h").alias("found"))
         columns = "__k1 bigint, __k2 bigint, copies bigint, text string, starts binary"
         rows = texts = written(texts.join(found, ["__k1", "__k2"]).mapInArrow(_survivors(length, window), columns), f"candidates-{length}")
     return rows.mapInArrow(_kept(window), "__k1 bigint, __k2 bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
