@@ -61,11 +61,12 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent
     keyed = source.select(*content_key(F.col("text")), "text")
     marks = keyed.select("__k1", "__k2", F.explode(shingles(words(F.col("text")), k, F.xxhash64)).alias("h"))
     found = written(marks.join(sketches, "h").select("__k1", "__k2", "__i1", "__i2").distinct(), "found")
-    texts = keyed.join(found.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.first("text").alias("text"))
+    # Copies of a text are each verified, where they are: the join can split a text that a third of all rows have.
+    texts = keyed.join(found.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi")
     own = texts.select("__k1", "__k2", F.array_distinct(shingles(words(F.col("text")), k)).alias("own"))
     both = found.join(items.drop("hashes"), ["__i1", "__i2"]).join(own, ["__k1", "__k2"]).where(F.size("own") * 100 >= F.col("n_item") * percent)
     matched = both.select("__k1", "__k2", "item_id", F.size(F.array_intersect("shingles", "own")).cast("long").alias("n_matched"), F.col("n_item").cast("long").alias("n_item"))
-    return matched.where(F.col("n_matched") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_matched") / F.col("n_item"))
+    return matched.where(F.col("n_matched") * 100 >= F.col("n_item") * percent).distinct().withColumn("containment", F.col("n_matched") / F.col("n_item"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
