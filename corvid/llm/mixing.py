@@ -17,7 +17,7 @@ from corvid.llm.shared import SPACES, content_key, table, written
 
 LEAF = ["domain", "lang", "source"]
 #: Documents to a bucket of a leaf's order, about.
-BUCKET = 4096
+BUCKET = 512
 
 
 @dataclass(frozen=True)
