@@ -36,7 +36,19 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_folder(spark)}/corvid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table of written() on which nothing that is still to be computed depends."""
+    _remove(df.sparkSession, df.scratch_path)
+
+
+def release(spark: SparkSession) -> None:
+    """Frees the disk of finished jobs: their shuffle files go once the driver's JVM has collected what refers to them."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _remove(spark: SparkSession, path: str) -> None:
