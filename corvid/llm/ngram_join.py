@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import content_key, in_slices, mix, table, utf8, window_hashes, word_hashes, written
+from corvid.llm.shared import content_key, discard, in_slices, mix, release, table, utf8, window_hashes, word_hashes, written
 
 SKETCH, SHARED = 64, 20
 BLOCK_ROWS, BLOCK_TOKENS = 4096, 1 << 21
@@ -248,7 +248,8 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        edges = written(small, label)
+        old, edges = edges, written(small, label)
+        discard(old)
 
 
 def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -292,6 +293,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     hits = written(tokens.join(runs, "h"), "hits")
     enough = hits.groupBy("cid").agg(F.count("*").alias("hits")).join(classes.select("cid", "n", needed.alias("needed")), "cid").where("hits >= needed")
     shared = written(hits.join(enough, "cid"), "shared")
+    release(docs.sparkSession)
     # The exact sets of all classes with enough shared hashes, each from one row's text.
     need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("__id"), F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
     texts = source.join(need, (source["__k1"] == need["__k1"]) & (source["__k2"] == need["__k2"]) & source["doc_id"].eqNullSafe(need["__id"])).groupBy("cid").agg(F.first("text").alias("text"))
@@ -302,6 +304,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([h[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)], pa.binary())], ["cid", "tokens"])
 
     sets = written(texts.mapInArrow(full, "cid bigint, tokens binary"), "sets")
+    discard(hits)
+    release(docs.sparkSession)
     # First pass: sets with half their sketch shared, each in the group of its smallest shared hash alone.
     strong = shared.where(F.col("hits") * 2 >= F.least(F.col("n"), F.lit(SKETCH))).groupBy("cid", "n").agg(F.min("h").alias("h"))
     none = F.array().cast("array<bigint>")
@@ -310,11 +314,13 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     first = _several(_labelled(shared, roots))
     some = first.groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
     roots = _tied(roots, block_links(_unlike(some).withColumn("earlier", none), sets, percent))
+    release(docs.sparkSession)
     # Last pass: all sets of the groups that hold several components; two sets are compared in the first group of both.
     rest = _unlike(_several(_labelled(shared, roots)))
     before = rest.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("all"))
     rest = rest.join(before, "cid").withColumn("earlier", F.filter("all", lambda x: x < F.col("h"))).drop("all")
     roots = _tied(roots, block_links(rest, sets, percent))
+    release(docs.sparkSession)
     labelled = _labelled(classes.select("cid", "least"), roots)
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     named = labelled.join(ids, "label").select("cid", "component_id").join(classes.select("cid", "print"), "cid")

@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvid.plans.scratch import table, written
+from corvid.plans.scratch import discard, release, table, written
 
-__all__ = ["SPACES", "content_key", "in_slices", "mix", "sliding", "table", "utf8", "window_hashes", "word_hashes", "written"]
+__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "release", "sliding", "table", "utf8", "window_hashes", "word_hashes", "written"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 

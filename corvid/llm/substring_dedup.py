@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import SPACES, content_key, in_slices, sliding, table, utf8, window_hashes, word_hashes, written
+from corvid.llm.shared import SPACES, content_key, in_slices, release, sliding, table, utf8, window_hashes, word_hashes, written
 
 _MAX = np.iinfo(np.uint64).max
 
@@ -137,6 +137,7 @@ def find_repeats(docs: DataFrame, window: int = 35, text: str = "text") -> DataF
         found = marks.drop("n").join(again, key, "left_semi").groupBy("__k1", "__k2").agg(F.collect_set("h").alias("found"))
         columns = "__k1 bigint, __k2 bigint, copies bigint, text string, starts binary"
         rows = texts = written(texts.join(found, ["__k1", "__k2"]).mapInArrow(_survivors(length, window), columns), f"candidates-{length}")
+        release(docs.sparkSession)
     return rows.mapInArrow(_kept(window), "__k1 bigint, __k2 bigint, n_removed bigint, kept string, spans array<struct<start:bigint,end:bigint>>")
 
 
