@@ -1,8 +1,8 @@
 """Quality rules: repetition rules on each text, and line frequency across the documents of a host.
 
 Normalised lines are hashed; a line that stands in too many different documents of its host is boilerplate and is
-removed, and a document that has little left is rejected. Documents count as different by their smallest other line
-hash, so that a thousand copies or near copies of one text count once and don't turn its lines into boilerplate.
+removed, and a document that has little left is rejected. Exact copies of a text count as one document, so that they
+don't turn its lines into boilerplate; texts that differ at all, near copies too, are different documents.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def line_hash(line: bytes) -> int:
 
 
 def _lines(text: bytes) -> tuple[int, list[dict]]:
-    """Lines with a word that equal an earlier one, and per distinct normalised line its hash, words and smallest other hash."""
+    """Lines with a word that equal an earlier one, and per distinct normalised line its hash and words."""
     seen: set[bytes] = set()
     again, words = 0, {}
     for line in text.split(b"\n"):
@@ -50,12 +50,11 @@ def _lines(text: bytes) -> tuple[int, list[dict]]:
             seen.add(line)
             h = line_hash(line)
             words[h] = words.get(h, 0) + n
-    low = sorted(words)[:2]
-    return again, [{"h": h, "w": n, "o": 0 if len(low) < 2 else low[1] if h == low[0] else low[0]} for h, n in words.items()]
+    return again, [{"h": h, "w": n} for h, n in words.items()]
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64()), ("o", pa.int64())]))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
     for b in in_slices(batches, "text"):
         texts = utf8(b, "text")
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -94,16 +93,16 @@ def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text"
     removed lines), kept, gone (hashes of removed lines).
 
     A null text is empty, a null host is the host ''. Empty and blank texts have no words, so they fail. Repeated rows
-    and exact copies count as one document. No rows give no rows. Other columns, ids included, are not read.
+    and exact copies count as one document; each distinct text that has a line adds one to the line's count. No rows give no rows. Other columns, ids included, are not read.
     """
     source = keyed(docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), host="host")
     counts = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
-    all_rows = source.select("__k1", "__k2", "host", "text").mapInArrow(_features, f"__k1 bigint, __k2 bigint, host string, {counts}, lines array<struct<h:bigint,w:bigint,o:bigint>>")
+    all_rows = source.select("__k1", "__k2", "host", "text").mapInArrow(_features, f"__k1 bigint, __k2 bigint, host string, {counts}, lines array<struct<h:bigint,w:bigint>>")
     rest = [c for c in all_rows.columns if c not in ("__k1", "__k2")]
     texts = written(all_rows.groupBy("__k1", "__k2").agg(F.first(F.struct(*rest)).alias("x")).select("__k1", "__k2", "x.*"), "quality")
-    lines = texts.select("__k1", "__k2", "host", F.explode("lines").alias("x")).select("__k1", "__k2", "host", "x.h", "x.w", "x.o")
+    lines = texts.select("__k1", "__k2", "host", F.explode("lines").alias("x")).select("__k1", "__k2", "host", "x.h", "x.w")
     hosts = texts.groupBy("host").agg((F.count("*") * rules.percent / 100).alias("share"))
-    often = lines.select("host", "h", "o").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.documents)
+    often = lines.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > rules.documents)
     often = often.join(hosts, "host").where(F.col("n") > F.col("share")).select("host", "h")
     gone = lines.join(often, ["host", "h"]).groupBy("__k1", "__k2").agg(F.sum("w").alias("n_line_words"), F.collect_list("h").alias("gone"))
     failed = (F.col("n_words") < rules.least_words) | (100 * F.col("n_repeat_words") > rules.repeated * F.col("n_words"))

@@ -75,6 +75,17 @@ def test_quality_line_frequency(spark):
     assert quality_rules.apply_quality(few).count() == 9
 
 
+def test_quality_lines_that_stand_together(spark):
+    rng = random.Random(3)
+    own = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(30)]
+    menu = "\n".join(f"{x} of our {x}s" for x in ("Start", "List", "Map", "Rule", "Name", "Form", "Plan", "Event"))
+    pages = [f"Page {k} of the list, one line in each of these documents here" for k in range(10, 25)]
+    texts = [f"{menu}\n{o}" for o in own] + pages + own[:9]
+    docs = spark.createDataFrame([(k, t, "src0") for k, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.apply_quality(docs).collect()}
+    assert got == dict(enumerate(own)) | {45 + k: own[k] for k in range(9)}
+
+
 def test_substring_dedup(spark, folder, rows):
     same(registry.queries()["op3_substring_dedup"](spark, f"{folder}/all").select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), brute.without_repeats(pairs(rows)))
 
