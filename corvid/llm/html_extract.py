@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs give points for length and commas to their ancestors (all to the parent, half to its parent, then less);
-an element's points are discounted by the share of its text that stands in links. The best element, widened to the
+an element's points are discounted by the share of its text that stands in links. Elements named as no article (sidebar,
+header, comments and so on) and forms are left out, but not those that hold the page's article. The best element, widened to the
 article or main element around it, and siblings that score well themselves are the article.
 """
 
@@ -22,7 +23,7 @@ from corvid.llm.shared import in_slices, table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript noembed noframes iframe xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-UNWANTED = frozenset("applet audio button canvas datalist dialog embed footer form frame frameset head iframe input label map menu nav noscript object option script select style svg template textarea title video aside".split())
+UNWANTED = frozenset("applet audio button canvas datalist dialog embed footer frame frameset head iframe input label map menu nav noscript object option script select style svg template textarea title video aside".split())
 CLOSES_P = BLOCKS - frozenset("html body caption option summary tbody td tfoot th thead tr".split())
 #: An element of these ends open elements of the second list, up to one of the third.
 IMPLIED = {
@@ -37,6 +38,10 @@ NAMES = frozenset(
     "share sharing social related recommended recommendations sidebar sidenav rail widget comment comments commentlist respond disqus reply replies menu nav navbar navigation navlinks breadcrumb breadcrumbs pagination pager "
     "footer header masthead topbar toolbar login search skip paywall outbrain taboola tags".split()
 )
+#: Those of NAMES that stay what they are however much text they hold.
+COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+#: `with-sidebar` and the like tell what stands beside an article.
+BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")
 WANTED = frozenset(("article", "main", "body", "html"))
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -49,10 +54,13 @@ class Node:
     tag: str
     parent: Node | None = None
     unwanted: bool = False
+    named: str = ""
     children: list = field(default_factory=list)
     score: float = 0.0
     length: int = 0
     linked: int = 0
+    plain: int = 0
+    holds: bool = False
 
 
 def _unwanted(tag: str, rest: str, parent: Node) -> bool:
@@ -66,11 +74,56 @@ def _unwanted(tag: str, rest: str, parent: Node) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and any(w in NAMES for w in re.split(r"[^a-z]+", value)):
-            return True
     return False
 
 
+def _named(tag: str, rest: str, parent: Node) -> str:
+    """The word that marks the element as no article, if any; `form` for forms. Within an article a header is its own."""
+    if tag == "form":
+        return tag
+    if not rest or tag in WANTED and tag != "article":
+        return ""
+    for m in ATTRIBUTE.finditer(rest):
+        if m[1].lower() in ("class", "id"):
+            words = NAMES.intersection(re.split(r"[^a-z]+", BESIDE.sub(" ", html.unescape(m[2] or m[3] or m[4] or "").lower())))
+            if "header" in words and _within(parent, ("article", "main")):
+                words -= {"header"}
+            if words:
+                return min(words, key=lambda w: (w not in COMMENTS, w))
+    return ""
+
+
+def _drop_named(root: Node) -> None:
+    """Marks named elements as unwanted but those that are or hold the page's article, judged by text outside links."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += [c for c in x.children if isinstance(c, Node) and not c.unwanted]
+    for x in reversed(order):
+        x.plain = sum(len(c.strip()) if isinstance(c, str) else 0 if c.unwanted or c.tag == "a" else c.plain for c in x.children)
+        x.holds = x.tag in ("article", "main") or any(isinstance(c, Node) and not c.unwanted and c.holds for c in x.children)
+    # Articles under no named element, the outermost ones: what they hold speaks against a named element beside them.
+    beside, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if x.tag in ("article", "main"):
+            beside.append(x)
+        elif not x.named:
+            stack += [c for c in x.children if isinstance(c, Node) and not c.unwanted]
+    stack = [(root, None)]
+    while stack:
+        x, around = stack.pop()
+        if x.named and not (x.tag == "article" and (around is None or around.tag == "main")):
+            others = sum(a.plain for a in beside if a is not around)
+            least = 0.8 * around.plain if around is not None else root.plain / (4 if x.holds and not others else 2)
+            if x.named in COMMENTS or x.plain <= least or 4 * others >= x.plain:
+                x.unwanted = True
+                continue
+        inner = x if x.tag == "article" or x.tag == "main" and around is None else around
+        stack += [(c, inner) for c in x.children if isinstance(c, Node) and not c.unwanted]
+
+
 def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
     while node is not None:
         if node.tag in tags:
@@ -127,7 +180,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 now = last.parent
-        new = Node(tag, now, now.unwanted or _unwanted(tag, m[3], now))
+        new = Node(tag, now, now.unwanted or _unwanted(tag, m[3], now), _named(tag, m[3], now))
         now.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -187,8 +240,13 @@ def _measure(root: Node) -> list[Node]:
 
 
 def extract(page: str | None) -> str:
-    """The article's blocks, joined by empty lines; "" if the page has no text."""
+    """The article's blocks, joined by empty lines; "" if the page has no text. Names count for nothing if they leave none."""
     root = parse(page or "")
+    _drop_named(root)
+    return _article(root) or _article(parse(page or ""))
+
+
+def _article(root: Node) -> str:
     order = _measure(root)
     for text, owner in _blocks([root], lambda x: True):
         if owner is None or owner.tag not in PARAGRAPHS and owner.tag not in ("div", "section", "article", "main", "body"):

@@ -315,3 +315,21 @@ def test_html_extraction(spark, folder):
     assert html_extract.extract("<article><table><tr><td>a<td>b</table><p>c") == "a\n\nb\n\nc"
     got = {(r["page_id"], r["url"], r["text"], r["n_chars"]) for r in registry.queries()["op10_html_extraction"](spark, f"{folder}/all").collect()}
     assert got == {(1, "u", "x", 1), (2, None, "", 0), (None, "v", "", 0)}
+
+
+def test_html_names_do_not_drop_the_article():
+    long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
+    text, rest = f"<p>{long}</p>", "<div class='sidebar'><p>Aside.</p></div><div id='comments'><p>A comment, long, and longer than all else on this page, yes, by far, and on it goes, and on.</p></div>"
+    for page in (
+        f"<div class='content with-sidebar'><article>{text}</article></div>{rest}",
+        f"<article class='post has-comments'>{text}{rest}</article>",
+        f"<article class='post sidebar-left'>{text}</article>{rest}",
+        f"<div id='page-header-wrap'><div>{text}</div>{rest}</div>",
+        f"<div id='page-header-wrap'><article>{text}</article>{rest}</div>",
+        f"<form action=x><input name=y><div>{text}</div>{rest}</form>",
+        f"<main><div class='content-tags'>{text}</div></main>{rest}",
+    ):
+        assert html_extract.extract(f"<html><body>{page}</body></html>") == long, page
+    assert html_extract.extract(f"<article><div class='entry-header'><h1>Title</h1></div>{text}<form>Mail <input></form>{rest}</article>") == f"Title\n\n{long}"
+    assert html_extract.extract(f"<div class='widget'>{text}</div><div class='widget'>{text}</div>") == f"{long}\n\n{long}"
+    assert html_extract.extract(f"<article>{text}</article><div class='cookie'>{text}{text}</div>") == long
