@@ -3,7 +3,8 @@
 Paragraphs give points for length and commas to their ancestors (all to the parent, half to its parent, then less);
 an element's points are discounted by the share of its text that stands in links. Elements named as no article (sidebar,
 header, comments and so on) and forms are left out, but not those that hold the page's article. The best element, widened to the
-article or main element around it, and siblings that score well themselves are the article.
+article or main element around it, and siblings that score well themselves are the article; without such an element, so
+are headings, lists, tables and other text beside the best one and those around it, unless half of it stands in links.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ COMMENTS = frozenset("comment comments commentlist respond disqus reply replies"
 BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")
 WANTED = frozenset(("article", "main", "body", "html"))
 PARAGRAPHS = frozenset("p pre blockquote td li dd figcaption".split())
+#: Blocks that are of the article where they stand beside its text.
+PROSE = frozenset("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6 hgroup header details".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 LOOSE = re.compile(r"</?[A-Za-z][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -246,6 +249,13 @@ def extract(page: str | None) -> str:
     return _article(root) or _article(parse(page or ""))
 
 
+def _beside(x: Node | str, least: float) -> bool:
+    """Whether x beside the best element or one around it is of the article: by its score, or as text that is not mostly links."""
+    if isinstance(x, str):
+        return True
+    return not x.unwanted and (x.score >= least or (x.tag in PROSE or x.tag not in BLOCKS) and 2 * x.linked <= x.length and x.tag != "a")
+
+
 def _article(root: Node) -> str:
     order = _measure(root)
     for text, owner in _blocks([root], lambda x: True):
@@ -269,14 +279,15 @@ def _article(root: Node) -> str:
             best = up
         up = up.parent
     top = [best]
-    if best.parent is not None and best.tag not in ("main", "body", "html", "#root"):
+    if best.tag not in ("article", "main"):
+        least, x = max(10.0, best.score * 0.2), best
+        while x.parent is not None and x.tag not in WANTED and x.tag != "#root" and (x is best or x.parent.tag not in WANTED and x.parent.tag != "#root"):
+            at = next(k for k, c in enumerate(x.parent.children) if c is x)
+            before, after = ([c for c in part if _beside(c, least)] for part in (x.parent.children[:at], x.parent.children[at + 1 :]))
+            top, x = [*before, *top, *after], x.parent
+    elif best.parent is not None and best.tag == "article":
         least = max(10.0, best.score * 0.2)
-        top = []
-        for c in best.parent.children:
-            if c is best:
-                top.append(c)
-            elif isinstance(c, Node) and not c.unwanted and (c.score >= least or c.tag == "p" and c.length > 80 and c.linked < 0.25 * c.length):
-                top.append(c)
+        top = [c for c in best.parent.children if c is best or isinstance(c, Node) and not c.unwanted and (c.score >= least or c.tag == "p" and c.length > 80 and c.linked < 0.25 * c.length)]
     return "\n\n".join(text for text, _ in _blocks(top, lambda x: True))
 
 

@@ -333,3 +333,10 @@ def test_html_names_do_not_drop_the_article():
     assert html_extract.extract(f"<article><div class='entry-header'><h1>Title</h1></div>{text}<form>Mail <input></form>{rest}</article>") == f"Title\n\n{long}"
     assert html_extract.extract(f"<div class='widget'>{text}</div><div class='widget'>{text}</div>") == f"{long}\n\n{long}"
     assert html_extract.extract(f"<article>{text}</article><div class='cookie'>{text}{text}</div>") == long
+
+
+def test_html_text_beside_the_best_element():
+    long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
+    links = "<ul><li><a href=x>One</a></ul><p><a href=y>Two</a></p>"
+    page = f"<body><div class=site>{links}</div><div class=post><h1>T</h1><div class=wrap><ul><li>Item</ul><div class=text>{3 * f'<p>{long}</p>'}</div>loose <b>end</b><pre>code</pre><table><tr><td>Cell</table>{links}</div><p>Short end.</p></div><p>Below</p></body>"
+    assert html_extract.extract(page) == f"T\n\nItem\n\n{long}\n\n{long}\n\n{long}\n\nloose end\n\ncode\n\nCell\n\nShort end."
