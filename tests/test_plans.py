@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvid.operators import lexical, serving, sketch
-from corvid.plans import harness, search
+from corvid.plans import catalog, harness, search
 from corvid.sources import sinks
 
 
@@ -54,3 +54,10 @@ def test_refused_updates(spark):
     assert got == {2: "duplicate key", 4: "not lower", 5: "unknown key", 7: "unknown key"}
     left = serving.complete(spark.createDataFrame([(1,), (2,)], "request_id bigint"), spark.createDataFrame([(2,), (9,)], "request_id bigint"))
     assert [r[0] for r in left.collect()] == [1]
+
+
+def test_recall_takes_every_label(spark, tmp_path):
+    rows = [(100 * k, [float(k), 1.0], label) for k, label in enumerate([3, 3, 12, 12, 12, -1, -1, None, None])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = {r["query_id"] // 100: r["hits"] for r in catalog.QUERIES["recall_at_k"](spark, f"file://{tmp_path}").collect()}
+    assert got == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 7: 0, 8: 0}
