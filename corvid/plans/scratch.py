@@ -5,11 +5,16 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
+_scopes: list[list[str]] = []
+#: Whether an execution's shuffle files are removed once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where none is set, one of our own in local mode alone."""
     global _own_folder
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: a cluster needs a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="corvid-")
     return f"file://{_own_folder}"
@@ -30,12 +37,21 @@ def scratch_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
-    The table is removed when the driver ends, as the caller's result may still read it before.
+    The shuffle files of the plan that computes it go as soon as it is written. The table is removed with the scope() it is
+    in, else when the driver ends, as the caller's result may still read it before.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/corvid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -46,6 +62,17 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df.scratch_path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the scratch tables written in it: for results that have been written themselves by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Frees the disk of finished jobs: their shuffle files go once the driver's JVM has collected what refers to them."""
     spark.sparkContext._jvm.System.gc()
