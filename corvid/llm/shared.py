@@ -7,12 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.plans.scratch import discard, release, table, written
 
-__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "release", "sliding", "table", "utf8", "window_hashes", "word_hashes", "written"]
+__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "release", "sliding", "span_hashes", "table", "utf8", "window_hashes", "with_keys", "word_hashes", "written"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -23,6 +23,25 @@ def content_key(*columns: Column) -> list[Column]:
     return [F.xxhash64(F.lit(salt), *filled).alias(name) for salt, name in ((11, "__k1"), (29, "__k2"))]
 
 
+#: Into how many parts the rows of frequent keys are dealt in all, at most.
+PARTS = 20_000
+
+
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+    """rows whose `on` is in keys: (on, n), a written table without repeated or null keys, n at least the rows of each.
+
+    A key with more than a PARTS-th of what all keys hold is dealt over tasks by `spread`, each with its copy of the key.
+    There are under PARTS such keys, as their n add up to no more than the whole, and under 2 * PARTS copies: these alone
+    are broadcast.
+    """
+    unit = keys.agg(F.ceil(F.sum(n) / PARTS).cast("long")).first()[0] or 1
+    hot = keys.where(F.col(n) > unit).select(*on, F.ceil(F.col(n) / unit).cast("int").alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(F.lit(41), *spread), "__parts"), F.lit(0)).cast("int")).drop("__parts")
+    parts = F.when(F.col(n) > unit, F.ceil(F.col(n) / unit)).otherwise(1).cast("int")
+    copies = keys.select(*on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return dealt.join(copies, [*on, "__part"], "left_semi").drop("__part")
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts hold about `most` bytes (one longer text stands alone)."""
     for batch in batches:
@@ -111,6 +130,13 @@ def sliding(values: np.ndarray, w: int, pick=np.minimum) -> np.ndarray:
     return pick(back[: n - w + 1], ahead[w - 1 : n])
 
 
+def span_hashes(words: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+    """A 64-bit hash of the words from each start to its end (exclusive)."""
+    w = mix(words + np.uint64(salt))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * _powers(_Q, len(words)), dtype=np.uint64)))
+    return mix((sums[end] - sums[start]) * _powers(_Q1, len(words) + 1)[start] + (end - start).astype(np.uint64))
+
+
 def utf8(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The column's texts as UTF-8 bytes; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
