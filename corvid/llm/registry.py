@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": sql.OP3, "op5_chat_formatting": sql.OP5, "op6_ngram_jaccard_join": sql.OP6, "op4_benchmark_decontamination": sql.OP4, "op7_mixing": mix_sql()}
+    return {"op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op5_chat_formatting": sql.OP5, "op6_ngram_jaccard_join": sql.OP6, "op4_benchmark_decontamination": sql.OP4, "op7_mixing": mix_sql()}

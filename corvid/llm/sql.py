@@ -57,3 +57,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(24 + length({_ESCAPE.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")}) + length({_ESCAPE.format("text")}))::BIGINT AS formatted_chars
 FROM c GROUP BY conv_id
 """
+
+_OP2_SPACES = r"[\x20\x09-\x0D]+"
+OP2 = rf"""
+WITH a AS (SELECT doc_id, coalesce(source::VARCHAR, '') AS host, coalesce(text, '') AS t FROM documents),
+x AS (SELECT row_number() OVER () AS r, host, t, list_filter(regexp_split_to_array(t, '{_OP2_SPACES}'), lambda x: x <> '') AS w FROM (SELECT DISTINCT host, t FROM a)),
+win AS (SELECT r, p, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS p FROM x WHERE len(w) >= 5)),
+twice AS (SELECT r, s FROM win GROUP BY r, s HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 5)) AS q FROM win JOIN twice USING (r, s)) GROUP BY r),
+ln AS (SELECT r, host, l, trim(regexp_replace(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '{_OP2_SPACES}', ' ', 'g')) AS norm FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS l FROM x)),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM ln WHERE norm <> '' GROUP BY r),
+docs_of AS (SELECT host, count(*) AS docs FROM x GROUP BY host),
+often AS (SELECT host, norm FROM ln JOIN docs_of USING (host) WHERE norm <> '' GROUP BY host, norm, docs HAVING count(DISTINCT r) > 10 AND count(DISTINCT r) > docs * 1.0 / 100),
+lost AS (SELECT r, sum(length(norm) - length(replace(norm, ' ', '')) + 1) AS n FROM ln JOIN often USING (host, norm) GROUP BY r),
+v AS (SELECT host, t, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda y: length(y))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS n_line_words FROM x LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN lost USING (r)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM v)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept, n_line_words
+FROM a JOIN f USING (host, t)
+"""
