@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -18,9 +17,16 @@ KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Candidates that are no secrets: UUIDs, placeholders, one repeated unit, plain paths and dashed words.
-ALLOWED = re.compile(r"(?ai)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}|.*(example|sample|dummy|placeholder|changeme|xxxx|0000).*|(.{1,8}?)\2{2,}|[a-z]+([-_/][a-z]+)*[0-9]{0,4}|[0-9_=/+-]+")
+#: Runs that may be random strings; `=` is padding at their end, else it parts a name from its value.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Candidates that are no secrets: UUIDs, the key that public manuals show, one repeated unit, numbers, plain paths and dashed words.
+ALLOWED = re.compile(
+    r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(.{1,8}?)\1{2,}|[0-9_=/+-]+"
+    r"|[-_/]?(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-_/](?:[A-Za-z]?[a-z]+|[A-Z]+))*[0-9]{0,4}"
+)
+#: Parts of a candidate, between separators, that hold one of these words are placeholders; what is beside them is scanned.
+PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|placeholder|changeme")
+SHORTEST = 20
 
 
 @dataclass(frozen=True)
@@ -31,16 +37,24 @@ class EntropyRule:
     hexadecimal: float = 3.1
     alphanumeric: float = 3.75
     base64: float = 3.75
+    letters: float = 3.9
 
 
-def _class_of(s: str) -> str | None:
-    """hexadecimal, alphanumeric or base64; None if its letters and digits are too few for a random string."""
+def class_of(s: str) -> str | None:
+    """hexadecimal, alphanumeric, base64 or letters; None if s can't be told from words.
+
+    Letters alone count as random if at least two in five neighbours differ in case, which words and joined words don't;
+    letters of one case never do.
+    """
     digits = sum(c.isdigit() for c in s)
-    if not digits or digits == len(s):
+    mixed = any(c.isupper() for c in s) and any(c.islower() for c in s)
+    if digits == len(s):
         return None
+    if not digits:
+        turns = sum(x.isupper() != y.isupper() for x, y in zip(s, s[1:], strict=False) if x.isalpha() and y.isalpha())
+        return "letters" if mixed and 5 * turns >= 2 * (len(s) - 1) else None
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
         return "hexadecimal"
-    mixed = any(c.isupper() for c in s) and any(c.islower() for c in s)
     if s.isalnum():
         return "alphanumeric" if mixed or digits >= len(s) // 8 else None
     return "base64" if mixed else None
@@ -73,8 +87,40 @@ def entropy_spans(s: str, window: int, bits: float) -> list[tuple[int, int]]:
     return spans
 
 
+def _candidates(text: str) -> Iterator[tuple[int, str]]:
+    """Start and text of each string whose entropy is looked at: candidates without what the allow-list takes away."""
+    for m in CANDIDATE.finditer(text):
+        s = m[0]
+        if ALLOWED.fullmatch(s):
+            continue
+        if not PLACEHOLDER.search(s):
+            yield m.start(), s
+            continue
+        at = 0
+        for part in [*re.finditer(r"[A-Za-z0-9]+", s), None]:
+            if part is None or PLACEHOLDER.search(part[0]):
+                end = part.start() if part else len(s)
+                if end - at >= SHORTEST and not ALLOWED.fullmatch(s, at, end):
+                    yield m.start() + at, s[at:end]
+                at = part.end() if part else end
+
+
+def _union(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """What the sorted spans (start, kind, end) cover, as intervals in order."""
+    out: list[list[int]] = []
+    for a, _, b in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def scan_text(text: str | None, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, int]]:
-    """(start, kind's place in KINDS, end) of each find, sorted; entropy finds only where no pattern has found."""
+    """(start, kind's place in KINDS, end) of each find, sorted; entropy finds without what patterns have found.
+
+    One sweep over the text's candidates and the patterns' finds, both in order.
+    """
     text = text or ""
     found = []
     if ":" in text or "=" in text:
@@ -82,22 +128,27 @@ def scan_text(text: str | None, rule: EntropyRule = EntropyRule()) -> list[tuple
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    known = sorted(found)
-    for m in CANDIDATE.finditer(text):
-        kind = _class_of(m[0])
-        if kind is None or ALLOWED.fullmatch(m[0]):
+    known = _union(sorted(found))
+    k = 0
+    for start, s in _candidates(text):
+        kind = class_of(s)
+        if kind is None:
             continue
-        for a, b in entropy_spans(m[0], rule.window, getattr(rule, kind)):
-            a, b = a + m.start(), b + m.start()
-            if not any(s < b and a < e for s, _, e in known):
+        for a, b in entropy_spans(s, rule.window, getattr(rule, kind)):
+            a, b = a + start, b + start
+            while k < len(known) and known[k][1] <= a:
+                k += 1
+            j = k
+            while j < len(known) and known[j][0] < b:
+                if a < known[j][0]:
+                    found.append((a, 3, known[j][0]))
+                a = known[j][1]
+                j += 1
+            if a < b:
                 found.append((a, 3, b))
     return sorted(found)
 
 
-def joined(found: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
-
-
 def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), text: str = "text") -> DataFrame:
     """docs' rows with spans array<struct<kind,start,end>> (code points, end exclusive) in place of all other columns but doc_id.
 
@@ -115,19 +166,20 @@ def find_secrets(docs: DataFrame, rule: EntropyRule = EntropyRule(), text: str =
 
 
 def redact(docs: DataFrame, rule: EntropyRule = EntropyRule(), mark: str = "[SECRET]") -> DataFrame:
-    """docs with each span of its texts replaced by `mark`, overlapping spans as one; n_chars follows, all else stays."""
+    """docs with each span of its texts replaced by `mark`, spans that overlap or touch as one; n_chars follows, all else stays.
+
+    Null and empty texts stay as they are, and so do repeated rows; no rows give no rows.
+    """
 
     def clean(t: str | None) -> str | None:
         found = scan_text(t, rule)
         if not found:
             return t
-        out, at, until = [], 0, 0
-        for a, _, b in found:
-            if a >= until:
-                out += [t[max(at, until) : a], mark]
-            until = max(until, b)
-            at = until
-        return "".join([*out, t[until:]])
+        out, at = [], 0
+        for a, b in _union(found):
+            out += [t[at:a], mark]
+            at = b
+        return "".join([*out, t[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
@@ -143,16 +195,8 @@ def redact(docs: DataFrame, rule: EntropyRule = EntropyRule(), mark: str = "[SEC
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of find_secrets over all documents."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [[], [], [], [], []]
-            for spans in b.column("spans").to_pylist():
-                found = [(s["start"], KINDS.index(s["kind"]), s["end"]) for s in spans]
-                base = [x for x in found if x[1] < 3]
-                row = [sum(x[1] == k for x in base) for k in range(3)] + [hashlib.sha256(joined(base).encode()).hexdigest(), joined(found)]
-                for o, v in zip(out, row, strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(o, pa.int64()) for o in out[:3]), *(pa.array(o, pa.string()) for o in out[3:])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-
-    return find_secrets(table(spark, sf_dir, "documents")).mapInArrow(digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    found = find_secrets(table(spark, sf_dir, "documents"))
+    line = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] != KINDS[3])
+    return found.select("doc_id", *(number(k).alias(f"n_{k}") for k in KINDS[:3]), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
