@@ -1,9 +1,12 @@
 """Plain models of the contracts, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+from corvid.llm import secret_scan
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -102,3 +105,43 @@ def chats(rows):
         whole = "".join(f"{role}\n{text}\n" for _, _, role, text in all_turns)
         out.append((conv, len(all_turns), hashlib.sha256(whole.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()))
     return out
+
+
+def all_secrets(t):
+    """base_secrets and the entropy finds, each window's entropy by its definition."""
+    t = t or ""
+    base = base_secrets(t)
+    known = {x for a, _, b in base for x in range(a, b)}
+    found = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t):
+        s = m[0]
+        if secret_scan.ALLOWED.fullmatch(s):
+            continue
+        words = [w.span() for w in re.finditer(r"[A-Za-z0-9]+", s) if re.search("example|sample|dummy|placeholder|changeme", w[0].lower())]
+        held = {x for a, b in words for x in range(a, b)}
+        for a, b in runs(x for x in range(len(s)) if x not in held):
+            part = s[a:b]
+            kind = secret_scan.class_of(part)
+            if len(part) < 20 or kind is None or held and secret_scan.ALLOWED.fullmatch(part):
+                continue
+            bits, hot = getattr(secret_scan.EntropyRule(), kind), set()
+            for i in range(len(part) - 19):
+                count = Counter(part[i : i + 20])
+                if -sum(n / 20 * math.log2(n / 20) for n in count.values()) >= bits - 1e-9:
+                    hot |= set(range(m.start() + a + i, m.start() + a + i + 20))
+            found += [(x, 3, y) for x, y in runs(hot - known)]
+    return sorted(found)
+
+
+def runs(places):
+    out = []
+    for x in sorted(places):
+        if out and out[-1][1] == x:
+            out[-1][1] = x + 1
+        else:
+            out.append([x, x + 1])
+    return out
+
+
+def joined(found):
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in found)

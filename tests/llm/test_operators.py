@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -246,12 +247,54 @@ def test_mixing_equals_sql(spark, folder):
 
 
 def test_secret_scan(spark, folder, rows):
-    got = registry.queries()["op8_secret_scans"](spark, f"{folder}/all").collect()
-    expected = []
+    rng = random.Random(12)
+    key = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    letters, word = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz0123456789"
+    more = []
+    for _ in range(60):
+        parts = [rng.choice(["token=", "sample_access=", "/example/", "AKIA", "id-", "a dummy ", ""]) + key(rng.choice([18, 20, 32, 70]), rng.choice([letters, word, letters + "0123456789+/", "0123456789abcdef"])) for _ in range(4)]
+        more.append(rng.choice([" ", "\n", "_", ": "]).join(parts))
+    given = pairs(rows) + [(1000 + k, t) for k, t in enumerate(more)]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string")
+    found = {k: [] for k in ("op", "brute")}
+    found["op"] = [(r["doc_id"], [(s["start"], secret_scan.KINDS.index(s["kind"]), s["end"]) for s in r["spans"]]) for r in secret_scan.find_secrets(docs).collect()]
+    found["brute"] = [(i, brute.all_secrets(t)) for i, t in given]
+    same([(i, brute.joined(x)) for i, x in found["op"]], [(i, brute.joined(x)) for i, x in found["brute"]])
+    assert sum(k == 3 for _, x in found["op"] for _, k, _ in x) > 60
+    got, expected = registry.queries()["op8_secret_scans"](spark, f"{folder}/all").collect(), []
     for i, t in pairs(rows):
         base = brute.base_secrets(t)
-        expected.append((i, *(sum(k == x for _, k, _ in base) for x in range(3)), hashlib.sha256(secret_scan.joined(base).encode()).hexdigest()))
-    same([r[:5] for r in got], expected)
+        digest = hashlib.sha256(brute.joined(base).encode()).hexdigest()
+        expected.append((i, *(sum(k == x for _, k, _ in base) for x in range(3)), digest, brute.joined(brute.all_secrets(t))))
+    columns = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    same([tuple(r[c] for c in columns) for r in got], expected)
+
+
+def test_allow_list_takes_placeholders_alone():
+    key = "k9Qz7Lw2Vb0000Kt8Rm1Yp6Nc3Hd5Jf0Gs"
+    assert secret_scan.scan_text(key) == [(0, 3, len(key))]
+    assert secret_scan.scan_text(f"/example/{key}")[0][2] == 9 + len(key)
+    assert secret_scan.scan_text(f"sample_access={key}")[0][0] == 14
+    for plain in ("0" * 28, "the-quick-brown-fox-jumps", "HashMapEntryIteratorFactoryBean", f"{'example' * 4}", "550e8400-e29b-41d4-a716-446655440000"):
+        assert secret_scan.scan_text(plain) == []
+    assert secret_scan.scan_text("qZxKwLvBtRmYpNcHdJfGsAeUoIqWzXrTyPl") == [(0, 3, 35)]
+
+
+def test_secret_scan_and_token_trees_are_linear_in_a_text():
+    lines = lambda n: "\n".join(f"{k * 7919:032x} {k * 104729:09d} a@b.org some words" for k in range(n))
+    with open(token_count.VOCABULARY, "rb") as f:
+        count = token_count.Counter(f.read())
+
+    def seconds(n):
+        text, start = lines(n), time.perf_counter()
+        secret_scan.scan_text(text)
+        tree = token_count.PieceTree(text, count)
+        for change in reversed(token_count.masking_edits(text)):
+            tree.edit(*change)
+        return time.perf_counter() - start
+
+    seconds(500)
+    assert seconds(32_000) < 30 * seconds(4_000)  # 8 times the text
 
 
 def test_entropy_spans_equal_direct_sum():
@@ -291,12 +334,29 @@ def test_token_counts_follow_edits(spark, folder, rows):
     for _ in range(300):
         tree = token_count.PieceTree("".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 5, 50, 900]))), count)
         for _ in range(6):
-            a = rng.randint(0, len(tree.text))
-            tree.edit(a, min(len(tree.text), a + rng.randint(0, rng.choice([0, 2, 90]))), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 4))))
+            old = tree.text
+            a, new = rng.randint(0, len(old)), "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 4)))
+            b = min(len(old), a + rng.randint(0, rng.choice([0, 2, 90])))
+            tree.edit(a, b, new)
+            assert tree.text == old[:a] + new + old[b:]
             assert tree.total == whole(tree.text) and tree.chars[1] == len(tree.text)
+            tree = token_count.PieceTree(tree.text, count, tree.kept())
     long = token_count.PieceTree("some words of text " * 5000, count)
     long.edit(40_000, 40_004, "other")
-    assert long.rescanned < 60
+    assert long.rescanned < 600
+
+
+def test_versions_are_counted_from_kept_trees(spark, rows):
+    docs = spark.createDataFrame(pairs(rows), "doc_id bigint, text string")
+    upper = lambda t: [(0, 1, "Now "), (len(t) // 2, len(t) // 2, " inserted 7 words")] if len(t) > 2 else []
+    first = shared.written(token_count.build_trees(docs), "first")
+    second = shared.written(token_count.recount(first, edits=upper), "second")
+    third = token_count.recount(second.select(first.columns))
+    columns = ["doc_id", "n_tokens", "lengths", "tokens"]
+    for version in (second, third):
+        again = token_count.build_trees(version.select("doc_id", "text"))
+        same(version.select(columns).collect(), again.select(columns).collect())
+    assert token_count.recount(first.limit(0)).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav>
