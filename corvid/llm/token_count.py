@@ -195,13 +195,24 @@ _NUMBER = re.compile(r"[0-9]{9,}|[0-9]{1,3}(?:\.[0-9]{1,3}){3}")
 _MAIL = re.compile(r"[A-Za-z0-9._-]{1,64}@[A-Za-z0-9.-]{1,255}")
 
 
+def _pack(numbers: list[int]) -> bytes:
+    """The numbers in as few bytes each as the largest needs, 1, 2 or 4, which the first byte tells."""
+    most = max(numbers, default=0)
+    code = "B" if most < 1 << 8 else "H" if most < 1 << 16 else "I"
+    return code.encode() + array(code, numbers).tobytes()
+
+
+def _unpack(data: bytes) -> list[int]:
+    return array(chr(data[0]), data[1:]).tolist()
+
+
 def _ranks(vocabulary: str) -> bytes:
     with open(vocabulary, "rb") as f:
         return f.read()
 
 
 def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, text, n_tokens, lengths and tokens (32-bit numbers of the tree's pre-tokens, as bytes).
+    """Per row of docs: doc_id, text, n_tokens, lengths and tokens (of the tree's pre-tokens, packed).
 
     The vocabulary file is read where the query starts and sent along (it is under 1 MB). Null and empty texts have 0
     tokens and a null text stays null; repeated rows and null ids stay; other columns are not read; no rows give no rows.
@@ -216,8 +227,8 @@ def build_trees(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text
                 pieces = count.scan.findall(t or "")
                 n = count(pieces)
                 totals.append(sum(n))
-                lengths.append(array("i", map(len, pieces)).tobytes())
-                tokens.append(array("i", n).tobytes())
+                lengths.append(_pack(list(map(len, pieces))))
+                tokens.append(_pack(n))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(totals, pa.int64()), pa.array(lengths, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "text", "n_tokens", "lengths", "tokens"])
 
     kept = docs.select("doc_id", F.col(text).cast("string").alias("text"))
@@ -242,10 +253,10 @@ def recount(trees: DataFrame, vocabulary: str = VOCABULARY, edits: Edits = maski
                 changes = edits(t) if t else []
                 row = [t, before, *kept, before, len(changes), 0]
                 if changes:
-                    tree = PieceTree(t, count, tuple(list(memoryview(x).cast("i")) for x in kept))
+                    tree = PieceTree(t, count, tuple(map(_unpack, kept)))
                     for change in reversed(changes):
                         tree.edit(*change)
-                    row[:4] = tree.text, tree.total, *(array("i", x).tobytes() for x in tree.kept())
+                    row[:4] = tree.text, tree.total, *map(_pack, tree.kept())
                     row[6] = tree.rescanned
                 for o, v in zip(out, row, strict=True):
                     o.append(v)
