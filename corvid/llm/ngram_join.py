@@ -1,15 +1,17 @@
 """n-gram Jaccard join: documents linked when their sets of word 5-grams overlap enough.
 
-Candidates: linked sets have Jaccard similarity t or more, so each of the union's smallest hashes is in both sets with
-probability t; of the SKETCH = 64 smallest, linked sets share SHARED = 20 or more but for a chance under 1e-12 at 0.75
-(of smaller sets they share t of all). So of a set's shared hashes, in order of their frequency, the SHARED - 1 most
-frequent ones aren't needed: linked sets meet at another. That keeps passages that many documents share out of the
-search. Sets that share one of the others form a group; groups are cut into blocks of bounded rows and bytes.
+Candidates: sets that are similar at t have at least c = t n of the tokens of either one, n being its size. So of a set's
+tokens in the order of their hashes, the first n - c + s hold the s smallest common ones: similar sets of any size share
+s tokens or more of their sketches, which have that length, with s = SHARED (c in smaller sets). Sets that share fewer
+with all others go. Of the rest's tokens, in order of their frequency there, the c - 1 most frequent ones aren't needed:
+similar sets meet at another. That keeps passages that many documents share out of the search; no link is missed.
+Sets that share one of the others form a group; groups are cut into blocks of bounded rows and bytes.
 In a block a signature tree is built: leaves and inner nodes hold the OR of token bitmaps and the range of set sizes. Two
 trees (or one with itself) are walked together; node pairs whose largest possible overlap is too small are left out, as
-are pairs already joined. What remains is verified on the exact sets. Two passes contract groups of copies, with one
-group per document and with one document per component and group; the last looks at all documents of the groups that
-still hold several components.
+are pairs already joined. What remains is verified on the exact sets. Two passes contract groups of copies: one in the
+parts of a group alone, each set in one group, and one with a set per component and group. The last looks at all
+documents of the groups that still hold several components; the largest of these isn't compared with itself, so copies
+of a row grow with what stands outside it.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import content_key, discard, in_slices, mix, release, table, utf8, window_hashes, word_hashes, written
+from corvid.llm.shared import content_key, discard, in_slices, mix, table, utf8, window_hashes, with_keys, word_hashes, written
 
-SKETCH, SHARED = 64, 20
-BLOCK_ROWS, BLOCK_TOKENS = 4096, 1 << 21
+SHARED = 20
+BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 LEAF, FAN = 8, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -47,6 +49,13 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cid, h) for each token of sets (cid, tokens)."""
+    for b in in_slices(batches, "tokens"):
+        h = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("cid")), [len(x) for x in h])), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64))], ["cid", "h"])
+
+
 def _fingerprints(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     """16 bytes for each set, equal for equal sets."""
     sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64))) for salt in (0x51ED, 0xA3B1C7)]
@@ -54,15 +63,20 @@ def _fingerprints(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in halves]
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, __k1, __k2 (of the text), n, print (the set's fingerprint), sketch (its smallest hashes)."""
+def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, __k1, __k2 (of the text), n, print (the set's fingerprint), sketch (its smallest hashes).
+
+    Of n tokens, a similar set has c = percent % or more; the sketch holds n - c + min(c, SHARED).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
             h, first = shingle_sets(utf8(b, "text"), k)
-            small = [h[a : min(z, a + SKETCH)].view(np.int64) for a, z in zip(first, first[1:], strict=False)]
+            n = np.diff(first)
+            common = -(-n * percent // 100)
+            small = [h[a : a + m].view(np.int64) for a, m in zip(first, n - common + np.minimum(common, SHARED), strict=False)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("__k1"), b.column("__k2"), pa.array(np.diff(first)), pa.array(_fingerprints(h, first), pa.binary()), pa.array(small, pa.list_(pa.int64()))],
+                [b.column("doc_id"), b.column("__k1"), b.column("__k2"), pa.array(n), pa.array(_fingerprints(h, first), pa.binary()), pa.array(small, pa.list_(pa.int64()))],
                 ["doc_id", "__k1", "__k2", "n", "print", "sketch"],
             )
 
@@ -214,23 +228,45 @@ def _block_links(percent: int):
     return run
 
 
-def block_links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among the sets of each group: rows (h, cid, label, n, earlier) of which one group may hold any share.
+def blocks_of(groups: DataFrame, alone: bool = False) -> DataFrame:
+    """Rows (h, p, q, side, cid, label, earlier) of blocks (h, p, q) for groups (h, cid, label, n, earlier), of which one may hold any share.
 
-    A group of more than BLOCK_ROWS rows or BLOCK_TOKENS tokens is cut into parts by a hash of cid; each pair of parts is a
-    block, so a task holds two parts at most and no pair of a group is lost.
+    A group's rows of the label that has most, and all others, are each cut by a hash of cid into parts of about BLOCK_ROWS
+    rows and BLOCK_TOKENS tokens. Each pair of parts but those of that label's is a block, so a task holds two parts at
+    most, no pair of different labels is lost, and rows of one label are copied once for each part of the others. With
+    `alone`, each part is a block and no pair of parts is: for a first contraction.
     """
-    size = groups.groupBy("h").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("int")
-    groups = groups.drop("n")
-    cut = groups.join(size.where("rows > 1").select("h", parts.alias("parts")), "h")
-    mine = F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("parts")).cast("int")
-    dealt = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = dealt.select("h", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid", "label", "earlier")
+    if alone:
+        size = groups.groupBy("h").agg(F.lit(None).cast("bigint").alias("main"), F.lit(0).alias("large"), F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+        size = size.select("h", "main", "large", _parts("rows", "tokens").alias("small"), "rows")
+    else:
+        labels = groups.groupBy("h", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+        size = labels.groupBy("h").agg(F.max(F.struct("rows", "label", "tokens")).alias("x"), F.sum("rows").alias("rows"), F.sum("tokens").alias("tokens"))
+        size = size.select("h", F.col("x.label").alias("main"), _parts("x.rows", "x.tokens").alias("large"), _parts(F.col("rows") - F.col("x.rows"), F.col("tokens") - F.col("x.tokens")).alias("small"), "rows")
+    cut = groups.drop("n").join(size.where("rows > 1").drop("rows"), "h")
+    main, place = F.coalesce(F.col("label") == F.col("main"), F.lit(False)), F.xxhash64(F.lit(5), "cid")
+    mine = F.when(main, F.col("small") + F.pmod(place, "large")).otherwise(F.pmod(place, "small")).cast("int")
+    if alone:
+        others = F.array("mine")
+    else:
+        others = F.sequence(F.lit(0), F.when(F.col("mine") >= F.col("small"), F.col("small")).otherwise(F.col("small") + F.col("large")) - 1)
+    dealt = cut.withColumn("mine", mine).withColumn("other", F.explode(others))
+    return dealt.select("h", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "cid", "label", "earlier")
+
+
+def block_links(groups: DataFrame, sets: DataFrame, percent: int, alone: bool = False) -> DataFrame:
+    """Links (a, b) among the sets of each group, as far as they join labels and stand in one of the group's blocks."""
+    blocks = blocks_of(groups, alone)
     full = blocks.join(sets.select("cid", "tokens"), "cid").select("h", "p", "q", "side", "cid", "label", "earlier", "tokens")
     return full.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_block_links(percent), "a bigint, b bigint")
 
 
+def _parts(rows, tokens) -> Column:
+    """Into how many parts so many rows and tokens are cut; one at least."""
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.greatest(F.ceil(col(rows) / BLOCK_ROWS), F.ceil(col(tokens) / BLOCK_TOKENS), F.lit(1)).cast("int")
+
+
 def components(links: DataFrame, label: str = "components") -> DataFrame:
     """(cid, root) for each end of links (a, b): root is the smallest cid reachable.
 
@@ -258,45 +294,50 @@ def _labelled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 def _tied(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots with further links."""
+    links = written(links, "links")
+    if links.isEmpty():
+        return roots
     return components(roots.select(F.col("cid").alias("a"), F.col("root").alias("b")).unionByName(links))
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows (h, cid, n, df, needed, label) of groups with several labels, as far as linked sets need them to meet."""
-    several = rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("h")
-    order = Window.partitionBy("cid").orderBy(F.desc("df"), "h")
-    found = rows.join(several, "h").withColumn("place", F.row_number().over(order)).where(F.col("place") >= F.col("needed"))
-    return written(found.select("h", "cid", "n", "label"), "open")
+    """Rows (h, cid, n, label) of groups with several labels."""
+    several = rows.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where("x != y").select("h", "n")
+    return written(with_keys(rows, written(several, "several"), ["h"], "n", ["cid"]), "open")
 
 
 def _unlike(rows: DataFrame) -> DataFrame:
     """Rows (h, cid, n, label) of groups with several members; of groups with the same members one."""
     alike = rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(F.lit(3), "cid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(9), "cid")).alias("x"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m")
-    return rows.join(alike.groupBy("rows", "s", "x").agg(F.min("h").alias("h")).select("h"), "h", "left_semi")
+    one = written(alike.groupBy("rows", "s", "x").agg(F.min("h").alias("h")).select("h", F.col("rows").alias("n")), "unlike")
+    return with_keys(rows, one, ["h"], "n", ["cid"])
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text") -> DataFrame:
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text", inside: bool = False) -> DataFrame:
     """doc_id, __k1, __k2 (content_key of the text), n_shingles, component_id (smallest doc_id reachable) per row of docs.
 
     Words split at ASCII white space, A-Z lower-cased; a text of fewer than k words is one shingle; null, empty and blank
     texts have empty sets, are linked with nothing and keep their own id. Rows with equal sets are one class and always
     linked. Null ids are passed over for the smallest id (null if a component has no other). Other columns are not read.
+    No rows give no rows. With `inside` there is a column label too, a number of the component (null for empty sets).
     """
     source = docs.select("doc_id", *content_key(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = written(sketches(source, k), "sketches")
+    base = written(sketches(source, k, percent), "sketches")
     row = F.struct("doc_id", "__k1", "__k2")
     classes = base.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # as written, the numbers stay
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)).cast("int")
     tokens = classes.select("cid", F.explode("sketch").alias("h"))
-    runs = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    hits = written(tokens.join(runs, "h"), "hits")
-    enough = hits.groupBy("cid").agg(F.count("*").alias("hits")).join(classes.select("cid", "n", needed.alias("needed")), "cid").where("hits >= needed")
-    shared = written(hits.join(enough, "cid"), "shared")
-    release(docs.sparkSession)
+    often = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    hits = with_keys(tokens, often, ["h"], "df", ["cid"]).groupBy("cid").agg(F.count("*").alias("hits"), F.min("h").alias("least"))
+    hits = hits.join(classes.select("cid", "n", needed.alias("needed"), F.size("sketch").alias("length")), "cid").where("hits >= needed")
+    enough = written(hits.select("cid", "n", (F.col("hits") * 2 >= F.col("length")).alias("strong"), "least"), "enough")
+    discard(often)
     # The exact sets of all classes with enough shared hashes, each from one row's text.
-    need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.doc_id").alias("__id"), F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"))
-    texts = source.join(need, (source["__k1"] == need["__k1"]) & (source["__k2"] == need["__k2"]) & source["doc_id"].eqNullSafe(need["__id"])).groupBy("cid").agg(F.first("text").alias("text"))
+    same = [*content_key(F.col("text")), F.xxhash64("doc_id").alias("__i")]
+    need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"), F.xxhash64("row.doc_id").alias("__i"))
+    key = ["__k1", "__k2", "__i"]
+    texts = source.select(*same, "text").join(need, key).groupBy(*key, "cid").agg(F.first("text").alias("text")).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
@@ -304,28 +345,33 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([h[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)], pa.binary())], ["cid", "tokens"])
 
     sets = written(texts.mapInArrow(full, "cid bigint, tokens binary"), "sets")
-    discard(hits)
-    release(docs.sparkSession)
+    # A set's tokens that others have, without the most frequent c - 1 of all its tokens.
+    tokens = sets.mapInArrow(_exploded, "cid bigint, h bigint")
+    often = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    hits = with_keys(tokens, often, ["h"], "df", ["cid"], keep=["df"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).join(enough.select("cid", "n"), "cid")
+    rarest = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("x"))
+    shared = written(hits.where(rarest > 0).select("cid", "n", F.explode(F.slice("x.h", F.lit(1), rarest.cast("int"))).alias("h")), "shared")
+    discard(often)
     # First pass: sets with half their sketch shared, each in the group of its smallest shared hash alone.
-    strong = shared.where(F.col("hits") * 2 >= F.least(F.col("n"), F.lit(SKETCH))).groupBy("cid", "n").agg(F.min("h").alias("h"))
     none = F.array().cast("array<bigint>")
-    roots = components(block_links(strong.withColumns({"label": F.col("cid"), "earlier": none}), sets, percent))
+    strong = enough.where("strong").select("cid", "n", F.col("least").alias("h"), F.col("cid").alias("label"), none.alias("earlier"))
+    roots = components(block_links(strong, sets, percent, alone=True))
     # Second pass: of each group one set of each component, another one in each group.
-    first = _several(_labelled(shared, roots))
-    some = first.groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
+    some = _several(_labelled(shared, roots)).groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
     roots = _tied(roots, block_links(_unlike(some).withColumn("earlier", none), sets, percent))
-    release(docs.sparkSession)
     # Last pass: all sets of the groups that hold several components; two sets are compared in the first group of both.
-    rest = _unlike(_several(_labelled(shared, roots)))
+    rest = written(_unlike(_several(_labelled(shared, roots))), "rest")
     before = rest.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("all"))
     rest = rest.join(before, "cid").withColumn("earlier", F.filter("all", lambda x: x < F.col("h"))).drop("all")
     roots = _tied(roots, block_links(rest, sets, percent))
-    release(docs.sparkSession)
+    for x in (enough, sets, shared):
+        discard(x)
     labelled = _labelled(classes.select("cid", "least"), roots)
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(ids, "label").select("cid", "component_id").join(classes.select("cid", "print"), "cid")
+    named = labelled.join(ids, "label").select("cid", "component_id", "label").join(classes.select("cid", "print"), "cid")
     out = base.join(named, "print", "left")
-    return out.select("doc_id", "__k1", "__k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
+    columns = ["doc_id", "__k1", "__k2", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id")]
+    return out.select(*columns, *(["label"] if inside else []))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -336,13 +382,17 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def representatives(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """docs with one row of each component: the one with the smallest id, of several the first by its text's hash.
 
-    Rows with empty sets are linked with nothing and all stay. Repeated rows are one.
+    Null ids come last; rows without any other are told apart by their component alike. Of rows that are repeated, with one
+    id and text, one stays, also of those with empty sets, which are linked with nothing and all stay. No rows give no rows.
     """
-    found = ngram_components(docs, k, percent).select("doc_id", "__k1", "__k2", F.col("component_id").alias("__to"), (F.col("n_shingles") == 0).alias("__blank"))
-    mine = F.struct(F.col("doc_id").isNull().alias("__last"), "doc_id", "__k1", "__k2")
-    one = found.where("not __blank").groupBy("__to", F.when(F.col("__to").isNull(), F.col("__k1")).alias("__own")).agg(F.min(mine).alias("x")).select("x.doc_id", "x.__k1", "x.__k2")
-    kept = one.unionByName(found.where("__blank").select("doc_id", "__k1", "__k2")).distinct().withColumnRenamed("doc_id", "__id")
+    names = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select("*", *content_key(text))
-    rows = keyed.join(kept, (keyed["__k1"] == kept["__k1"]) & (keyed["__k2"] == kept["__k2"]) & keyed["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
-    return rows.select(*docs.columns)
+    found = ngram_components(docs, k, percent, inside=True).select("doc_id", "__k1", "__k2", F.col("label").alias("__to"))
+    mine = F.struct(F.col("doc_id").isNull().alias("__last"), "doc_id", "__k1", "__k2")
+    one = found.where("__to is not null").groupBy("__to").agg(F.min(mine).alias("x")).select("x.doc_id", "x.__k1", "x.__k2")
+    kept = one.unionByName(found.where("__to is null").select("doc_id", "__k1", "__k2")).select("__k1", "__k2", F.xxhash64("doc_id").alias("__i")).distinct()
+    # Repeated rows meet at the join's key; the first of them, as the rows stand in their table, is kept.
+    whole = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
+    keyed = docs.select(whole, *content_key(text), F.xxhash64("doc_id").alias("__i"))
+    key = ["__k1", "__k2", "__i"]
+    return keyed.join(kept, key, "left_semi").groupBy(*key).agg(F.first("__row").alias("__row")).select("__row.*")

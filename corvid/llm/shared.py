@@ -27,9 +27,11 @@ def content_key(*columns: Column) -> list[Column]:
 PARTS = 20_000
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: list[str]) -> DataFrame:
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: list[str], keep: list[str] = ()) -> DataFrame:
     """rows whose `on` is in keys: (on, n), a written table without repeated or null keys, n at least the rows of each.
 
+    Columns `keep` of keys come along.
+
     A key with more than a PARTS-th of what all keys hold is dealt over tasks by `spread`, each with its copy of the key.
     There are under PARTS such keys, as their n add up to no more than the whole, and under 2 * PARTS copies: these alone
     are broadcast.
@@ -38,8 +40,8 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: l
     hot = keys.where(F.col(n) > unit).select(*on, F.ceil(F.col(n) / unit).cast("int").alias("__parts"))
     dealt = rows.join(F.broadcast(hot), on, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(F.lit(41), *spread), "__parts"), F.lit(0)).cast("int")).drop("__parts")
     parts = F.when(F.col(n) > unit, F.ceil(F.col(n) / unit)).otherwise(1).cast("int")
-    copies = keys.select(*on, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
-    return dealt.join(copies, [*on, "__part"], "left_semi").drop("__part")
+    copies = keys.select(*on, *keep, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__part"))
+    return dealt.join(copies, [*on, "__part"], "inner" if keep else "left_semi").drop("__part")
 
 
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -181,6 +181,27 @@ def test_ngram_components_of_families(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in brute.components(given)})
 
 
+def test_representatives_of_repeated_rows_and_null_ids(spark):
+    long = "one text of a few words that is long enough for shingles"
+    given = [(1, long, "a"), (1, long, "a"), (1, long, "b"), (2, long, "c"), (3, "other words here in this one row", "d"), (3, "", "x"), (3, "", "x"), (4, None, "y")]
+    given += [(None, f"no id here but {k} twice a text of many words in one row, all of them alike", "z") for k in (1, 1)] + [(None, "no id, another text of which there is one row", "z")]
+    docs = spark.createDataFrame(given, "doc_id bigint, text string, __k1 string")
+    got = ngram_join.representatives(docs).collect()
+    same([(r["doc_id"], r["text"] or "") for r in got], [(1, long), (3, given[4][1]), (3, ""), (4, ""), (None, given[8][1]), (None, given[10][1])])
+    assert ngram_join.representatives(docs.limit(0)).count() == 0 and got[0].__fields__ == docs.columns
+
+
+def test_blocks_grow_in_proportion_to_a_group(spark):
+    def dealt(n):
+        rows = spark.range(n).select(F.lit(1).alias("h"), F.col("id").alias("cid"), F.when(F.col("id") < 7, F.col("id")).otherwise(7).alias("label"), F.lit(50).alias("n"), F.array().cast("array<bigint>").alias("earlier"))
+        first = ngram_join.blocks_of(rows.withColumn("label", F.col("cid")), alone=True).groupBy("p", "q").count()
+        blocks = ngram_join.blocks_of(rows).groupBy("p", "q").count()
+        assert max(r["count"] for r in blocks.collect()) < 2 * ngram_join.BLOCK_ROWS
+        return sum(r["count"] for r in first.collect()), sum(r["count"] for r in blocks.collect())
+
+    assert dealt(100_000) == (100_000, 100_000 - 7 + 7 * (1 + -(-(100_000 - 7) // 2048)))
+
+
 @pytest.mark.parametrize("crossed", [False, True])
 def test_block_finds_all_links(crossed):
     rng = random.Random(9)
