@@ -5,7 +5,8 @@ tokens in the order of their hashes, the first n - c + s hold the s smallest com
 s tokens or more of their sketches, which have that length, with s = SHARED (c in smaller sets). Sets that share fewer
 with all others go. Of the rest's tokens, in order of their frequency there, the c - 1 most frequent ones aren't needed:
 similar sets meet at another. That keeps passages that many documents share out of the search; no link is missed.
-Sets that share one of the others form a group; groups are cut into blocks of bounded rows and bytes.
+Sets that share one of the others form a group; groups with one smallest member are taken together, and cut into blocks
+of bounded rows and bytes.
 In a block a signature tree is built: leaves and inner nodes hold the OR of token bitmaps and the range of set sizes. Two
 trees (or one with itself) are walked together; node pairs whose largest possible overlap is too small are left out, as
 are pairs already joined. What remains is verified on the exact sets. Two passes contract groups of copies: one in the
@@ -306,11 +307,14 @@ def _several(rows: DataFrame) -> DataFrame:
     return written(with_keys(rows, written(several, "several"), ["h"], "n", ["cid"]), "open")
 
 
-def _unlike(rows: DataFrame) -> DataFrame:
-    """Rows (h, cid, n, label) of groups with several members; of groups with the same members one."""
-    alike = rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum(F.xxhash64(F.lit(3), "cid").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(9), "cid")).alias("x"), F.min("label").alias("l"), F.max("label").alias("m")).where("l != m")
-    one = written(alike.groupBy("rows", "s", "x").agg(F.min("h").alias("h")).select("h", F.col("rows").alias("n")), "unlike")
-    return with_keys(rows, one, ["h"], "n", ["cid"])
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows (h, cid, n, label) of groups, those with one smallest member taken together under it as h.
+
+    Groups that hold much the same sets mostly share it, so a set is in few groups then, and each group is still whole.
+    """
+    least = rows.groupBy("h").agg(F.min("cid").alias("least"), F.count("*").alias("n"))
+    named = with_keys(rows, written(least, "least"), ["h"], "n", ["cid"], keep=["least"])
+    return named.select(F.col("least").alias("h"), "cid", "n", "label").distinct()
 
 
 def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str = "text", inside: bool = False) -> DataFrame:
@@ -322,10 +326,12 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     No rows give no rows. With `inside` there is a column label too, a number of the component (null for empty sets).
     """
     source = docs.select("doc_id", *content_key(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    base = written(sketches(source, k, percent), "sketches")
+    whole = written(sketches(source, k, percent), "sketches")
+    base = written(whole.drop("sketch"), "sets")
     row = F.struct("doc_id", "__k1", "__k2")
-    classes = base.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = whole.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.min(row).alias("row"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")  # as written, the numbers stay
+    discard(whole)
     needed = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100)).cast("int")
     tokens = classes.select("cid", F.explode("sketch").alias("h"))
     often = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
@@ -333,6 +339,8 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     hits = hits.join(classes.select("cid", "n", needed.alias("needed"), F.size("sketch").alias("length")), "cid").where("hits >= needed")
     enough = written(hits.select("cid", "n", (F.col("hits") * 2 >= F.col("length")).alias("strong"), "least"), "enough")
     discard(often)
+    old, classes = classes, written(classes.drop("sketch"), "classes")
+    discard(old)
     # The exact sets of all classes with enough shared hashes, each from one row's text.
     same = [*content_key(F.col("text")), F.xxhash64("doc_id").alias("__i")]
     need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"), F.xxhash64("row.doc_id").alias("__i"))
@@ -357,10 +365,10 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     strong = enough.where("strong").select("cid", "n", F.col("least").alias("h"), F.col("cid").alias("label"), none.alias("earlier"))
     roots = components(block_links(strong, sets, percent, alone=True))
     # Second pass: of each group one set of each component, another one in each group.
-    some = _several(_labelled(shared, roots)).groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
-    roots = _tied(roots, block_links(_unlike(some).withColumn("earlier", none), sets, percent))
+    some = _gathered(_several(_labelled(shared, roots))).groupBy("h", "label").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("h", "cid")).alias("x")).select("h", "label", "x.cid", "x.n")
+    roots = _tied(roots, block_links(some.withColumn("earlier", none), sets, percent))
     # Last pass: all sets of the groups that hold several components; two sets are compared in the first group of both.
-    rest = written(_unlike(_several(_labelled(shared, roots))), "rest")
+    rest = written(_gathered(_several(_labelled(shared, roots))), "rest")
     before = rest.groupBy("cid").agg(F.sort_array(F.collect_list("h")).alias("all"))
     rest = rest.join(before, "cid").withColumn("earlier", F.filter("all", lambda x: x < F.col("h"))).drop("all")
     roots = _tied(roots, block_links(rest, sets, percent))
