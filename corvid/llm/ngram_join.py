@@ -3,8 +3,9 @@
 Candidates: sets that are similar at t have at least c = t n of the tokens of either one, n being its size. So of a set's
 tokens in the order of their hashes, the first n - c + s hold the s smallest common ones: similar sets of any size share
 s tokens or more of their sketches, which have that length, with s = SHARED (c in smaller sets). Sets that share fewer
-with all others go. Of the rest's tokens, in order of their frequency there, the c - 1 most frequent ones aren't needed:
-similar sets meet at another. That keeps passages that many documents share out of the search; no link is missed.
+with all others go. The rest have longer sketches, with s = LONGER % of c; of their tokens, in order of their frequency
+there, the s - 1 most frequent ones aren't needed: similar sets meet at another. That keeps passages that many documents
+share out of the search; no link is missed, as c - s never falls with n.
 Sets that share one of the others form a group; groups with one smallest member are taken together, and cut into blocks
 of bounded rows and bytes.
 In a block a signature tree is built: leaves and inner nodes hold the OR of token bitmaps and the range of set sizes. Two
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.shared import content_key, discard, in_slices, mix, table, utf8, window_hashes, with_keys, word_hashes, written
 
-SHARED = 20
+SHARED, LONGER = 20, 35
 BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 LEAF, FAN = 8, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -50,11 +51,21 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], np.searchsorted(doc[new], np.arange(len(texts) + 1))
 
 
-def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, h) for each token of sets (cid, tokens)."""
-    for b in in_slices(batches, "tokens"):
-        h = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("cid")), [len(x) for x in h])), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64))], ["cid", "h"])
+def _exploded(percent: int):
+    """(cid, h) for each token in the longer sketches of sets (cid, tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in in_slices(batches, "tokens"):
+            h = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
+            h = [x[: len(x) - common + _longer(common)] for x in h for common in [-(-len(x) * percent // 100)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("cid")), [len(x) for x in h])), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64))], ["cid", "h"])
+
+    return run
+
+
+def _longer(common: int) -> int:
+    """How many tokens similar sets share in the longer sketches, `common` being those that they share at all."""
+    return max(min(common, SHARED), -(-common * LONGER // 100))
 
 
 def _fingerprints(h: np.ndarray, first: np.ndarray) -> list[bytes]:
@@ -353,12 +364,14 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([h[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)], pa.binary())], ["cid", "tokens"])
 
     sets = written(texts.mapInArrow(full, "cid bigint, tokens binary"), "sets")
-    # A set's tokens that others have, without the most frequent c - 1 of all its tokens.
-    tokens = sets.mapInArrow(_exploded, "cid bigint, h bigint")
+    # The tokens of a set's longer sketch that others' have, without the most frequent s - 1 of all of them.
+    tokens = sets.mapInArrow(_exploded(percent), "cid bigint, h bigint")
     often = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     hits = with_keys(tokens, often, ["h"], "df", ["cid"], keep=["df"]).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x")).join(enough.select("cid", "n"), "cid")
-    rarest = F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.size("x"))
-    shared = written(hits.where(rarest > 0).select("cid", "n", F.explode(F.slice("x.h", F.lit(1), rarest.cast("int"))).alias("h")), "shared")
+    common = F.ceil(F.col("n") * percent / 100)
+    unshared = F.col("n") - common + F.greatest(F.least(common, F.lit(SHARED)), F.ceil(common * LONGER / 100)) - F.size("x")
+    rarest = (F.col("n") - common + 1 - unshared).cast("int")
+    shared = written(hits.where(rarest > 0).select("cid", "n", F.explode(F.slice("x.h", F.lit(1), rarest)).alias("h")), "shared")
     discard(often)
     # First pass: sets with half their sketch shared, each in the group of its smallest shared hash alone.
     none = F.array().cast("array<bigint>")
