@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.scratch import discard, release, table, written
+from corvid.plans.scratch import discard, table, written
 
-__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "release", "sliding", "span_hashes", "table", "utf8", "window_hashes", "with_keys", "word_hashes", "written"]
+__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "sliding", "small", "span_hashes", "table", "utf8", "window_hashes", "with_keys", "word_hashes", "written"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -44,6 +44,11 @@ def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], n: str, spread: l
     return dealt.join(copies, [*on, "__part"], "inner" if keep else "left_semi").drop("__part")
 
 
+def small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """rows, to be broadcast if there are few: a table that is cheap to count. Beyond, the join is shuffled and AQE splits it."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that a slice's texts hold about `most` bytes (one longer text stands alone)."""
     for batch in batches:

@@ -19,15 +19,15 @@ WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), i AS (
   SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
+), k AS (SELECT DISTINCT least(len(w), 5) AS k FROM i WHERE len(w) > 0), ds AS (
+  SELECT DISTINCT doc_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d JOIN k ON len(w) >= k)
 ), its AS (
-  SELECT DISTINCT item_id, array_to_string(list_slice(w, p, p + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
+  SELECT DISTINCT item_id, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS s FROM (SELECT item_id, least(len(w), 5) AS k, w, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS p FROM i WHERE len(w) > 0)
 ), n AS (
   SELECT item_id, count(*) AS n_item FROM its GROUP BY item_id
 )
 SELECT ds.doc_id, its.item_id, count(*)::BIGINT AS n_matched, any_value(n.n_item)::BIGINT AS n_item, count(*) / any_value(n.n_item) AS containment
-FROM ds JOIN its USING (s) JOIN n ON n.item_id = its.item_id
+FROM ds JOIN its USING (k, s) JOIN n ON n.item_id = its.item_id
 GROUP BY ds.doc_id, its.item_id HAVING count(*) * 100 >= any_value(n.n_item) * 75
 """
 

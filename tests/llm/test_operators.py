@@ -99,10 +99,10 @@ def test_substring_dedup_at_other_lengths(spark, rows, window):
     assert substring_dedup.levels(35) == [9, 18, 35]
 
 
-def test_decontamination(spark, folder):
+def test_decontamination(spark, folder, monkeypatch):
     rng = random.Random(4)
     prose = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
-    items = [prose(rng.choice([3, 5, 20, 60, 300])) for _ in range(25)]
+    items = [prose(rng.choice([1, 3, 4, 5, 20, 60, 300])) for _ in range(25)]
     texts = []
     for k in range(60):
         w, part = prose(rng.choice([0, 10, 200])), list(items[k % 25])
@@ -112,11 +112,13 @@ def test_decontamination(spark, folder):
             part = part[: len(part) * 3 // 5]
         at = rng.randrange(len(w) + 1)
         texts.append(" ".join(w[:at]) + "\n" + ", ".join(part).upper() + "! " + " ".join(w[at:]))
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None, ""])], "doc_id bigint, text string")
+    docs = spark.createDataFrame([(k, t, k) for k, t in enumerate([*texts, None, ""])], "doc_id bigint, text string, __k2 int")
     marks = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(99, None), (0, " ".join(items[0]))], "item_id bigint, text string")
-    gram = lambda t: {tuple(w[j : j + 5]) for w in [regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())] for j in range(len(w) - 4)}
-    expected = {(d, i, len(a & b)) for d, t in enumerate(texts) for i, w in enumerate(items) if (a := gram(" ".join(w))) and 100 * len(a & (b := gram(t))) >= 75 * len(a)}
-    keys = docs.select("doc_id", *shared.content_key(F.coalesce("text", F.lit(""))))
+    gram = lambda t, k: {tuple(w[j : j + k]) for w in [regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())] for j in range(len(w) - k + 1)}
+    expected = {(d, i, len(a & b)) for d, t in enumerate(texts) for i, w in enumerate(items) if (a := gram(" ".join(w), k := min(5, len(w)))) and 100 * len(a & (b := gram(t, k))) >= 75 * len(a)}
+    assert any(len(items[i]) < 5 for _, i, _ in expected)
+    monkeypatch.setattr(decontaminate, "BLOCK", 50)  # searched in several blocks
+    keys = docs.drop("__k2").select("doc_id", *shared.content_key(F.coalesce("text", F.lit(""))))
     found = decontaminate.find_contaminated(docs, marks).join(keys, ["__k1", "__k2"])
     assert {(r["doc_id"], r["item_id"], r["n_matched"]) for r in found.collect()} == expected and expected
     assert {r["doc_id"] for r in decontaminate.decontaminate(docs, marks).collect()} == set(range(62)) - {d for d, _, _ in expected}
