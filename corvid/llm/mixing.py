@@ -80,8 +80,8 @@ def quotas(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     return leaves.join(nodes.select(*LEAF, F.floor(F.col("got") + 1e-6).cast("long").alias("quota")), LEAF)
 
 
-def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
-    """doc_id, domain, lang, source, epoch, n_tokens: one row for each use of a document.
+def mix(docs: DataFrame, mixture: Mixture = Mixture(), texts: bool = False) -> DataFrame:
+    """doc_id, domain, lang, source, epoch, n_tokens: one row for each use of a document; with `texts` its text too.
 
     Tokens are words split at ASCII white space; null and empty texts have none and are taken while their place in the
     order lies in the prefix. Null languages and sources are called 'unknown'; null ids order as ''. Repeated rows are
@@ -91,16 +91,16 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     """
     plain = F.trim(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACES, " "))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("unknown"))
-    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), plain.alias("__plain"), content_key(F.col("text"))[0].alias("__tie"))
+    rows = docs.select("doc_id", named("lang").alias("lang"), named("source").alias("source"), plain.alias("__plain"), *content_key(F.col("text")))
     size = F.when(F.col("__plain") == "", 0).otherwise(F.size(F.split("__plain", " "))).cast("long")
-    rows = written(rows.select("doc_id", mixture.domain(F.col("source")).alias("domain"), "lang", "source", size.alias("n_tokens"), "__tie"), "mix")
+    rows = written(rows.select("doc_id", mixture.domain(F.col("source")).alias("domain"), "lang", "source", size.alias("n_tokens"), "__k1", "__k2"), "mix")
     leaves = written(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")), "leaves")
     plan = quotas(leaves, mixture)
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("quota") / F.col("tokens")), F.lit(mixture.epochs))).otherwise(0).cast("int")
     plan = plan.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("tokens"))
     plan = written(plan.select(*LEAF, "whole", "rest", F.ceil(F.col("documents") / BUCKET).cast("long").alias("buckets")), "plan")
     dealt = rows.join(plan, LEAF)
-    columns = ["doc_id", *LEAF, "epoch", "n_tokens"]
+    columns = ["doc_id", *LEAF, "epoch", "n_tokens", *(["__k1", "__k2"] if texts else [])]
     full = dealt.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1))).select(columns)
     key = F.md5(F.concat_ws(":", F.lit(str(mixture.seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     place = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32 * F.col("buckets")).cast("long")
@@ -110,10 +110,16 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     sums = sums.withColumn("before", before).where("before <= rest").select(*LEAF, "bucket", "before", "in_bucket")
     near = part.join(sums, [*LEAF, "bucket"])
     inside = near.where("before + in_bucket <= rest")
-    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("key", "__tie").rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum("n_tokens").over(Window.partitionBy(*LEAF, "bucket").orderBy("key", "__k1").rowsBetween(Window.unboundedPreceding, 0))
     edge = near.where("before + in_bucket > rest").withColumn("run", run).where("before + run <= rest")
     prefix = [x.withColumn("epoch", F.col("whole")).select(columns) for x in (inside, edge)]
-    return full.unionByName(prefix[0]).unionByName(prefix[1])
+    uses = full.unionByName(prefix[0]).unionByName(prefix[1])
+    if not texts:
+        return uses
+    # Texts join by content and id, repeated rows once: a text that many documents have is dealt over tasks by their ids.
+    uses, key = uses.withColumn("__i", F.xxhash64("doc_id")), ["__k1", "__k2", "__i"]
+    own = docs.select(*content_key(F.col("text")), F.xxhash64("doc_id").alias("__i"), F.col("text").alias("__text"))
+    return uses.join(own.groupBy(*key).agg(F.first("__text").alias("text")), key).drop(*key)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
