@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_folder: str | None = None
-_scopes: list[list[str]] = []
+_scopes: list[Scope] = []
 #: Whether an execution's shuffle files are removed once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -62,22 +62,29 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df.scratch_path)
 
 
+class Scope(list[str]):
+    """The scratch tables written in a scope()."""
+
+    def keep(self, df: DataFrame) -> None:
+        """Leaves this table of written() to the scope around, else until the driver ends."""
+        self.remove(df.scratch_path)
+        if len(_scopes) > 1:
+            _scopes[-2].append(df.scratch_path)
+        else:
+            atexit.register(_remove, df.sparkSession, df.scratch_path)
+
+
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
+def scope(spark: SparkSession) -> Iterator[Scope]:
     """Removes, at its end, the scratch tables written in it: for results that have been written themselves by then."""
-    _scopes.append([])
+    _scopes.append(Scope())
     try:
-        yield
+        yield _scopes[-1]
     finally:
         for path in _scopes.pop():
             _remove(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Frees the disk of finished jobs: their shuffle files go once the driver's JVM has collected what refers to them."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
