@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvid.plans.scratch import discard, table, written
+from corvid.plans.scratch import discard, scope, table, written
 
-__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "sliding", "small", "span_hashes", "table", "utf8", "window_hashes", "with_keys", "word_hashes", "written"]
+__all__ = ["SPACES", "content_key", "discard", "in_slices", "mix", "scope", "sliding", "small", "span_hashes", "table", "utf8", "window_hashes", "with_keys", "word_hashes", "written"]
 
 SPACES = r"[\x20\x09-\x0D]+"
 
