@@ -113,10 +113,15 @@ def quality_verdicts(docs: DataFrame, rules: Rules = Rules(), text: str = "text"
 
 
 def apply_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """docs without rejected rows, and without the boilerplate lines of the others; n_chars follows the text."""
-    verdicts = quality_verdicts(docs, rules).where("kept").select("__k1", "__k2", F.col("gone").alias("__gone"))
+    """docs without rejected rows, and without the boilerplate lines of the others; n_chars follows the text.
+
+    Null and empty texts have no words and are rejected; repeated rows are judged alike and stay; columns may have any name.
+    """
+    verdicts = quality_verdicts(docs, rules).where("kept").select("__k1", "__k2", "gone")
     names = docs.columns
-    kept = keyed(docs).join(verdicts, ["__k1", "__k2"]).select(*names, "__gone")
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row")
+    key = content_key(F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("text"))
+    kept = docs.select(row, *key).join(verdicts, ["__k1", "__k2"]).select("__row.*", F.col("gone").alias("__removed lines"))
 
     def clean(text: str | None, gone: list[int]) -> str | None:
         if not gone or text is None:
@@ -127,8 +132,8 @@ def apply_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in in_slices(batches, "text"):
             at = b.schema.get_field_index("text")
-            arrays = [b.column(c) for c in names]
-            arrays[at] = pa.array([clean(t, g) for t, g in zip(b.column("text").to_pylist(), b.column("__gone").to_pylist(), strict=True)], arrays[at].type)
+            *arrays, gone = b.columns
+            arrays[at] = pa.array([clean(t, g) for t, g in zip(b.column("text").to_pylist(), gone.to_pylist(), strict=True)], arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     out = kept.mapInArrow(run, docs.schema)

@@ -145,3 +145,42 @@ def runs(places):
 
 def joined(found):
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in found)
+
+
+def quality_stage(rows):
+    """What rows (doc_id, text, host) become: kept ones without lines that stand in over 10 texts and 1 % of a host's."""
+    normal = lambda line: " ".join(WORD.findall(re.sub("[0-9]", "0", line.translate(LOWER))))
+    texts = {(h or "", t or "") for _, t, h in rows}
+    hosts, count = Counter(h for h, _ in texts), Counter()
+    for h, t in texts:
+        count.update((h, x) for x in {normal(line) for line in t.split("\n")} if x)
+    out = []
+    for i, t, h in rows:
+        failed = quality([(i, t)])[0][6]
+        lines, words = (t or "").split("\n"), len(WORD.findall(t or ""))
+        gone = [bool(x := normal(line)) and count[h or "", x] > max(10, hosts[h or ""] / 100) for line in lines]
+        left = words - sum(len(WORD.findall(line)) for line, g in zip(lines, gone, strict=True) if g)
+        if not failed and 100 * left >= 30 * words:
+            out.append((i, t if not any(gone) else "\n".join(line for line, g in zip(lines, gone, strict=True) if not g)))
+    return out
+
+
+def near_duplicate_stage(rows):
+    """One row (doc_id, text) of each component, by ids alone; rows without words stay once each."""
+    named = {i: c for i, n, c in components(rows) if n}
+    return sorted({(i, t or "") for i, t in rows if i is not None and (named.get(i, i) == i)})
+
+
+def leaks(text, item):
+    grams = lambda t, k: {tuple(w[j : j + k]) for w in [LICENCE_WORD.findall((t or "").lower())] for j in range(len(w) - k + 1)}
+    k = min(5, len(LICENCE_WORD.findall((item or "").lower())))
+    wanted = grams(item, k) if k else set()
+    return bool(wanted) and 100 * len(wanted & grams(text, k)) >= 75 * len(wanted)
+
+
+def redacted(t):
+    out, at = [], 0
+    for a, b in runs({x for a, _, b in all_secrets(t) for x in range(a, b)}):
+        out += [t[at:a], "[SECRET]"]
+        at = b
+    return "".join([*out, t[at:]]) if out else t
