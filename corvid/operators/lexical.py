@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.text import varint_bytes, words
+from corvid.plans.scratch import written
 
 #: Query terms up to which they are sent to all executors; beyond, the join is shuffled.
 BROADCAST_TERMS = 200_000
@@ -48,25 +49,33 @@ def postings_bytes(lists: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, idf: str = "ratio", terms=words, length: Column | None = None) -> DataFrame:
-    """(query_id, rank, doc_id, score): the k best documents of each query (query_id, text).
+    """(query_id, rank, doc_id, score): the k best documents of each query (query_id, text) that share a term with it.
 
-    Only occurrences of query terms leave the documents' scan; the query terms are broadcast if they are few. score adds
-    idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) * qtf / (qtf + 0.5) over the query's terms; idf is
+    score adds idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl)) * qtf / (qtf + 0.5) over the query's terms; idf is
     (N - df + 0.5) / (df + 0.5), at least 0, or the logarithm of 1 + that. Scores rank rounded to 6 places, then by doc_id.
+    Null and empty texts have no terms; empty tables give no rows; rows with one doc_id and length are one document of N.
+
+    One scan of the documents: only occurrences of query terms leave it, and a row a document for N and avgdl; query terms
+    are broadcast if they are few.
     """
     length = F.size(words(F.col("text"))) if length is None else length
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    wanted = asked.select("term").distinct()
-    if wanted.count() <= BROADCAST_TERMS:
-        wanted = F.broadcast(wanted)
-    rows = docs.select("doc_id", length.cast("double").alias("dl"), terms(F.col("text")).alias("terms"))
-    tf = rows.select("doc_id", "dl", F.explode("terms").alias("term")).join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = document_frequencies(tf)
-    corpus = corpus_stats(docs, length).select("n_docs", "avgdl")
+    asked = written(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
+    n_asked = asked.count()
+    small = (lambda df: F.broadcast(df)) if n_asked <= BROADCAST_TERMS else (lambda df: df)
+    each = F.lit("")  # no term is empty: this one stands for the document itself
+    wanted = asked.select("term").unionByName(asked.sparkSession.range(1).select(each.alias("term"))).distinct()
+    found = F.concat(F.coalesce(terms(F.col("text")), F.array().cast("array<string>")), F.array(each))
+    # A generator's output isn't computed again: the length stays one figure a document, not one a term.
+    once = docs.select("doc_id", F.explode(F.array(F.struct(length.cast("double").alias("dl"), found.alias("terms")))).alias("x"))
+    rows = once.select("doc_id", F.col("x.dl").alias("dl"), F.explode("x.terms").alias("term"))
+    tf = written(rows.join(small(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "tf")
+    corpus = tf.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
     ratio = F.greatest((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(0.0))
-    weights = df.crossJoin(F.broadcast(corpus)).select("term", "avgdl", (F.log1p(ratio) if idf == "log" else ratio).alias("idf"))
-    scored = tf.join(weights, "term").select("doc_id", "term", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("part"))
-    hits = scored.join(asked, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf") / (F.col("qtf") + 0.5)), 6).alias("score"))
+    weights = document_frequencies(tf.where("term != ''")).crossJoin(F.broadcast(corpus)).select("term", "avgdl", (F.log1p(ratio) if idf == "log" else ratio).alias("idf"))
+    weights = written(weights, "weights")
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = tf.join(small(weights), "term").select("doc_id", "term", part.alias("part"))
+    hits = scored.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf") / (F.col("qtf") + 0.5)), 6).alias("score"))
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 

@@ -1,8 +1,13 @@
-"""Nearest neighbours by L2 distance: exact in blocks, and through an index of coarse cells."""
+"""Nearest neighbours by L2 distance: exact in blocks, through an index of coarse cells, and along a layered graph.
+
+Vectors and queries without an embedding are left out everywhere; embeddings of several lengths raise an error where
+they meet. Ids that are repeated are rows of their own. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators.lexical import top_k
+from corvid.plans.scratch import written
 
-#: Queries to a block: what is sent to the executors at once (512 x 4096 doubles are 16 MB).
+#: Queries to a block of the kernel (512 x 4096 doubles are 16 MB).
 QUERY_BLOCK = 512
+#: Queries that are sent to all executors at once; beyond, blocks of queries and parts of vectors meet in a shuffle.
+SENT_QUERIES = 4096
 PLACES = 6
 
 
@@ -21,63 +29,87 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    values = column.flatten()
-    return np.asarray(values, np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    """A list column without nulls as rows of a matrix."""
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = np.unique(np.asarray(column.value_lengths(), np.int64))
+    if len(sizes) > 1:
+        raise ValueError(f"embeddings of several lengths: {sizes[:5].tolist()}")
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
 def distances(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Rounded distances of all rows of q to all of v."""
+    if q.shape[1] != v.shape[1]:
+        raise ValueError(f"embeddings of several lengths: {q.shape[1]}, {v.shape[1]}")
     squares = (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T)
     return np.round(np.sqrt(np.maximum(squares, 0)), PLACES)
 
 
-def _nearest(ids: np.ndarray, q: np.ndarray, k: int, with_self: bool):
-    """Per batch of vectors, the k nearest of each query."""
+def _nearest(ids: np.ndarray, q: np.ndarray, k: int, with_self: bool, labels: np.ndarray | None = None):
+    """Per batch of vectors, the k nearest of each query; with labels (of the queries), among vectors of its label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            vec = np.asarray(b.column("vec_id"), np.int64)
-            d = distances(q, matrix(b.column("embedding")))
-            if not with_self:
-                d[ids[:, None] == vec[None, :]] = np.inf
-            order = np.lexsort((np.broadcast_to(vec, d.shape), d), axis=1)[:, :k]
-            dist = np.take_along_axis(d, order, 1)
-            ok = np.isfinite(dist).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, order.shape[1])[ok]), pa.array(vec[order].ravel()[ok]), pa.array(dist.ravel()[ok])], ["query_id", "vec_id", "distance"])
+            vec, v = np.asarray(b.column("vec_id"), np.int64), matrix(b.column("embedding"))
+            theirs = None if labels is None else np.asarray(b.column("label").to_pylist(), object)
+            for at in range(0, len(ids), QUERY_BLOCK):
+                mine = ids[at : at + QUERY_BLOCK]
+                d = distances(q[at : at + QUERY_BLOCK], v)
+                if not with_self:
+                    d[mine[:, None] == vec[None, :]] = np.inf
+                if labels is not None:
+                    own = labels[at : at + QUERY_BLOCK]
+                    d[(own[:, None] != theirs[None, :]) | np.equal(own, None)[:, None]] = np.inf
+                order = np.lexsort((np.broadcast_to(vec, d.shape), d), axis=1)[:, :k]
+                dist = np.take_along_axis(d, order, 1)
+                ok = np.isfinite(dist).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(mine, order.shape[1])[ok]), pa.array(vec[order].ravel()[ok]), pa.array(dist.ravel()[ok])], ["query_id", "vec_id", "distance"])
 
     return run
 
 
-def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, with_self: bool = False) -> DataFrame:
+def knn_exact(vectors: DataFrame, queries: DataFrame, k: int = 10, with_self: bool = False, label: str | None = None) -> DataFrame:
     """(query_id, rank, vec_id, distance) over all vectors (vec_id, embedding) for each query (query_id, embedding).
 
-    A stated query set against all rows, in blocks: queries go to the executors QUERY_BLOCK at a time, each scan of the
-    vectors keeps k rows a query and batch, so that is all that is shuffled. Ties are broken by vec_id.
+    With `label`, a column of both, only vectors of the query's label count; a null label matches none. Ties are broken by
+    vec_id. A stated query set against all rows, in blocks: up to SENT_QUERIES queries go to the executors with the one
+    scan of the vectors, which keeps k rows a query and batch. Of more, each block of queries meets each part of the
+    vectors in a task, and k rows a query are kept there.
     """
-    count = queries.count()
-    blocks = -(-count // QUERY_BLOCK)
-    out = None
-    for n in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).select("query_id", "embedding").toArrow() if blocks > 1 else queries.select("query_id", "embedding").toArrow()
-        if not rows.num_rows:
-            continue
-        rows = rows.combine_chunks()
-        ids, q = np.asarray(rows.column("query_id").combine_chunks(), np.int64), matrix(rows.column("embedding").combine_chunks())
-        part = vectors.select("vec_id", "embedding").mapInArrow(_nearest(ids, q, k, with_self), "query_id bigint, vec_id bigint, distance double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
-    return top_k(out, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
+    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
+    extra = [] if label is None else [F.col(label).alias("label")]
+    v, q = vectors.select("vec_id", "embedding", *extra), queries.select("query_id", "embedding", *extra)
+    sent = q.limit(SENT_QUERIES + 1).toArrow().combine_chunks()
+    if sent.num_rows <= SENT_QUERIES:
+        if not sent.num_rows:
+            return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
+        ids, rows = np.asarray(sent.column("query_id"), np.int64), matrix(sent.column("embedding").combine_chunks())
+        labels = None if label is None else np.asarray(sent.column("label").to_pylist(), object)
+        near = v.mapInArrow(_nearest(ids, rows, k, with_self, labels), "query_id bigint, vec_id bigint, distance double")
+    else:
+        if label is not None:
+            v, q = v.where("label is not null"), q.where("label is not null")
+        blocks, parts = -(-q.count() // SENT_QUERIES), max(1, -(-v.count() // PART))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        group = lambda block: F.xxhash64(block, *(["label"] if label else []))
+        placed = v.withColumn("block", every(blocks)).select(group("block").alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), "embedding")
+        asked = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select(group("block").alias("cell"), every(parts).alias("part"), F.lit(1).alias("side"), F.col("query_id").alias("id"), "embedding")
+        both = placed.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "id")
+        near = both.mapInArrow(_search(k, with_self), "query_id bigint, vec_id bigint, distance double")
+    return top_k(near, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
 
 
-def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
-    """Coarse centroids by k-means on a bounded sample: the `sample` vectors with the smallest hashes of their ids."""
-    rows = vectors.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks()
-    if not rows.num_rows:
-        return np.zeros((0, 0))
-    x = matrix(rows.column("embedding").combine_chunks())
+def _sample(vectors: DataFrame, most: int = 20_000) -> np.ndarray:
+    """The vectors with the smallest hashes of their ids: a bounded sample for fitting."""
+    rows = vectors.where("embedding is not null").select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).toArrow().combine_chunks()
+    return matrix(rows.column("embedding").combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+
+
+def fit_cells(x: np.ndarray, cells: int | None = None, rounds: int = 8) -> np.ndarray:
+    """Coarse centroids of a sample by k-means."""
     cells = min(len(x), cells or max(1, round(len(x) ** 0.5)))
     centres = x[:cells].copy()
     for _ in range(rounds):
@@ -88,6 +120,26 @@ def fit_cells(vectors: DataFrame, cells: int | None = None, sample: int = 20_000
     return centres
 
 
+def fit_share(x: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int = 256) -> float:
+    """The least share of the cells, nearest first, in which the first `asked` vectors of the sample find that much of
+    their k nearest others there, as an average less two standard errors."""
+    asked = min(asked, len(x))
+    d = distances(x[:asked], x)
+    d[np.arange(asked), np.arange(asked)] = np.inf
+    k = min(k, len(x) - 1)
+    if k < 1 or len(centres) < 2:
+        return 1.0
+    true = np.argpartition(d, k - 1, axis=1)[:, :k]
+    cell = distances(x, centres).argmin(1)
+    place = np.argsort(np.argsort(distances(x[:asked], centres), axis=1), axis=1)
+    needed = place[np.arange(asked)[:, None], cell[true]]  # how many cells come before that of each true neighbour
+    for n in range(1, len(centres) + 1):
+        found = (needed < n).mean(1)
+        if found.mean() - 2 * found.std() / asked**0.5 >= recall:
+            return n / len(centres)
+    return 1.0
+
+
 def _cells(centres: np.ndarray, probes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -99,15 +151,18 @@ def _cells(centres: np.ndarray, probes: int):
     return run
 
 
-def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float = 0.65, cells: int | None = None, with_self: bool = False) -> DataFrame:
+def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float | None = None, cells: int | None = None, with_self: bool = False, recall: float = 0.93) -> DataFrame:
     """As knn_exact, but a query looks only at that share of the cells that is nearest to it; every vector is in the index.
 
-    The default gives a recall of 0.9 and more on vectors without structure; clustered ones need far less.
-
+    Cells, and the share if none is given, are fitted on 20,000 vectors at most: the least share that gives the recall
+    asked for there. Vectors without structure need more than half of the cells, clustered ones few.
     Cells are cut into parts of about PART vectors by a hash of vec_id, and each (query, cell) goes to each part, so a
     cell of any size is spread over tasks. Queries and vectors meet in a join on (cell, part) and k rows a query are kept there.
     """
-    centres = fit_cells(vectors, cells)
+    vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
+    sample = _sample(vectors)
+    centres = fit_cells(sample, cells)
+    share = fit_share(sample, centres, k, recall) if share is None else share
     if not len(centres):
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -153,10 +208,66 @@ def _search(k: int, with_self: bool):
     return run
 
 
-def graph_stats(graph: DataFrame) -> DataFrame:
-    """One row on (query_id, vec_id) edges: nodes, edges, mean degree, largest in-degree."""
-    degree = graph.groupBy("vec_id").agg(F.count("*").alias("d")).agg(F.max("d").alias("max_in_degree"))
-    return graph.agg(F.countDistinct("query_id").alias("n_nodes"), F.count("*").alias("n_edges")).crossJoin(degree).select("n_nodes", "n_edges", F.round(F.col("n_edges") / F.col("n_nodes"), 6).alias("avg_degree"), "max_in_degree")
+def build_graph(vectors: DataFrame, m: int = 16, recall: float = 0.93) -> DataFrame:
+    """Links (layer, vec_id, neighbour, distance) of a layered proximity graph, both ways, at most m a node and layer.
+
+    Layer n has the nodes of level n and more. A node is tied to its nearest of the layer, found through cells; links are
+    made to lead both ways, and each node keeps the m shortest, so links that only one end keeps lead one way. vec_id must
+    not be repeated: check_ids tells.
+    """
+    nodes = written(vectors.where("embedding is not null").select("vec_id", "embedding", level(F.col("vec_id")).alias("level")), "nodes")
+    top, out = nodes.agg(F.max("level")).first()[0], []
+    for n in range(0 if top is None else top + 1):  # layers, of which level() allows few
+        layer = nodes.where(F.col("level") >= n).select("vec_id", "embedding")
+        near = written(knn_ivf(layer, layer.select(F.col("vec_id").alias("query_id"), "embedding"), k=m, recall=recall).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"), "distance"), "near")
+        both = near.unionByName(near.select(F.col("neighbour").alias("vec_id"), F.col("vec_id").alias("neighbour"), "distance")).distinct()
+        out.append(top_k(both, ["vec_id"], [F.asc("distance"), F.asc("neighbour")], m).select(F.lit(n).alias("layer"), "vec_id", "neighbour", "distance"))
+    if not out:
+        return vectors.sparkSession.createDataFrame([], "layer int, vec_id bigint, neighbour bigint, distance double")
+    return written(reduce(DataFrame.unionByName, out), "graph")
+
+
+def check_ids(vectors: DataFrame) -> DataFrame:
+    """(vec_id, n) of ids that stand in several rows, which a graph can't tell apart."""
+    return vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def expand(frontier: DataFrame, links: DataFrame) -> DataFrame:
+    """(query_id, vec_id) of all neighbours of the nodes in frontier (query_id, vec_id), once each."""
+    return frontier.join(links.select("vec_id", "neighbour"), "vec_id").select("query_id", F.col("neighbour").alias("vec_id")).distinct()
+
+
+def search_graph(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 96, with_self: bool = False, rounds: int = 24) -> DataFrame:
+    """As knn_exact, along build_graph's links: from the node of the highest level down the layers.
+
+    In each layer a query's frontier holds its ef best nodes (8 above the lowest layer); those not yet expanded are
+    expanded together, all queries at once, until none is left or `rounds` are over. Joins on node and query ids; nothing
+    but the number of open nodes comes to the driver.
+    """
+    vectors, queries = vectors.where("embedding is not null").select("vec_id", "embedding"), queries.where("embedding is not null").select("query_id", F.col("embedding").alias("asked"))
+    top = graph.agg(F.max(F.struct("layer", -F.col("vec_id"))).alias("x")).select("x.*").first()
+    if top[0] is None:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
+    measured = lambda rows: rows.join(queries, "query_id").join(vectors, "vec_id").select("query_id", "vec_id", F.round(l2(F.col("asked"), F.col("embedding")), PLACES).alias("distance"))
+    found = written(measured(queries.select("query_id", F.lit(-top[1]).alias("vec_id"))).withColumn("open", F.lit(True)), "frontier")
+    for n in range(top[0], -1, -1):
+        links, most = graph.where(F.col("layer") == n), ef if n == 0 else 8
+        found = found.withColumn("open", F.lit(True))
+        for _ in range(rounds):
+            fresh = measured(expand(found.where("open"), links).join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"))
+            kept = top_k(found.withColumn("open", F.lit(False)).unionByName(fresh.withColumn("open", F.lit(True))), ["query_id"], [F.asc("distance"), F.asc("vec_id")], most).drop("rank")
+            found = written(kept, "frontier")
+            if found.where("open").isEmpty():
+                break
+    if not with_self:
+        found = found.where("query_id != vec_id")
+    return top_k(found, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
+
+
+def graph_stats(graph: DataFrame, m: int = 16) -> DataFrame:
+    """Per layer: nodes with links, links, mean links a node, nodes with more than m."""
+    degree = graph.groupBy("layer", "vec_id").agg(F.count("*").alias("d"))
+    return degree.groupBy("layer").agg(F.count("*").alias("n_nodes"), F.sum("d").alias("n_links"), F.round(F.avg("d"), 6).alias("avg_links"), F.sum((F.col("d") > m).cast("long")).alias("n_over"))
 
 
 def recall_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
@@ -167,7 +278,14 @@ def recall_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return size.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"))
 
 
+def recall_summary(recalls: DataFrame) -> DataFrame:
+    """One row: queries, mean, median and 5th percentile (interpolated) of recall, from the counts of its distinct values."""
+    r = lambda c, name: F.round(c, 6).alias(name)
+    pct = F.percentile("recall", F.array(F.lit(0.5), F.lit(0.05)))
+    return recalls.agg(F.count("*").alias("n_queries"), F.avg("recall").alias("mean"), pct.alias("p")).select("n_queries", r(F.col("mean"), "mean_recall"), r(F.get("p", F.lit(0)), "p50_recall"), r(F.get("p", F.lit(1)), "p5_recall"))
+
+
 def level(key: Column, seed: int = 42, ml: float = 1.4426950408889634, most: int = 10) -> Column:
-    """A layer for each key: geometric with p = exp(-1 / ml), at most `most`, the same at every run."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.least(F.floor(-F.ln(u) * ml), F.lit(most)).cast("int")
+    """A layer for each key: geometric with p = exp(-1 / ml), at most `most`; of the first 52 bits of md5(seed:key)."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 13), 16, 10).cast("double")
+    return F.least(F.floor(-F.ln((bits + 0.5) / float(1 << 52)) * ml), F.lit(most)).cast("int")

@@ -168,34 +168,51 @@ def knn_ivf_recall(spark: SparkSession, d: str) -> DataFrame:
     return vector.recall_at(vector.knn_ivf(v, q), vector.knn_exact(v, q), 10)
 
 
+#: Level of a vector, and the layers that have several nodes.
+_LEVEL = "least(floor(-ln((('0x' || substr(md5('42:' || vec_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE) * 1.4426950408889634::DOUBLE), 10)::INTEGER"
+_RECALL = f"WITH t AS ({_KNN.format(more='')}), f AS ({_KNN.format(more=' AND v.label = q.label')}), s AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits FROM t JOIN f USING (query_id, vec_id) GROUP BY ALL) SELECT query_id, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n, 6) AS recall FROM s LEFT JOIN h USING (query_id)"
+
+
 @query()
 def knn_graph_build(spark: SparkSession, d: str) -> DataFrame:
-    v = table(spark, d, "embeddings")
-    return vector.knn_ivf(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), k=16)
+    return vector.build_graph(table(spark, d, "embeddings"))
 
 
-@query()
+@query(f"WITH l AS (SELECT {_LEVEL} AS level FROM embeddings) SELECT n::INTEGER AS layer, count(*) AS n_nodes, 0::BIGINT AS n_over FROM range(11) r(n) JOIN l ON level >= n GROUP BY n HAVING count(*) > 1")
 def knn_graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    return vector.graph_stats(knn_graph_build(spark, d))
+    """Nodes of each layer, and of them those with more than 16 links."""
+    return vector.graph_stats(knn_graph_build(spark, d)).select("layer", "n_nodes", "n_over")
 
 
 @query()
+def knn_graph_search(spark: SparkSession, d: str) -> DataFrame:
+    v, q = _vectors(spark, d)
+    return vector.search_graph(vector.build_graph(v), v, q)
+
+
+@query("SELECT 1::BIGINT AS found")
+def knn_graph_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the graph finds nine in ten of the true neighbours."""
+    v, q = _vectors(spark, d)
+    recalls = vector.recall_at(vector.search_graph(vector.build_graph(v), v, q), vector.knn_exact(v, q), 10)
+    return recalls.agg((F.avg("recall") >= 0.9).cast("long").alias("found"))
+
+
+@query(f"SELECT {_LEVEL} AS level, count(*) AS n FROM embeddings GROUP BY ALL")
 def level_histogram(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").groupBy(vector.level(F.col("vec_id")).alias("level")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH t AS ({_KNN.format(more='')}), f AS ({_KNN.format(more=' AND v.label = q.label')}), s AS (SELECT query_id, count(*) AS n FROM t GROUP BY ALL), h AS (SELECT query_id, count(*) AS hits FROM t JOIN f USING (query_id, vec_id) GROUP BY ALL) SELECT query_id, coalesce(hits, 0) AS hits, round(coalesce(hits, 0) / n, 6) AS recall FROM s LEFT JOIN h USING (query_id)")
+@query(f"{_RECALL}")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Of a search among vectors of the query's label, against the search among all."""
-    v, q = _vectors(spark, d)
-    truth = vector.knn_exact(v, q)
-    labels = v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    found = truth.limit(0)
-    for (value,) in labels.join(q, "query_id", "left_semi").where("query_label is not null").select("query_label").distinct().collect():
-        own = labels.where(F.col("query_label") == value).select("query_id")
-        part = vector.knn_exact(v.where(F.col("label") == value), q.join(own, "query_id", "left_semi"))
-        found = found.unionByName(part)
-    return vector.recall_at(found, truth, 10)
+    v, q = table(spark, d, "embeddings"), table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label")
+    return vector.recall_at(vector.knn_exact(v, q, label="label"), vector.knn_exact(v, q), 10)
+
+
+@query(f"SELECT count(*) AS n_queries, round(avg(recall), 6) AS mean_recall, round(quantile_cont(recall, 0.5), 6) AS p50_recall, round(quantile_cont(recall, 0.05), 6) AS p5_recall FROM ({_RECALL})")
+def recall_summary(spark: SparkSession, d: str) -> DataFrame:
+    return vector.recall_summary(recall_at_k(spark, d))
 
 
 _DENSE = "dense AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6), v.vec_id) AS rank FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) QUALIFY rank <= 20)"
