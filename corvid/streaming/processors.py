@@ -69,20 +69,31 @@ def cache(accesses: DataFrame, shard: str, budget: int) -> DataFrame:
 
 
 def microbatches(requests: DataFrame, key: str, size: int = 32, wait_ms: int = 50) -> DataFrame:
-    """Batches of requests (key string, request_id, priority): all that wait go once the oldest has waited wait_ms of processing time, `size` at a time, best priority first."""
+    """Batches of requests (key string, request_id, priority): all that wait go once the oldest has waited wait_ms of processing time, `size` at a time, best priority first.
+
+    The oldest's arrival is kept: later ones set the timer to what is left of its wait, and if nothing is left the
+    requests go with the trigger that brings them.
+    """
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, priorities, batch = (list(state.get[0]), list(state.get[1]), state.get[2]) if state.exists else ([], [], 0)
+        ids, priorities, batch, oldest = ([], [], 0, -1)
+        if state.exists:
+            ids, priorities, batch, oldest = list(state.get[0]), list(state.get[1]), state.get[2], state.get[3]
+        now = state.getCurrentProcessingTimeMs()
         if not state.hasTimedOut:
             for f in frames:
                 ids += f["request_id"].tolist()
                 priorities += f["priority"].tolist()
-            state.update((ids, priorities, batch))
-            state.setTimeoutDuration(wait_ms)
+            if oldest < 0 and ids:
+                oldest = now
+        left = oldest + wait_ms - now
+        if ids and left > 0:
+            state.update((ids, priorities, batch, oldest))
+            state.setTimeoutDuration(max(1, left))
             return
         order = sorted(zip((-p for p in priorities), ids, strict=True))
         out: list[tuple[Any, ...]] = [(group[0], batch + i // size, i % size, rid) for i, (_, rid) in enumerate(order)]
-        state.update(([], [], batch + -(-len(order) // size)))
+        state.update(([], [], batch + -(-len(order) // size), -1))
         yield pd.DataFrame(out, columns=["key", "batch", "place", "request_id"])
 
-    return requests.groupBy(key).applyInPandasWithState(step, "key string, batch bigint, place int, request_id bigint", "ids array<bigint>, priorities array<double>, batch bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy(key).applyInPandasWithState(step, "key string, batch bigint, place int, request_id bigint", "ids array<bigint>, priorities array<double>, batch bigint, oldest bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
