@@ -47,16 +47,19 @@ def sliding_rate(events: DataFrame, key: str, seconds: int = 10, tokens: Column
     """events with `rate`: rows, or tokens, of the key in the last `seconds` per second, the row's own and its peers' included.
 
     A key's time is cut into stretches of 16 windows; the rows of a stretch's last window also go to the next stretch,
-    so a key that holds a third of all rows is still spread over many tasks.
+    so a key that holds a third of all rows is still spread over many tasks. Rows without ts stay, with a null rate.
     """
     width, stretch = seconds * 1_000_000, 16 * seconds * 1_000_000
     at = events.withColumn("__at", micros()).withColumn("__own", F.floor(F.col("__at") / stretch))
-    again = F.when(F.col("__at") >= (F.col("__own") + 1) * stretch - width, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
+    again = F.when(F.col("__at").isNull(), F.array(F.lit(0).cast("bigint"))).when(F.col("__at") >= (F.col("__own") + 1) * stretch - width, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))
     spread = at.withColumn("__part", F.explode(again))
-    w = Window.partitionBy(key, "__part").orderBy("__at").rangeBetween(-width, 0)
     total = F.count("*") if tokens is None else F.sum(tokens)
-    rated = spread.withColumn("rate", F.round(total.over(w) / float(seconds), 6))
-    return rated.where(F.col("__own") == F.col("__part")).drop("__at", "__own", "__part")
+    # Rows without ts are dealt by themselves, so that they don't meet in one task.
+    alone = F.when(F.col("__at").isNull(), F.xxhash64(*events.columns))
+    w = Window.partitionBy(key, "__part", "__alone").orderBy("__at").rangeBetween(-width, 0)
+    rate = F.when(F.col("__at").isNotNull(), F.round(total.over(w) / float(seconds), 6))
+    rated = spread.withColumn("__alone", alone).withColumn("rate", rate).drop("__alone")
+    return rated.where((F.col("__own") == F.col("__part")) | F.col("__at").isNull()).drop("__at", "__own", "__part")
 
 
 class Admission:

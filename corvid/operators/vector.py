@@ -161,10 +161,10 @@ def knn_ivf(vectors: DataFrame, queries: DataFrame, k: int = 10, share: float |
     """
     vectors, queries = vectors.where("embedding is not null"), queries.where("embedding is not null")
     sample = _sample(vectors)
+    if not len(sample):
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
     centres = fit_cells(sample, cells)
     share = fit_share(sample, centres, k, recall) if share is None else share
-    if not len(centres):
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
     kind = vectors.schema["embedding"].dataType.simpleString()
     put = lambda df, key, n: df.select(F.col(key).alias("id"), "embedding").mapInArrow(_cells(centres, n), f"id bigint, embedding {kind}, cells array<int>").select("id", "embedding", F.explode("cells").alias("cell"))
     indexed = put(vectors, "vec_id", 1)

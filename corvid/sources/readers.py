@@ -61,9 +61,9 @@ def normalise_reviews(rows: DataFrame, least: int = 20) -> DataFrame:
     return rows.select(has("id", "review_id").alias("id"), text.alias("text"), meta.alias("meta")).where(F.length("text") > least)
 
 
-def reviews_with_businesses(reviews: DataFrame, businesses: DataFrame, order: Column | None = None) -> DataFrame:
+def reviews_with_businesses(reviews: DataFrame, businesses: DataFrame, order: Column) -> DataFrame:
     """Reviews left-joined to their business; of several rows of one business the last in `order` counts."""
-    last = businesses.groupBy("business_id").agg(F.max_by(F.struct("name", "categories"), F.lit(0) if order is None else order).alias("b"))
+    last = businesses.groupBy("business_id").agg(F.max_by(F.struct("name", "categories"), order).alias("b"))
     joined = reviews.join(last, "business_id", "left")
     text = F.trim(F.concat(F.coalesce("b.name", F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))))
     meta = F.struct("business_id", F.col("stars").alias("rating"), F.col("b.categories").alias("category"))
@@ -77,7 +77,7 @@ def html_documents(pages: DataFrame, html: str = "html", least: int = 100, most:
 
 
 def _records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Headers, HTTP headers and body of each WARC record, of plain or gzipped files."""
+    """Headers, HTTP headers and body of each WARC record, of plain or gzipped files, which are inflated as they are read."""
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
 
     def headers() -> dict[str, str]:
@@ -97,22 +97,44 @@ def _records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], byte
         yield record, http, rest
 
 
+#: Bytes of html to a batch of read_warc, about.
+WARC_BATCH = 16 << 20
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """id, url, html of the HTML responses in WARC files; each file is one row's work, as its gzip stream can't be split."""
+    """id, url, html of the HTML responses in WARC files below path.
+
+    Each file is one row's work, as its gzip stream can't be split: a task holds the file as it is stored and one batch of
+    about WARC_BATCH bytes of its records. Records that are cut off or no HTML are passed over.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column("content").to_pylist():
-                rows = [
-                    (r.get("warc-record-id"), r.get("warc-target-uri", ""), body.decode("utf-8", "ignore"))
-                    for r, http, body in _records(data)
-                    if r.get("warc-type") == "response" and http.get("content-type", "").startswith("text/html")
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], ["id", "url", "html"])
+            for k in range(b.num_rows):
+                rows, size = [], 0
+                for r, http, body in _records(b.column("content")[k].as_py()):
+                    if r.get("warc-type") != "response" or not http.get("content-type", "").startswith("text/html"):
+                        continue
+                    rows.append((r.get("warc-record-id"), r.get("warc-target-uri", ""), body.decode("utf-8", "ignore")))
+                    size += len(body)
+                    if size > WARC_BATCH:
+                        yield pack(rows)
+                        rows, size = [], 0
+                yield pack(rows)
+
+    def pack(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], ["id", "url", "html"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, url string, html string")
 
 
+def write_warc(pages: DataFrame, path: str) -> None:
+    """pages (id, url, html) as plain WARC files of HTTP responses below path."""
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce("html", F.lit("")))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: "), F.coalesce("id", F.lit("")), F.lit("\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(http).cast("string"))
+    pages.select(F.concat(head, F.lit("\r\n\r\n"), http).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+
+
 def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     """id, text, meta from the page elements of an XML dump."""
     schema = "id bigint, title string, revision struct<text: string>"
@@ -142,7 +164,7 @@ def latency_export(results: DataFrame) -> DataFrame:
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows without replacement, all if there are fewer; the same at every run."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def synthetic_documents(spark: SparkSession, n: int, words: list[str], seed: int = 42) -> DataFrame:

@@ -76,6 +76,58 @@ def test_knn_exact_and_ivf(spark):
     assert vector.knn_exact(none, q).count() == 0 and vector.knn_ivf(none, q).count() == 0 and vector.knn_exact(v, q.limit(0)).count() == 0
 
 
+def test_knn_in_blocks_by_label_and_without_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, r.tolist() if i % 50 else None, i % 3 if i % 7 else None) for i, r in enumerate(rng.normal(size=(400, 8)).astype(np.float32))]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    q = v.where("vec_id < 60").withColumnRenamed("vec_id", "query_id")
+    x = {i: (np.array(e), lab) for i, e, lab in rows if e is not None}
+    near = lambda i, keep: sorted((round(float(np.linalg.norm(x[i][0] - x[j][0])), 6), j) for j in x if j != i and keep(i, j))[:5]
+    same = lambda i, j: x[i][1] is not None and x[i][1] == x[j][1]
+    for sent in (vector.SENT_QUERIES, 16):
+        monkeypatch.setattr(vector, "SENT_QUERIES", sent)
+        for label, keep in ((None, lambda i, j: True), ("label", same)):
+            got = {}
+            for r in vector.knn_exact(v, q, 5, label=label).orderBy("query_id", "rank").collect():
+                got.setdefault(r["query_id"], []).append(r["vec_id"])
+            assert got == {i: [j for _, j in near(i, keep)] for i in range(60) if i in x and near(i, keep)}
+    odd = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>").coalesce(1)
+    with pytest.raises(Exception, match="several lengths"):
+        vector.knn_exact(odd, odd.withColumnRenamed("vec_id", "query_id").where("query_id = 1")).collect()
+
+
+def test_layered_graph(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 8)) + 6 * rng.integers(0, 2, size=(500, 8))
+    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(900, None)], "vec_id bigint, embedding array<float>")
+    q = v.where("vec_id < 25").withColumnRenamed("vec_id", "query_id")
+    graph = vector.build_graph(v, m=12)
+    links = graph.collect()
+    assert {r["vec_id"] for r in links if r["layer"] == 0} == set(range(500)) and max(r["layer"] for r in links) >= 3
+    assert all(r["vec_id"] != r["neighbour"] for r in links) and not graph.groupBy("layer", "vec_id").count().where("count > 12").count()
+    recall = vector.recall_at(vector.search_graph(graph, v, q), vector.knn_exact(v, q), 10).agg(F.avg("recall")).first()[0]
+    assert recall >= 0.9
+    none = v.limit(0)
+    assert vector.build_graph(none).count() == 0 and vector.search_graph(vector.build_graph(none), none, q).count() == 0
+    assert [tuple(r) for r in vector.check_ids(v.union(v.where("vec_id = 3"))).collect()] == [(3, 2)]
+
+
+def test_bm25_of_awkward_rows(spark):
+    docs = spark.createDataFrame([(9, "a b"), (2, "a c"), (3, "a"), (4, None), (5, "a d d"), (1, "x"), (6, "")], "doc_id bigint, text string")
+    queries = spark.createDataFrame([(1, "a d"), (2, "a"), (3, "none"), (4, None)], "query_id bigint, text string")
+    got = {}
+    for r in lexical.bm25(docs, queries, k=3).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["doc_id"])
+    assert got == {1: [5, 3, 2], 2: [3, 2, 9]}
+    assert lexical.bm25(docs.limit(0), queries).count() == 0 and lexical.bm25(docs, queries.limit(0)).count() == 0
+
+
+def test_sliding_rate_keeps_rows_without_time(spark):
+    rows = spark.createDataFrame([("k", 1, "2024-01-01 00:00:00"), ("k", 2, None), ("k", 3, None)], "key string, n int, t string").selectExpr("key", "n", "cast(t AS timestamp_ntz) AS ts")
+    assert sorted((r["n"], r["rate"]) for r in serving.sliding_rate(rows, "key", 10).collect() if r["n"] == 1) == [(1, 0.1)]
+    assert [r["rate"] for r in serving.sliding_rate(rows, "key", 10).where("ts is null").collect()] == [None, None]
+
+
 def test_fusion_weights(spark):
     lex = spark.createDataFrame([(1, 10, 4.0), (1, 11, 2.0)], "query_id bigint, doc_id bigint, score double")
     den = spark.createDataFrame([(1, 11, 0.5), (1, 12, 1.5)], "query_id bigint, vec_id bigint, distance double")
