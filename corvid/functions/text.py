@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The 48 known words of the compatibility tokenizer; their ids start at 4, after four special tokens.
@@ -63,6 +63,27 @@ def word_chunks(w: Column, size: int = 512, overlap: int = 50) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.transform(F.sequence(i, F.least(i + size, F.size(w)) - 1), lambda j: F.get(w, j)), " "))
 
 
+def id_chunks(text: Column, size: int = 512, overlap: int = 50) -> Column:
+    """Overlapping pieces of `size` token ids of the compatibility tokenizer, decoded; unknown words decode to nothing."""
+    if not 0 <= overlap < size:
+        raise ValueError("0 <= overlap < size is needed")
+
+    def cut(ids: Column) -> Column:
+        starts = F.when(F.size(ids) > 0, F.sequence(F.lit(0), F.size(ids) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: compat_decode(F.slice(ids, i + 1, F.lit(size))))
+
+    return F.element_at(F.transform(F.array(compat_encode(text)), cut), 1)  # binds the ids, which would else be made for each piece
+
+
+def chunk_documents(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
+    """(id, text, meta) per piece of docs (id, text, meta map<string,string>): the piece's number is in its id and, with the
+    number of pieces, in its meta beside the document's own; null meta counts as empty; null and empty texts have no pieces."""
+    rows = docs.select("id", "meta", F.explode(F.array(chunks(F.col("text"), size, overlap))).alias("c")).select("id", "meta", F.size("c").alias("n"), F.posexplode("c").alias("k", "piece"))
+    own = F.map_filter(F.coalesce("meta", F.create_map().cast("map<string,string>")), lambda key, _: ~key.isin("chunk_idx", "total_chunks"))
+    meta = F.map_concat(own, F.create_map(F.lit("chunk_idx"), F.col("k").cast("string"), F.lit("total_chunks"), F.col("n").cast("string")))
+    return rows.select(F.concat_ws("_chunk_", "id", "k").alias("id"), F.col("piece").alias("text"), meta.alias("meta"))
+
+
 def strip_tags(html: Column) -> Column:
     """Text between tags, white space as one space, trimmed."""
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"<[^>]+>", "")
@@ -84,6 +105,30 @@ def varint_bytes(value: Column) -> Column:
     return out.cast("long")
 
 
+def varint_encode(value: Column) -> Column:
+    """A non-negative number as bytes: groups of 7 bits, the lowest first, with the high bit set on all but the last."""
+    group = lambda k: F.shiftrightunsigned(value, 7 * k).bitwiseAND(F.lit(127))
+    more = lambda k: F.when(F.shiftrightunsigned(value, 7 * (k + 1)) > 0, 128).otherwise(0)
+    digits = [F.when(F.shiftrightunsigned(value, 7 * k) > 0, F.lpad(F.hex(group(k) + more(k)), 2, "0")).otherwise("") for k in range(1, 9)]
+    return F.unhex(F.concat(F.lpad(F.hex(group(0) + more(0)), 2, "0"), *digits))
+
+
+def varint_decode(data: Column) -> Column:
+    """The numbers that stand in a row of varint_encode's bytes; a cut off last one is left out."""
+    digits = F.hex(data)
+    places = F.when(F.octet_length(data) > 0, F.sequence(F.lit(0), F.octet_length(data) - 1)).otherwise(F.array().cast("array<int>"))
+    numbers = F.transform(places, lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("long"))
+
+    def step(s: Column, x: Column) -> Column:
+        value = s["value"] + x.bitwiseAND(F.lit(127)) * F.pow(F.lit(128), s["place"]).cast("long")
+        last = x < 128
+        out = F.when(last, F.concat(s["out"], F.array(value))).otherwise(s["out"])
+        return F.struct(out.alias("out"), F.when(last, F.lit(0).cast("long")).otherwise(value).alias("value"), F.when(last, F.lit(0)).otherwise(s["place"] + 1).alias("place"))
+
+    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.lit(0).cast("long").alias("value"), F.lit(0).alias("place"))
+    return F.aggregate(numbers, start, step, lambda s: s["out"])
+
+
 def zigzag(value: Column) -> Column:
     return F.shiftleft(value, 1).bitwiseXOR(F.shiftright(value, 63))
 

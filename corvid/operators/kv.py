@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.plans.scratch import global_row_number
+from corvid.plans.scratch import global_row_number, written
 
 
 def prefix_hash(tokens: Column, first: int = 100) -> Column:
@@ -61,8 +61,6 @@ def page_stats(pages: DataFrame, max_pages: int = 10_000) -> DataFrame:
 
 def page_numbers(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     """(page_key, page): numbers from 0 in the order of keys, without gaps (a defragmented layout); fails beyond max_pages."""
-    from corvid.plans.scratch import global_row_number
-
     keys = pages.select("page_key").distinct()
     if max_pages is not None:
         n = keys.count()
@@ -71,6 +69,37 @@ def page_numbers(pages: DataFrame, max_pages: int | None = None) -> DataFrame:
     return global_row_number(keys, [F.asc("page_key")], "page").withColumn("page", F.col("page") - 1)
 
 
+def allocate(free: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, page): pages of free (page, place: since when it is free) for requests (request_id, num_pages) in order.
+
+    Pages that are free for longest go first. A request for which not all pages are left gets none, and neither do those
+    after it, as a request is never served in part; refused() names them.
+    """
+    want = _running(requests)
+    slots = global_row_number(free, [F.asc("place"), F.asc("page")], "slot").select("slot", "page")
+    served = want.where(F.col("upto") <= free.count()).select("request_id", F.explode(F.sequence(F.col("upto") - F.col("num_pages") + 1, F.col("upto"))).alias("slot"))
+    return served.join(slots, "slot").select("request_id", "page")
+
+
+def refused(free: DataFrame, requests: DataFrame) -> DataFrame:
+    """(request_id, num_pages) of the requests that allocate() leaves out."""
+    return _running(requests).where(F.col("upto") > free.count()).select("request_id", "num_pages")
+
+
+def _running(requests: DataFrame) -> DataFrame:
+    """Requests with the pages asked for up to each, from sums of range partitions."""
+    parts = written(requests.where("num_pages > 0").repartitionByRange("request_id").withColumn("part", F.spark_partition_id()), "requests")
+    sums = parts.groupBy("part").agg(F.sum("num_pages").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("num_pages").over(Window.partitionBy("part").orderBy("request_id").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(F.broadcast(sums.select("part", before.alias("before"))), "part").withColumn("upto", F.col("before") + inside).drop("part", "before")
+
+
+def defragment(allocated: DataFrame) -> DataFrame:
+    """(page, moved_to): the pages in use, numbered from 0 without gaps in their order; pages that stay are named too."""
+    return global_row_number(allocated.select("page").distinct(), [F.asc("page")], "moved_to").withColumn("moved_to", F.col("moved_to") - 1)
+
+
 def free_pages(allocated: DataFrame, freed: DataFrame) -> DataFrame:
     """Allocated pages without those freed; unknown ones are ignored."""
     return allocated.join(freed.select("page").distinct(), "page", "left_anti")

@@ -20,6 +20,11 @@ def term_frequencies(docs: DataFrame, terms: Column | None = None) -> DataFrame:
     return docs.select("doc_id", F.explode(terms).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def lookup(tf: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (term, doc_id) with tf: how often the term stands in the document, 0 where it doesn't."""
+    return pairs.join(tf, ["term", "doc_id"], "left").withColumn("tf", F.coalesce("tf", F.lit(0)))
+
+
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 

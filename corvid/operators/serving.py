@@ -77,9 +77,13 @@ class Admission:
             return "qps"
         if (self.tokens + tokens) / self.seconds > self.token_rate:
             return "tokens"
+        self.record(now, tokens)
+        return "admitted"
+
+    def record(self, now: float, tokens: int) -> None:
+        """Counts a request that was let in without asking."""
         self.admitted.append((now, tokens))
         self.tokens += tokens
-        return "admitted"
 
 
 class TokenLRU:
@@ -178,6 +182,17 @@ def queue_state(operations: DataFrame) -> DataFrame:
     return last.where("x.op <> 'delete'").select("key", F.col("x.score").alias("score"))
 
 
+def queue_info(queue: DataFrame, largest: bool = False) -> DataFrame:
+    """One row on queue (key, score): size, and the key and score that would be popped next (null if it is empty)."""
+    best = F.min(F.struct((-F.col("score") if largest else F.col("score")).alias("s"), "key", "score")).alias("x")
+    return queue.agg(F.count("*").alias("size"), best).select("size", F.col("x.key").alias("next_key"), F.col("x.score").alias("next_score"))
+
+
+def scores_of(queue: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, contained, score) for keys (key): whether each is in the queue, and with which score."""
+    return keys.select("key").distinct().join(queue.select("key", "score", F.lit(True).alias("__in")), "key", "left").select("key", F.coalesce("__in", F.lit(False)).alias("contained"), "score")
+
+
 def pop_order(queue: DataFrame, largest: bool = False) -> DataFrame:
     """queue with the place in which each key would be popped; ties by key."""
     return global_row_number(queue, [F.desc("score") if largest else F.asc("score"), F.asc("key")], "place")

@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import text as tx
 from corvid.operators import fusion, kv, lexical, serving, sketch, stats, vector
+from corvid.plans.register import QUERIES, SQL, query
 from corvid.plans.scratch import table
 from corvid.sources import readers
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 _W = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\r\f]+'), lambda w: w <> '')"
 _KNOWN = "(" + ", ".join(f"'{w}'" for w in tx.COMPAT_WORDS) + ")"
 _T95 = "CASE WHEN n < 2 THEN NULL WHEN n <= 31 THEN list_extract([" + ", ".join(map(str, stats.T95)) + "], (n - 1)::INTEGER) ELSE 1.96 END"
 
 
-def query(sql: str | None = None):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 # --- text ---
 
 
@@ -278,7 +263,7 @@ def union_schemas(spark: SparkSession, d: str) -> DataFrame:
     return readers.union_schemas(a, b)
 
 
-@query()
+@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def corpus_sample(spark: SparkSession, d: str) -> DataFrame:
     """The sampling operator: 100 documents, the same at every run."""
     return readers.sample_exact(table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), 100, "doc_id")

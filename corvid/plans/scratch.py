@@ -34,6 +34,16 @@ def scratch_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder of which there is no other; what is put there goes with the scope() around, else when the driver ends."""
+    path = f"{scratch_folder(spark)}/corvid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
 
@@ -41,17 +51,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     in, else when the driver ends, as the caller's result may still read it before.
     """
     spark = df.sparkSession
-    path = f"{scratch_folder(spark)}/corvid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    if _scopes:
-        _scopes[-1].append(path)
-    else:
-        atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

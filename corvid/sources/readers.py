@@ -142,6 +142,11 @@ def read_wiki_pages(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").cast("string").alias("id"), F.col("revision.text").alias("text"), F.create_map(F.lit("title"), F.col("title")).alias("meta")).where(F.length("text") > 0)
 
 
+def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(vec_id, embedding) from Parquet; rows without a vector are left out."""
+    return spark.read.schema("vec_id bigint, embedding array<float>").parquet(path).where("embedding is not null")
+
+
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark runs from JSON arrays in files below path, with the file each is from; columns that older files lack are null."""
     return spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_path"))

@@ -7,32 +7,53 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import words
 from corvid.operators import lexical
+from corvid.plans.scratch import discard, written
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = 64) -> None:
-    """Tables postings (by a hash of the term), terms, documents and corpus below path."""
-    tf = lexical.term_frequencies(docs)
+    """Tables postings (by a hash of the term), terms, documents and corpus below path; fails if there is an index."""
+    _put(docs, path, buckets, "errorifexists")
+
+
+def append_index(docs: DataFrame, path: str) -> None:
+    """Adds documents, whose ids must be new, to an index: frequencies and sizes are kept as increments, which add up."""
+    _put(docs, path, _corpus(docs.sparkSession, path).first()["buckets"], "append")
+
+
+def _put(docs: DataFrame, path: str, buckets: int, mode: str) -> None:
+    tf = written(lexical.term_frequencies(docs), "tf")
     by_term = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("bucket")
-    lexical.postings(tf).select("*", by_term).repartition("bucket", "block").sortWithinPartitions("term", "block", "doc_id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lexical.document_frequencies(tf).write.parquet(f"{path}/terms")
-    docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("dl")).write.parquet(f"{path}/documents")
-    lexical.corpus_stats(docs).write.parquet(f"{path}/corpus")
+    out = lambda df: df.write.mode(mode)
+    out(lexical.postings(tf).select("*", by_term).repartition("bucket", "block").sortWithinPartitions("term", "block", "doc_id")).partitionBy("bucket").parquet(f"{path}/postings")
+    out(lexical.document_frequencies(tf)).parquet(f"{path}/terms")
+    out(docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("dl"))).parquet(f"{path}/documents")
+    out(lexical.corpus_stats(docs).select("n_docs", "total_tokens", F.lit(buckets).alias("buckets"))).parquet(f"{path}/corpus")
+    discard(tf)
+
+
+def _corpus(spark: SparkSession, path: str) -> DataFrame:
+    sums = [F.sum("n_docs").alias("n_docs"), (F.sum("total_tokens") / F.sum("n_docs")).alias("avgdl"), F.max("buckets").alias("buckets")]
+    return spark.read.parquet(f"{path}/corpus").agg(*sums)
 
 
 def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """As lexical.bm25, from a written index: only the buckets of the query terms are read."""
     asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    lists = spark.read.parquet(f"{path}/postings")
-    buckets = 1 + (lists.agg(F.max("bucket")).first()[0] or 0)
-    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast(lists.schema["bucket"].dataType))
-    corpus = spark.read.parquet(f"{path}/corpus").select("n_docs", "avgdl")
+    lists, corpus = spark.read.parquet(f"{path}/postings"), _corpus(spark, path)
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(corpus.first()["buckets"])).cast(lists.schema["bucket"].dataType))
+    terms = spark.read.parquet(f"{path}/terms").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
     ratio = F.greatest((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(0.0))
-    hits = asked.join(lists, ["bucket", "term"]).join(spark.read.parquet(f"{path}/terms"), "term").join(spark.read.parquet(f"{path}/documents"), "doc_id").crossJoin(F.broadcast(corpus))
+    hits = asked.join(lists, ["bucket", "term"]).join(terms, "term").join(spark.read.parquet(f"{path}/documents"), "doc_id").crossJoin(F.broadcast(corpus.drop("buckets")))
     part = ratio * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf") / (F.col("qtf") + 0.5)
     scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return lexical.top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
+def write_embeddings(vectors: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """vectors (vec_id, embedding) as Parquet, embeddings as floats."""
+    vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).write.mode(mode).parquet(path)
+
+
 def write_results(detail: DataFrame, aggregated: DataFrame, path: str) -> None:
     """results and results_aggregated below path, as JSON lines and as CSV with a header; nested columns go to JSON alone."""
     for name, df in (("results", detail), ("results_aggregated", aggregated)):

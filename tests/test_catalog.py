@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from corvid.plans import catalog
+import __spark_entry__  # noqa: F401
+from corvid.plans import register as catalog
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")

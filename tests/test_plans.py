@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corvid.operators import lexical, serving, sketch
-from corvid.plans import catalog, harness, search
+from corvid.functions import text as tx
+from corvid.operators import kv, lexical, serving, sketch
+from corvid.plans import catalog, harness, scratch, search
 from corvid.sources import sinks
 
 
@@ -61,3 +62,55 @@ def test_recall_takes_every_label(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
     got = {r["query_id"] // 100: r["hits"] for r in catalog.QUERIES["recall_at_k"](spark, f"file://{tmp_path}").collect()}
     assert got == {0: 1, 1: 1, 2: 2, 3: 2, 4: 2, 5: 1, 6: 1, 7: 0, 8: 0}
+
+
+def test_index_grows_by_increments(spark, tmp_path):
+    docs, _, queries = corpus(spark)
+    sinks.write_index(docs.where("doc_id < 2"), f"file://{tmp_path}/index", buckets=4)
+    sinks.append_index(docs.where("doc_id >= 2"), f"file://{tmp_path}/index")
+    got = sinks.search_index(spark, f"file://{tmp_path}/index", queries.select("query_id", "text"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, lexical.bm25(docs, queries.select("query_id", "text")).collect()))
+
+
+def test_run_of_several_datasets(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("".join(f"{k}\tsome text of number {k}\n" for k in range(30)))
+    (tmp_path / "b.jsonl").write_text("".join(f'{{"_id": "{k}", "body": "body {k}"}}\n' for k in range(5)))
+    sets = {"a": ("passages", f"file://{tmp_path}/a.tsv"), "b": ("general:task", f"file://{tmp_path}/b.jsonl"), "c": ("passages", f"file://{tmp_path}/none.tsv"), "d": ("other", "x")}
+    rows = {r["corpus"]: r for r in harness.run_datasets(spark, sets, sample=20, queries=2, dim=8).collect()}
+    assert rows["a"]["n_docs"] == 20 and rows["b"]["n_docs"] == 5 and rows["a"]["search_ms"] > 0
+    assert rows["c"]["error"] and "unknown source" in rows["d"]["error"] and rows["d"]["n_docs"] is None
+
+
+def test_scratch_scopes_and_clusters(spark, monkeypatch):
+    with scratch.scope(spark) as made:
+        gone, stays = scratch.written(spark.range(3), "gone"), scratch.written(spark.range(4), "stays")
+        made.keep(stays)
+    assert stays.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|no such"):
+        gone.count()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+    class Elsewhere:
+        conf = {}
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_folder(Elsewhere)
+
+
+def test_codecs_pages_and_admission(spark):
+    values = [0, 1, 127, 128, 300, 2**21, 2**35 + 5, 2**62]
+    row = spark.createDataFrame([(values,)], "v array<bigint>")
+    coded = row.select(F.unhex(F.array_join(F.transform("v", lambda x: F.hex(tx.varint_encode(x))), "")).alias("data"))
+    assert coded.select(tx.varint_decode(F.col("data")).alias("v")).first()["v"] == values
+    assert bytes(spark.range(1).select(tx.varint_encode(F.lit(300).cast("long")).alias("x")).first()["x"]) == b"\xac\x02"
+    free = spark.createDataFrame([(5, 0), (1, 1), (2, 1)], "page bigint, place int")
+    ask = spark.createDataFrame([(1, 2), (2, 0), (3, 2), (4, 1)], "request_id bigint, num_pages int")
+    assert sorted(map(tuple, kv.allocate(free, ask).collect())) == [(1, 1), (1, 5)]
+    assert sorted(r["request_id"] for r in kv.refused(free, ask).collect()) == [3, 4]
+    gate = serving.Admission(qps=0.2, token_rate=100.0, seconds=10.0)
+    gate.record(0.0, 5)
+    assert gate.ask(1.0, 5) == "admitted" and gate.ask(2.0, 5) == "qps" and gate.tokens == 10
