@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm.shared import content_key, discard, in_slices, mix, table, utf8, window_hashes, with_keys, word_hashes, written
+from corvid.llm.shared import content_key, discard, in_slices, mix, small, table, utf8, window_hashes, with_keys, word_hashes, written
 
 SHARED, LONGER = 20, 35
 BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
@@ -268,8 +268,9 @@ def blocks_of(groups: DataFrame, alone: bool = False) -> DataFrame:
 
 def block_links(groups: DataFrame, sets: DataFrame, percent: int, alone: bool = False) -> DataFrame:
     """Links (a, b) among the sets of each group, as far as they join labels and stand in one of the group's blocks."""
-    blocks = blocks_of(groups, alone)
-    full = blocks.join(sets.select("cid", "tokens"), "cid").select("h", "p", "q", "side", "cid", "label", "earlier", "tokens")
+    # Few rows of hashes go to the sets, instead of all sets to them; many meet in a shuffle.
+    blocks = small(written(blocks_of(groups, alone), "blocks"), 200_000)
+    full = sets.select("cid", "tokens").join(blocks, "cid").select("h", "p", "q", "side", "cid", "label", "earlier", "tokens")
     return full.repartition("h", "p", "q").sortWithinPartitions("h", "p", "q").mapInArrow(_block_links(percent), "a bigint, b bigint")
 
 
@@ -355,7 +356,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     # The exact sets of all classes with enough shared hashes, each from one row's text.
     same = [*content_key(F.col("text")), F.xxhash64("doc_id").alias("__i")]
     need = enough.select("cid").join(classes.select("cid", "row"), "cid").select("cid", F.col("row.__k1").alias("__k1"), F.col("row.__k2").alias("__k2"), F.xxhash64("row.doc_id").alias("__i"))
-    key = ["__k1", "__k2", "__i"]
+    key, need = ["__k1", "__k2", "__i"], small(written(need, "need"))
     texts = source.select(*same, "text").join(need, key).groupBy(*key, "cid").agg(F.first("text").alias("text")).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
