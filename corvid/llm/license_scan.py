@@ -1,8 +1,9 @@
 """Licence scan: a positional rare-token index over licence notices.
 
-The index maps each word of the notices to its (template, position) postings. In a file, the licence words that are
-rarest in the corpus are looked up; postings that agree on file position minus template position give a placement;
-a placement counts when enough of the notice's weight stands there and its mandatory phrases stand in their places.
+The index maps each word of the notices to its (template, position) postings. In a file, those of its licence words are
+looked up that are rarest in the corpus: of each template so many, by IDF, that a placement without any of them can't
+reach the weight asked for. Postings that agree on file position minus template position give a placement; it counts when
+enough of the notice's weight stands there and its mandatory phrases stand in their places.
 """
 
 from __future__ import annotations
@@ -32,6 +33,12 @@ NOTICES = (
     ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
     ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
     ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    ("boost", "boost software license version 1 0", ("boost software license",)),
+    ("cc0", "cc0 1 0 universal", ("cc0 1 0 universal",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("waived all copyright and related or neighboring rights",)),
+    ("epl-2.0", "eclipse public license v 2 0", ("eclipse public license",)),
+    ("gpl-2.0", "licensed under gplv2", ("licensed under gplv2",)),
+    ("gpl-3.0", "licensed under gplv3", ("licensed under gplv3",)),
     ("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
     ("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("under the terms of the gnu general public license",)),
@@ -39,10 +46,18 @@ NOTICES = (
     ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("permission is hereby granted free of charge",)),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
 )
 
 
+#: Identifiers that may follow `SPDX-License-Identifier:`, as words, and their labels.
+SPDX = (
+    ("mit", "mit"), ("apache 2 0", "apache-2.0"), ("bsd 2 clause", "bsd"), ("bsd 3 clause", "bsd"), ("isc", "isc"), ("zlib", "zlib"), ("mpl 2 0", "mpl-2.0"), ("epl 2 0", "epl-2.0"), ("bsl 1 0", "boost"),
+    ("gpl 2 0", "gpl-2.0"), ("gpl 3 0", "gpl-3.0"), ("lgpl 2 1", "lgpl"), ("lgpl 3 0", "lgpl"), ("agpl 3 0", "agpl"), ("cc0 1 0", "cc0"), ("unlicense", "unlicense"),
+)
+
+
 @dataclass(frozen=True)
 class Template:
     label: str
@@ -54,7 +69,8 @@ class Template:
 
 def templates() -> list[Template]:
     out = [Template(label, w := tuple(p.split()), ((0, len(w)),), True) for p, label in BASE]
-    for label, text, phrases in NOTICES:
+    tags = [(label, f"spdx license identifier {x}", (f"spdx license identifier {x}",)) for x, label in SPDX]
+    for label, text, phrases in (*NOTICES, *tags):
         w, spots = tuple(text.split()), []
         for p in phrases:
             p = tuple(p.split())
@@ -64,31 +80,47 @@ def templates() -> list[Template]:
 
 
 class Index:
-    """Postings of the templates' words and, per template, its rarest words as anchors."""
+    """Postings of the templates' words."""
 
-    def __init__(self, idf: dict[str, float], anchors: int = 3, least: float = 0.7):
+    def __init__(self, idf: dict[str, float], least: float = 0.7):
         self.templates, self.idf, self.least = templates(), idf, least
-        self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        self.postings: dict[str, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         self.weight = [sum(idf[w] for w in t.words) for t in self.templates]
+        self.must = []
+        for n, t in enumerate(self.templates):
+            for p, w in enumerate(t.words):
+                self.postings[w][n].append(p)
+            self.must.append(frozenset(w for p, k in t.mandatory for w in t.words[p : p + k]))
+        self.vocabulary = frozenset(self.postings)
+        #: A file with a template has one of these: each template's rarest mandatory word.
+        self.rarest = frozenset(max(m, key=lambda w: (idf[w], w)) for m in self.must)
+
+    def lookups(self, have: frozenset[str]) -> dict[str, list[tuple[int, int]]]:
+        """Postings (template, position) to look up in a file with these licence words, by word: of each template that can
+        stand there the words of highest IDF, until what the others weigh is less than a placement needs."""
+        out: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, t in enumerate(self.templates):
-            rarest = sorted(set(t.words), key=lambda w: (-idf[w], w))
-            for w in rarest[: 1 if t.base else anchors]:
-                self.postings[w] += [(n, p) for p, x in enumerate(t.words) if x == w]
-        self.anchor_words = frozenset(self.postings)
+            if not self.must[n] <= have:
+                continue
+            left, need = sum(self.idf[w] for w in t.words if w in have), self.least * self.weight[n]
+            for w in sorted(have.intersection(t.words), key=lambda w: (-self.idf[w], w)):
+                if left < need - 1e-9:
+                    break
+                out[w] += [(n, p) for p in self.postings[w][n]]
+                left -= self.idf[w] * len(self.postings[w][n])
+                if t.base:  # all its words are mandatory: the rarest is in each placement
+                    break
+        return out
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """The number of words, and (start, template, share of its weight) of each placement found, sorted."""
         words = WORD.findall((text or "").translate(LOWER))
-        rare = self.anchor_words.intersection(words)
-        if not rare:
+        have = self.vocabulary.intersection(words)
+        if not have or self.rarest.isdisjoint(have) or not (asked := self.lookups(have)):
             return len(words), []
-        votes: Counter[tuple[int, int]] = Counter()
-        for at, w in enumerate(words):
-            if w in rare:
-                for n, p in self.postings[w]:
-                    votes[n, at - p] += 1
+        places = {(n, at - p) for at, w in enumerate(words) if w in asked for n, p in asked[w]}
         found = []
-        for n, start in votes:
+        for n, start in places:
             t = self.templates[n]
             if all(start + p >= 0 and tuple(words[start + p : start + p + k]) == t.words[p : p + k] for p, k in t.mandatory):
                 here = words[max(0, start) : start + len(t.words)]

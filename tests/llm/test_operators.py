@@ -57,6 +57,46 @@ def test_license_scan(spark, folder, rows):
     assert labels[1] == ["cc-by-nc"] and "gpl-3.0" in labels[2] and labels[3] == []
 
 
+def test_license_notices_of_many_wordings():
+    index = license_scan.Index({w: 1.0 for x in license_scan.templates() for w in x.words})
+    said = {
+        "// SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "This code is licensed under GPLv2.": "gpl-2.0",
+        "available under the Eclipse Public License v2.0": None, "available under the Eclipse Public License v 2.0": "epl-2.0", "CC0 1.0 Universal": "cc0",
+        "Boost Software License - Version 1.0 - August 17th, 2003": "boost",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.": "zlib",
+    }
+    for text, label in said.items():
+        labels = {index.templates[n].label for _, n, _ in index.scan(text)[1]}
+        assert label in labels if label else not labels, text
+
+
+def test_license_placements_equal_a_search_at_every_place():
+    rng = random.Random(13)
+    known = license_scan.templates()
+    vocabulary = sorted({w for t in known for w in t.words})
+    idf = {w: rng.choice([0.2, 1.0, 3.0, 7.5]) + rng.random() for w in vocabulary}
+    index = license_scan.Index(idf)
+    total = 0
+    for _ in range(400):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            part = list(rng.choice(known).words)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                part[rng.randrange(len(part))] = rng.choice(vocabulary)
+            words += part[rng.choice([0, 0, 0, 2]) :] + rng.choices([*vocabulary, "other", "text"], k=rng.randrange(6))
+        expected = []
+        for n, t in enumerate(known):
+            for start in range(-len(t.words), len(words)):
+                at = lambda p, start=start: words[start + p] if 0 <= start + p < len(words) else None
+                share = sum(idf[w] for p, w in enumerate(t.words) if at(p) == w) / sum(idf[w] for w in t.words)
+                if share >= 0.7 and all(at(p + j) == t.words[p + j] for p, k in t.mandatory for j in range(k)):
+                    expected.append((start, n, round(share, 9)))
+        n_words, got = index.scan(" ".join(words))
+        assert n_words == len(words) and [(a, n, round(s, 9)) for a, n, s in got] == sorted(expected)
+        total += len(got)
+    assert total > 300
+
+
 def test_quality_counts_and_verdicts(spark, folder, rows):
     got = registry.queries()["op2_quality_rules"](spark, f"{folder}/all").collect()
     same([(r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in got], brute.quality(pairs(rows)))
