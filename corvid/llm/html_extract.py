@@ -33,14 +33,23 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
 }
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-#: Words of class and id that mark what is no article.
+#: Words of class, id and the like that mark what is no article.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
-    "share sharing social related recommended recommendations sidebar sidenav rail widget comment comments commentlist respond disqus reply replies menu nav navbar navigation navlinks breadcrumb breadcrumbs pagination pager "
-    "footer header masthead topbar toolbar login search skip paywall outbrain taboola tags".split()
+    "ad ads adsbygoogle adsense adslot adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices announcement disclaimer alert popup modal "
+    "overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar sidenav rail widget comment comments commentlist respond disqus reply replies menu nav navbar "
+    "navigation navlinks breadcrumb breadcrumbs pagination pager footer header masthead topbar toolbar login search skip paywall outbrain taboola tags".split()
 )
+#: Words that may stand beside these in an id or a label. Other words make it a heading's own (`share-prices`), which marks nothing.
+COMMON = frozenset(
+    "area article articles bar block body bottom box button buttons center col column container content div element entry fixed form global google gpt group inner item items left link links list main mobile module more "
+    "number outer page panel post posts primary reader readers right row secondary section site slot sticky stories story top user users view wrap wrapper zone".split()
+)
+NAMING = frozenset("class id itemprop itemtype aria-label".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Those of NAMES that stay what they are however much text they hold.
 COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+#: Where a capital begins a word: `userComments`.
+CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: `with-sidebar` and the like tell what stands beside an article.
 BESIDE = re.compile(r"\b(?:has|with|no|without)[-_]+[a-z]+")
 WANTED = frozenset(("article", "main", "body", "html"))
@@ -81,18 +90,32 @@ def _unwanted(tag: str, rest: str, parent: Node) -> bool:
 
 
 def _named(tag: str, rest: str, parent: Node) -> str:
-    """The word that marks the element as no article, if any; `form` for forms. Within an article a header is its own."""
+    """The word that marks the element as no article, if any; `form` for forms. Within an article a header is its own.
+
+    One word of a class is enough. Ids and labels are often made of a heading's text, so all their words must be of NAMES
+    and COMMON, and a heading's id marks comments alone.
+    """
     if tag == "form":
         return tag
     if not rest or tag in WANTED and tag != "article":
         return ""
     for m in ATTRIBUTE.finditer(rest):
-        if m[1].lower() in ("class", "id"):
-            words = NAMES.intersection(re.split(r"[^a-z]+", BESIDE.sub(" ", html.unescape(m[2] or m[3] or m[4] or "").lower())))
-            if "header" in words and _within(parent, ("article", "main")):
-                words -= {"header"}
-            if words:
-                return min(words, key=lambda w: (w not in COMMENTS, w))
+        name = m[1].lower()
+        if name not in NAMING:
+            continue
+        value = html.unescape(m[2] or m[3] or m[4] or "")
+        if name == "itemtype":
+            value = value.rsplit("/", 1)[-1]
+        parts = re.findall(r"[a-z]+", BESIDE.sub(" ", CAPITAL.sub("-", value).lower()))
+        words = NAMES.intersection(parts)
+        if name != "class" and not (words | COMMON).issuperset(parts):
+            continue
+        if tag in HEADINGS and name == "id":
+            words &= COMMENTS
+        if tag in HEADINGS or "header" in words and _within(parent, ("article", "main")):
+            words -= {"header", "masthead"}
+        if words:
+            return min(words, key=lambda w: (w not in COMMENTS, w))
     return ""
 
 

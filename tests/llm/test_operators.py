@@ -458,6 +458,20 @@ def test_html_names_do_not_drop_the_article():
     assert html_extract.extract(f"<article>{text}</article><div class='cookie'>{text}{text}</div>") == long
 
 
+def test_html_ids_made_of_headings_drop_nothing():
+    long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
+    text = f"<p>{long}</p>"
+    page = f"<article><h1 id='search-engines'>One</h1>{text}<section id='related-work'><h2 id='related-work-1'>Two</h2><p>More.</p></section><div id='notice-periods'>Three</div><h2 id='share'>Four</h2></article>"
+    assert html_extract.extract(page) == f"One\n\n{long}\n\nTwo\n\nMore.\n\nThree\n\nFour"
+    assert html_extract.extract(f"<div class=content><h1 class='page-header'>One</h1>{3 * text}</div>") == "\n\n".join(["One", *[long] * 3])
+
+
+@pytest.mark.parametrize("mark", ["class='userComments'", "id='readerComments'", "aria-label='Comments'", "itemprop='comment'", "itemtype='https://schema.org/Comment'", "class='relatedPosts'", "class=adsbygoogle", "id='cookie-notice'"])
+def test_html_names_in_other_forms(mark):
+    long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
+    assert html_extract.extract(f"<body><article><h1>T</h1>{3 * f'<p>{long}</p>'}<div {mark}><p>{long}</p></div></article></body>") == "\n\n".join(["T", *[long] * 3])
+
+
 def test_html_text_beside_the_best_element():
     long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
     links = "<ul><li><a href=x>One</a></ul><p><a href=y>Two</a></p>"
