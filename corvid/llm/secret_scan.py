@@ -19,10 +19,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Runs that may be random strings; `=` is padding at their end, else it parts a name from its value.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: One word of a path or a name, with a short number behind it, or such a number. A word can be read in one way alone,
+#: so that many of them in a row are no work.
+NAME = r"(?:(?:[A-Za-z][a-z]*(?:[A-Z][a-z]{2,})*|[A-Z]{2,})(?:(?<=[A-Za-z]{3})[0-9]{1,4})?|[0-9]{1,4}s?)"
 #: Candidates that are no secrets: UUIDs, the key that public manuals show, one repeated unit, numbers, plain paths and dashed words.
 ALLOWED = re.compile(
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY|(.{1,8}?)\1{2,}|[0-9_=/+-]+"
-    r"|[-_/]?(?:[A-Za-z]?[a-z]+|[A-Z]+)(?:[-_/](?:[A-Za-z]?[a-z]+|[A-Z]+))*[0-9]{0,4}"
+    rf"|[-_/]?{NAME}(?:[-_/]{NAME})*[-_/]?"
 )
 #: Parts of a candidate, between separators, that hold one of these words are placeholders; what is beside them is scanned.
 PLACEHOLDER = re.compile(r"(?ai)example|sample|dummy|placeholder|changeme")
@@ -105,6 +108,26 @@ def _candidates(text: str) -> Iterator[tuple[int, str]]:
                 at = part.end() if part else end
 
 
+def _widened(s: str, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans as far as the letters and digits that they begin and end in go on, ones that meet then joined."""
+    last: tuple[int, int] | None = None
+    for a, b in spans:
+        if last and a < last[1]:
+            a = last[0]
+        while a > 0 and s[a - 1].isalnum() and s[a].isalnum() and not (last and a <= last[1]):
+            a -= 1
+        while b < len(s) and s[b - 1].isalnum() and s[b].isalnum():
+            b += 1
+        if last and a <= last[1]:
+            last = last[0], max(last[1], b)
+            continue
+        if last:
+            yield last
+        last = a, b
+    if last:
+        yield last
+
+
 def _union(spans: list[tuple[int, int, int]]) -> list[list[int]]:
     """What the sorted spans (start, kind, end) cover, as intervals in order."""
     out: list[list[int]] = []
@@ -117,7 +140,8 @@ def _union(spans: list[tuple[int, int, int]]) -> list[list[int]]:
 
 
 def scan_text(text: str | None, rule: EntropyRule = EntropyRule()) -> list[tuple[int, int, int]]:
-    """(start, kind's place in KINDS, end) of each find, sorted; entropy finds without what patterns have found.
+    """(start, kind's place in KINDS, end) of each find, sorted; entropy finds, with the rest of the letters and digits that
+    they begin and end in, without what patterns have found.
 
     One sweep over the text's candidates and the patterns' finds, both in order.
     """
@@ -134,7 +158,7 @@ def scan_text(text: str | None, rule: EntropyRule = EntropyRule()) -> list[tuple
         kind = class_of(s)
         if kind is None:
             continue
-        for a, b in entropy_spans(s, rule.window, getattr(rule, kind)):
+        for a, b in _widened(s, entropy_spans(s, rule.window, getattr(rule, kind))):
             a, b = a + start, b + start
             while k < len(known) and known[k][1] <= a:
                 k += 1

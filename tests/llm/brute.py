@@ -129,6 +129,9 @@ def all_secrets(t):
                 count = Counter(part[i : i + 20])
                 if -sum(n / 20 * math.log2(n / 20) for n in count.values()) >= bits - 1e-9:
                     hot |= set(range(m.start() + a + i, m.start() + a + i + 20))
+            for w in re.finditer(r"[A-Za-z0-9]+", part):  # the rest of the runs of letters and digits that they stand in
+                places = set(range(m.start() + a + w.start(), m.start() + a + w.end()))
+                hot |= places if hot & places else set()
             found += [(x, 3, y) for x, y in runs(hot - known)]
     return sorted(found)
 

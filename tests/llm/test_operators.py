@@ -341,6 +341,19 @@ def test_allow_list_takes_placeholders_alone():
     for plain in ("0" * 28, "the-quick-brown-fox-jumps", "HashMapEntryIteratorFactoryBean", f"{'example' * 4}", "550e8400-e29b-41d4-a716-446655440000"):
         assert secret_scan.scan_text(plain) == []
     assert secret_scan.scan_text("qZxKwLvBtRmYpNcHdJfGsAeUoIqWzXrTyPl") == [(0, 3, 35)]
+    for path in ("/wiki/Special/Search/Category_1990s_American_films", "/articles/2024/05/How-To-Write-GoodCode-2", "/Assets/MainTheme2024/HeaderLogo"):
+        assert secret_scan.scan_text(path) == []
+
+
+def test_entropy_finds_take_whole_runs():
+    tail = 30 * "z"
+    assert secret_scan.scan_text(f"b {tail}k9Qz7Lw2Vb4Kt8Rm1Yp6Nc3Hd5{tail}-{tail} b") == [(2, 3, 88)]
+
+
+def test_long_paths_are_no_work():
+    start = time.perf_counter()
+    secret_scan.scan_text("/".join(f"{'the-quick-brown-fox-' * 20000}{end}" for end in ("9z9Z", "Example", "xY+")))
+    assert time.perf_counter() - start < 10
 
 
 def test_secret_scan_and_token_trees_are_linear_in_a_text():
