@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -75,8 +76,8 @@ class Node:
     holds: bool = False
 
 
-def _unwanted(tag: str, rest: str, parent: Node) -> bool:
-    if tag in UNWANTED or (tag == "header" and not _within(parent, ("article", "main"))):
+def _unwanted(tag: str, rest: str, inside: bool) -> bool:
+    if tag in UNWANTED or tag == "header" and not inside:
         return True
     if not rest or tag in WANTED and tag != "article":
         return False
@@ -89,8 +90,8 @@ def _unwanted(tag: str, rest: str, parent: Node) -> bool:
     return False
 
 
-def _named(tag: str, rest: str, parent: Node) -> str:
-    """The word that marks the element as no article, if any; `form` for forms. Within an article a header is its own.
+def _named(tag: str, rest: str, inside: bool) -> str:
+    """The word that marks the element as no article, if any; `form` for forms. Inside an article a header is its own.
 
     One word of a class is enough. Ids and labels are often made of a heading's text, so all their words must be of NAMES
     and COMMON, and a heading's id marks comments alone.
@@ -112,7 +113,7 @@ def _named(tag: str, rest: str, parent: Node) -> str:
             continue
         if tag in HEADINGS and name == "id":
             words &= COMMENTS
-        if tag in HEADINGS or "header" in words and _within(parent, ("article", "main")):
+        if tag in HEADINGS or "header" in words and inside:
             words -= {"header", "masthead"}
         if words:
             return min(words, key=lambda w: (w not in COMMENTS, w))
@@ -150,17 +151,19 @@ def _drop_named(root: Node) -> None:
         stack += [(c, inner) for c in x.children if isinstance(c, Node) and not c.unwanted]
 
 
-def _within(node: Node | None, tags: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.tag in tags:
-            return True
-        node = node.parent
-    return False
-
-
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed, misplaced and cut off tags do no harm."""
     root = now = Node("#root")
+    #: how many elements of each tag are open: what isn't open isn't looked for
+    opened: Counter[str] = Counter()
+
+    def back(to: Node) -> Node:
+        up = now
+        while up is not to:
+            opened[up.tag] -= 1
+            up = up.parent
+        return up
+
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -181,23 +184,23 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = now
+            up = now if opened[tag] else root
             while up is not root and up.tag != tag:
                 if up.tag in ("table", "td", "th") and tag not in BLOCKS:
                     break
                 up = up.parent
             if up is not root and up.tag == tag:
-                now = up.parent
+                now = back(up.parent)
             elif tag in ("p", "br"):
                 now.children.append(Node("br", now))
             continue
-        if tag in CLOSES_P:
+        if opened["p"] and tag in CLOSES_P:
             up = now
             while up is not root and up.tag not in BLOCKS and up.tag != "button":
                 up = up.parent
             if up.tag == "p":
-                now = up.parent
-        if tag in IMPLIED:
+                now = back(up.parent)
+        if tag in IMPLIED and any(opened[x] for x in IMPLIED[tag][0]):
             ends, stops = IMPLIED[tag]
             up, last = now, None
             while up is not root and up.tag not in stops:
@@ -205,14 +208,16 @@ def parse(page: str) -> Node:
                     last = up
                 up = up.parent
             if last is not None:
-                now = last.parent
-        new = Node(tag, now, now.unwanted or _unwanted(tag, m[3], now), _named(tag, m[3], now))
+                now = back(last.parent)
+        inside = opened["article"] + opened["main"] > 0
+        new = Node(tag, now, now.unwanted or _unwanted(tag, m[3], inside), _named(tag, m[3], inside))
         now.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCKS:
             now = new
+            opened[tag] += 1
     return root
 
 

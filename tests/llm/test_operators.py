@@ -471,6 +471,13 @@ def test_html_names_do_not_drop_the_article():
     assert html_extract.extract(f"<article>{text}</article><div class='cookie'>{text}{text}</div>") == long
 
 
+@pytest.mark.parametrize("page", ["{deep}{close}x", "{named}x"])
+def test_html_deep_pages_are_no_work(page):
+    start = time.perf_counter()
+    assert html_extract.extract(page.format(deep="<div>" * 20_000, close="</b>" * 20_000, named="<div class='header'>" * 20_000)) == "x"
+    assert time.perf_counter() - start < 10
+
+
 def test_html_ids_made_of_headings_drop_nothing():
     long = "A, long, enough, paragraph of the page, with text and commas, and more of it."
     text = f"<p>{long}</p>"
