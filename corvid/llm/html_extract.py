@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -155,7 +155,7 @@ def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed, misplaced and cut off tags do no harm."""
     root = now = Node("#root")
     #: how many elements of each tag are open: what isn't open isn't looked for
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, int] = defaultdict(int)
 
     def back(to: Node) -> Node:
         up = now
@@ -209,8 +209,9 @@ def parse(page: str) -> Node:
                 up = up.parent
             if last is not None:
                 now = back(last.parent)
-        inside = opened["article"] + opened["main"] > 0
-        new = Node(tag, now, now.unwanted or _unwanted(tag, m[3], inside), _named(tag, m[3], inside))
+        inside, rest = opened["article"] + opened["main"] > 0, m[3].strip()
+        unwanted = now.unwanted or _unwanted(tag, rest, inside)
+        new = Node(tag, now, unwanted, "" if unwanted else _named(tag, rest, inside))
         now.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
