@@ -30,6 +30,8 @@ from corvid.llm.shared import content_key, discard, in_slices, mix, small, table
 SHARED, LONGER = 20, 35
 BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 LEAF, FAN = 8, 8
+#: Bytes of texts that a worker hashes at once: its memory grows with them.
+SLICE = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -82,7 +84,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, "text"):
+        for b in in_slices(batches, "text", SLICE):
             h, first = shingle_sets(utf8(b, "text"), k)
             n = np.diff(first)
             common = -(-n * percent // 100)
@@ -360,7 +362,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 75, text: str =
     texts = source.select(*same, "text").join(need, key).groupBy(*key, "cid").agg(F.first("text").alias("text")).select("cid", "text")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, "text"):
+        for b in in_slices(batches, "text", SLICE):
             h, first = shingle_sets(utf8(b, "text"), k)
             yield pa.RecordBatch.from_arrays([b.column("cid"), pa.array([h[a:z].tobytes() for a, z in zip(first, first[1:], strict=False)], pa.binary())], ["cid", "tokens"])
 
