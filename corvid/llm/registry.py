@@ -11,12 +11,15 @@ from corvid.llm.chat_format import op5_chat_formatting
 from corvid.llm.decontaminate import op4_benchmark_decontamination
 from corvid.llm.html_extract import op10_html_extraction
 from corvid.llm.license_scan import op1_license_scans
+from corvid.llm.merkle import op11_merkle_manifest
 from corvid.llm.mixing import mix_sql, op7_mixing
 from corvid.llm.ngram_join import op6_ngram_jaccard_join
 from corvid.llm.quality_rules import op2_quality_rules
 from corvid.llm.secret_scan import op8_secret_scans
+from corvid.llm.sentencepiece_bpe import op13_sentencepiece
 from corvid.llm.substring_dedup import op3_substring_dedup
 from corvid.llm.token_count import op9_token_counts
+from corvid.llm.vector_codes import op12_vector_codes
 
 OPERATORS = (
     op1_license_scans,
@@ -29,6 +32,9 @@ OPERATORS = (
     op8_secret_scans,
     op9_token_counts,
     op10_html_extraction,
+    op11_merkle_manifest,
+    op12_vector_codes,
+    op13_sentencepiece,
 )
 
 
@@ -37,4 +43,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op3_substring_dedup": sql.OP3, "op5_chat_formatting": sql.OP5, "op6_ngram_jaccard_join": sql.OP6, "op4_benchmark_decontamination": sql.OP4, "op7_mixing": mix_sql()}
+    return {
+        "op2_quality_rules": sql.OP2,
+        "op3_substring_dedup": sql.OP3,
+        "op4_benchmark_decontamination": sql.OP4,
+        "op5_chat_formatting": sql.OP5,
+        "op6_ngram_jaccard_join": sql.OP6,
+        "op7_mixing": mix_sql(),
+        "op11_merkle_manifest": sql.OP11,
+        "op12_vector_codes": sql.op12(),
+    }

@@ -76,3 +76,59 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * (n_words - n_line_words) >= 30 * n_words AS kept, n_line_words
 FROM a JOIN f USING (host, t)
 """
+
+_FIELDS = " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_CRC = """list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::UBIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: k::UBIGINT)), lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1))))"""
+OP11 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, lang, sha256({_FIELDS.format(text="text")}) AS leaf,
+  CASE WHEN xor({_CRC}, 4294967295) % 3 = 0 THEN sha256({_FIELDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS other FROM documents),
+g AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, count(*) AS n FROM d GROUP BY lang),
+p AS MATERIALIZED (SELECT doc_id, leaf, coalesce(other, leaf) AS found, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d JOIN g ON d.lang IS NOT DISTINCT FROM g.lang),
+lv AS (
+  SELECT 0 AS l, tree, pos, leaf AS node, n FROM p
+  UNION ALL SELECT l + 1, tree, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM lv WHERE n > 1 GROUP BY l, tree, pos // 8, n
+), inner_runs AS MATERIALIZED (SELECT l, tree, pos // 8 AS run, string_agg(node, '' ORDER BY pos) AS members FROM lv WHERE n > 1 GROUP BY l, tree, pos // 8),
+subs AS MATERIALIZED (SELECT tree, node AS subroot FROM lv WHERE n = 1),
+up AS (
+  SELECT 0 AS l, tree AS pos, subroot AS node, (SELECT count(*) FROM subs) AS n FROM subs
+  UNION ALL SELECT l + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos)), (n + 7) // 8 FROM up WHERE n > 1 GROUP BY l, pos // 8, n
+), outer_runs AS MATERIALIZED (SELECT l, pos // 8 AS run, string_agg(node, '' ORDER BY pos) AS members FROM up WHERE n > 1 GROUP BY l, pos // 8),
+fold AS (
+  SELECT 0 AS l, tree, pos, pos AS here, found AS node, '' AS proof FROM p
+  UNION ALL SELECT f.l + 1, f.tree, f.pos, f.here // 8, sha256(substr(members, 1, 64 * (here % 8)) || node || substr(members, 64 * (here % 8) + 65)), proof || substr(members, 1, 64 * (here % 8)) || substr(members, 64 * (here % 8) + 65)
+  FROM fold f JOIN inner_runs r ON r.l = f.l AND r.tree = f.tree AND r.run = f.here // 8
+), inside AS MATERIALIZED (SELECT tree, pos, arg_max(node, l) AS node, arg_max(proof, l) AS proof FROM fold GROUP BY tree, pos),
+fold2 AS (
+  SELECT 0 AS l, tree, pos, tree AS here, node, proof FROM inside
+  UNION ALL SELECT f.l + 1, f.tree, f.pos, f.here // 8, sha256(substr(members, 1, 64 * (here % 8)) || node || substr(members, 64 * (here % 8) + 65)), proof || substr(members, 1, 64 * (here % 8)) || substr(members, 64 * (here % 8) + 65)
+  FROM fold2 f JOIN outer_runs r ON r.l = f.l AND r.run = f.here // 8
+), done AS (SELECT tree, pos, arg_max(node, l) AS folded_root, sha256(arg_max(proof, l)) AS proof_sha256 FROM fold2 GROUP BY tree, pos)
+SELECT doc_id, leaf, subroot, (SELECT node FROM up WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT node FROM up WHERE n = 1) AS verified
+FROM p JOIN subs USING (tree) JOIN done USING (tree, pos)
+"""
+
+
+def op12(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds of the codebooks, one after the other."""
+    near = f"""SELECT r, p, min(d * {entries} + k) AS m FROM (
+  SELECT r, p, k, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM parts JOIN b{{0}} USING (p)) GROUP BY r, p"""
+    ctes = [
+        """kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+        f"""parts AS MATERIALIZED (SELECT r, p, list_transform(list_slice(e, p * len(e) // {parts} + 1, (p + 1) * len(e) // {parts}), lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM kept, (SELECT unnest(range({parts})) AS p))""",
+        f"b0 AS MATERIALIZED (SELECT p, r - 1 AS k, v AS c FROM parts WHERE r <= {entries})",
+    ]
+    for t in range(rounds):
+        ctes.append(f"a{t} AS MATERIALIZED ({near.format(t)})")
+        ctes.append(f"""b{t + 1} AS MATERIALIZED (SELECT p, k, coalesce(n.c, b{t}.c) AS c FROM b{t} LEFT JOIN (
+  SELECT p, k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM (
+    SELECT p, k, i, sum(x) AS s, count(*) AS n FROM (SELECT p, m % {entries} AS k, unnest(range(len(v))) AS i, unnest(v) AS x FROM a{t} JOIN parts USING (r, p)) GROUP BY p, k, i)
+  GROUP BY p, k) n USING (p, k))""")
+    return f"""
+WITH {", ".join(ctes)}, a AS ({near.format(rounds)}),
+codes AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a GROUP BY r),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, k)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN codes USING (r), books
+"""

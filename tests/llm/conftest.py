@@ -47,7 +47,11 @@ def folder(spark, docs, tmp_path_factory):
     chat = spark.createDataFrame(chats, "conv_id bigint, turn bigint, role string, text string")
     marks = spark.createDataFrame([(1, docs.first()["text"]), (2, "few words"), (3, None), (None, "")], "item_id bigint, text string")
     pages = spark.createDataFrame([(1, "u", "<article><p>x</p></article>"), (2, None, None), (None, "v", "")], "page_id bigint, url string, html string")
-    tables = {"documents": docs, "conversations": chat, "benchmark": marks, "pages": pages}
+    rng = random.Random(5)
+    vectors = [(k, [rng.choice([-1.5, 0.25, rng.gauss(0, 1)]) for _ in range(16)], rng.choice([0, 1, 1, 1, None]), "clash") for k in range(90)]
+    vectors += [vectors[3]] * 40 + [(None, vectors[5][1], 2, "clash"), (-7, None, 1, "clash"), (-6, [1.0] * 15 + [None], 1, "clash"), (-5, [1.0] * 15 + [float("inf")], None, "clash"), (-4, [float("nan")] * 16, 1, "clash"), (91, [1.0, 2.0], 1, "clash"), (-3, [], 1, "clash")]
+    embeddings = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int, code string")
+    tables = {"documents": docs, "conversations": chat, "benchmark": marks, "pages": pages, "embeddings": embeddings}
     for name, df in tables.items():
         df.coalesce(2).write.parquet(f"file://{top}/all/{name}.parquet")
         df.limit(0).write.parquet(f"file://{top}/none/{name}.parquet")
