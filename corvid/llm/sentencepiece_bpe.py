@@ -17,7 +17,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import accumulate, pairwise
 from math import inf
 
 import ahocorasick
@@ -32,7 +32,7 @@ from corvid.llm.shared import in_slices, table
 SPACE = "▁"
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: How many cuts and pairs a task remembers; these are of LONGEST characters at most.
-KNOWN, LONGEST = 3 << 17, 48
+KNOWN, LONGEST = 1 << 19, 32
 
 
 class Model:
@@ -56,11 +56,13 @@ class Model:
         self.lengths = list(map(len, self.pieces))
         #: the next shorter piece that a piece begins with, or -1
         self.shorter = [next((self.ids[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), -1) for p in self.pieces]
+        self.shorter[self.unknown] = -1
         self.surface = [self._surface(k, lib) for k in range(n)]
         self.cut = self._cuts()
         self._agree: dict[int, bool] = {}
-        self._known: dict[str, tuple[int, ...]] = {}
-        self._before: dict[str, tuple[int, ...]] = {}
+        #: the ids of cuts that were seen, packed; those seen last, and those before
+        self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def _surface(self, k: int, lib: sentencepiece.SentencePieceProcessor) -> bytes:
         if lib.is_byte(k):
@@ -73,12 +75,11 @@ class Model:
         """Where texts are cut: no piece has two neighbours that lie on different sides."""
         neighbours = {(a, b) for p in self.ids for a, b in pairwise(p)}
         beside = {c for pair in neighbours for c in pair}
-        alone = {c for c in map(chr, range(128)) if c not in beside}
-        kind = "".join(map(re.escape, sorted(alone)))
-        one = f"|[{kind}]" if alone else ""
+        kind = "".join(re.escape(c) for c in map(chr, range(128)) if c not in beside and c != " ")
+        one = f"|[{kind}]" if kind else ""
         if any(b == SPACE != a for a, b in neighbours):
-            return re.compile(f"[^{kind}]+{one}" if alone else r"(?s:.+)")
-        return re.compile(f"{SPACE}*[^{SPACE}{kind}]+|{SPACE}+{one}")
+            return re.compile(f"[^{kind}]+{one}" if kind else r"(?s:.+)")
+        return re.compile(f"[ {SPACE}]*[^ {SPACE}{kind}]+|[ {SPACE}]+{one}")
 
     # --- encoding
 
@@ -99,16 +100,16 @@ class Model:
         known = self._agree.get(before * len(self.pieces) + piece)
         if known is None:
             pair = [self.pieces[k] for k in (before, piece) if k >= 0]
-            known = self.merged("".join(pair)) == pair
-            if len(self._agree) >= 2 * KNOWN:
+            known = piece != self.unknown and self.merged("".join(pair)) == pair
+            if len(self._agree) >= KNOWN:
                 self._agree.clear()
             self._agree[before * len(self.pieces) + piece] = known
         return known
 
     def backtrack(self, text: str) -> list[int]:
-        """The pieces of a text without characters that are no piece."""
-        lengths, shorter, n, agreed, many = self.lengths, self.shorter, len(text), self._agree.get, len(self.pieces)
-        longest = array("i", bytes(4 * n + 4))
+        """The pieces of a text; characters that are no piece become their bytes and part what is before from what follows."""
+        lengths, shorter, unknown, n, agreed, many = self.lengths, self.shorter, self.unknown, len(text), self._agree.get, len(self.pieces)
+        longest = array("i", [unknown]) * (n + 1)
         for end, k in self.find.iter(text):  # ends ascend, so the last piece from a place is the longest
             longest[end + 1 - lengths[k]] = k
         failed, any_failed = bytearray(n // 8 + 1), False
@@ -122,44 +123,43 @@ class Model:
                 out.append(piece)
                 at, before, piece = end, piece, longest[end]
                 continue
+            if piece == unknown:
+                out += self._bytes_of(text[at])
+                at, before, piece = at + 1, -1, longest[at + 1]
+                continue
             piece = shorter[piece]
             while piece < 0:
                 failed[at >> 3] |= 1 << (at & 7)
                 any_failed = True
                 at -= lengths[before]
                 piece = shorter[out.pop()]
-                before = out[-1] if out else -1
+                before = out[-1] if at and longest[at - 1] != unknown else -1
         return out
 
-    def _encode_cut(self, text: str) -> tuple[int, ...]:
-        known = self._known.get(text) or self._before.get(text)
-        if known is None:
-            if self.ids.keys() >= set(text):
-                known = tuple(self.backtrack(text))
-            else:
-                out, here = [], 0
-                for k in [k for k, c in enumerate(text) if c not in self.ids] + [len(text)]:
-                    if k > here:
-                        out += self.backtrack(text[here:k])
-                    if k < len(text):
-                        out += [self.bytes.get(b, self.unknown) for b in text[k].encode()] if self.bytes else [self.unknown]
-                    here = k + 1
-                known = tuple(out)
+    def _bytes_of(self, char: str) -> list[int]:
+        return [self.bytes.get(b, self.unknown) for b in char.encode()] if self.bytes else [self.unknown]
+
+    def _encode_cut(self, text: str) -> bytes:
+        known = self._known.get(text) or self._before.get(text) or array("i", self.backtrack(text.replace(" ", SPACE))).tobytes()
         if len(text) <= LONGEST:
             if len(self._known) >= KNOWN:  # what isn't met again before the next KNOWN others goes
                 self._before, self._known = self._known, {}
             self._known[text] = known
         return known
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """The ids of a text, without begin and end; a space stands before the text, spaces are a character of their own."""
+        return array("i", self.encoded(text))
+
+    def encoded(self, text: str) -> bytes:
+        """The ids as 32-bit numbers."""
         if not text:
-            return []
-        cuts, known = self.cut.findall(SPACE + text.replace(" ", SPACE)), self._known
-        found = list(map(known.get, cuts))
+            return b""
+        cuts = self.cut.findall(" " + text)
+        found = list(map(self._known.get, cuts))
         if None in found:
             found = [self._encode_cut(c) if x is None else x for c, x in zip(cuts, found, strict=True)]
-        return list(chain.from_iterable(found))
+        return b"".join(found)
 
     # --- decoding
 
@@ -204,11 +204,9 @@ def encode(docs: DataFrame, model: str = VOCABULARY, text: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _model(data)
         for b in in_slices(batches, "text", 1 << 20):
-            values, ends = array("i"), [0]
-            for t in b.column("text").to_pylist():
-                values.extend(coder.encode(t or ""))
-                ends.append(len(values))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(values), [None, pa.py_buffer(values.tobytes())]))
+            found = [coder.encoded(t or "") for t in b.column("text").to_pylist()]
+            ends = list(accumulate((len(x) // 4 for x in found), initial=0))
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids], ["doc_id", "ids"])
 
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
@@ -224,7 +222,9 @@ def decode(encoded: DataFrame, model: str = VOCABULARY) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                texts = [coder.decode(x or []) for x in part.column("ids").to_pylist()]
+                ids = part.column("ids")
+                values, ends = ids.flatten().to_pylist(), list(accumulate(ids.value_lengths().fill_null(0).to_pylist(), initial=0))
+                texts = [coder.decode(values[a:z]) for a, z in pairwise(ends)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     rows = encoded.select("doc_id", "ids")
