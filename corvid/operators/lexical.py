@@ -1,7 +1,16 @@
-"""Inverted index tables and BM25-style ranking of many queries at once."""
+"""Inverted index tables and BM25-style ranking of many queries at once.
+
+Ranking skips what can't be among the k best. Documents are cut into ranges, and of each term the largest part that it has in
+each range is known. A query's rarest terms give k documents whose parts alone set a threshold. Its commonest terms, as
+far as their largest parts add up to less, can't bring a document in: only the others' postings are joined to queries, and
+of these only the ranges in which all terms together can reach the threshold. What stands above it is completed with the
+common terms' parts by lookups.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +21,12 @@ from corvid.plans.scratch import written
 BROADCAST_TERMS = 200_000
 #: Documents to a postings block; gaps are counted within blocks, so a frequent term's postings stay apart.
 BLOCK = 65_536
+#: Documents to a range of which the largest parts are known, as a power of two.
+RANGE_BITS = 7
+#: The threshold comes from as many of a query's rarest terms as have so many postings for each of the k results.
+SEEDS = 8
+#: Scores rank by 6 places: what is so little below a threshold isn't skipped.
+SLACK = 1e-5
 
 
 def term_frequencies(docs: DataFrame, terms: Column | None = None) -> DataFrame:
@@ -40,12 +55,17 @@ def index_stats(docs: DataFrame) -> DataFrame:
     return corpus_stats(docs).crossJoin(terms).select("n_docs", "n_terms", "n_postings", F.round("avgdl", 6).alias("avgdl"), F.round(F.col("n_postings") / F.col("n_terms"), 6).alias("postings_per_term"))
 
 
-def postings(tf: DataFrame) -> DataFrame:
-    """(term, block, doc_id, tf, gap): gap to the block's posting before, of the first to the block's start."""
+def postings(docs: DataFrame, terms: Column | None = None) -> DataFrame:
+    """(term, block, doc_id, tf, gap): gap to the block's posting before, of the first to the block's start.
+
+    One shuffle, of occurrences by term and block of documents, serves the counts and the gaps.
+    """
+    terms = words(F.col("text")) if terms is None else terms
     block = F.floor(F.col("doc_id") / BLOCK).cast("long")
+    rows = docs.select("doc_id", F.explode(terms).alias("term")).withColumn("block", block).repartition("term", "block")
     by = Window.partitionBy("term", "block").orderBy("doc_id")
     gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(by), F.col("block") * BLOCK)
-    return tf.withColumn("block", block).withColumn("gap", gap).select("term", "block", "doc_id", "tf", "gap")
+    return rows.groupBy("term", "block", "doc_id").agg(F.count("*").alias("tf")).withColumn("gap", gap).select("term", "block", "doc_id", "tf", "gap")
 
 
 def postings_bytes(lists: DataFrame) -> DataFrame:
@@ -61,7 +81,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     Null and empty texts have no terms; empty tables give no rows; rows with one doc_id and length are one document of N.
 
     One scan of the documents: only occurrences of query terms leave it, and a row a document for N and avgdl; query terms
-    are broadcast if they are few.
+    are broadcast if they are few. Pairs of a query and a document are made only where pruned_hits() can't skip them.
     """
     length = F.size(words(F.col("text"))) if length is None else length
     asked = written(queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
@@ -75,15 +95,67 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: f
     rows = once.select("doc_id", F.col("x.dl").alias("dl"), F.explode("x.terms").alias("term"))
     tf = written(rows.join(small(wanted), "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf")), "tf")
     corpus = tf.where("term = ''").agg(F.sum("tf").alias("n_docs"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avgdl"))
-    ratio = F.greatest((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(0.0))
-    weights = document_frequencies(tf.where("term != ''")).crossJoin(F.broadcast(corpus)).select("term", "avgdl", (F.log1p(ratio) if idf == "log" else ratio).alias("idf"))
-    weights = written(weights, "weights")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(small(weights), "term").select("doc_id", "term", part.alias("part"))
-    hits = scored.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * F.col("qtf") / (F.col("qtf") + 0.5)), 6).alias("score"))
+    idf_of = idf_weight(idf).alias("idf")
+    weights = written(document_frequencies(tf.where("term != ''")).crossJoin(F.broadcast(corpus)).select("term", "df", "avgdl", idf_of), "weights")
+    part = F.col("idf") * tf_weight(F.col("tf"), F.col("dl"), k1, b)
+    scored = tf.join(small(weights), "term").groupBy("doc_id", "term").agg(F.sum(part).alias("part")).withColumn("range", doc_range(tf))
+    scored = written(scored, "scored")
+    peaks = written(scored.groupBy("term", "range").agg(F.max("part").alias("peak")), "peaks")
+    hits = pruned_hits(asked.select("query_id", "term", (F.col("qtf") / (F.col("qtf") + 0.5)).alias("w")), weights, peaks, lambda pairs: scored, k)
     return top_k(hits, ["query_id"], [F.desc("score"), F.asc("doc_id")], k).select("query_id", "rank", "doc_id", "score")
 
 
+def idf_weight(kind: str = "ratio") -> Column:
+    """Of a term in df of n_docs documents."""
+    ratio = F.greatest((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5), F.lit(0.0))
+    return F.log1p(ratio) if kind == "log" else ratio
+
+
+def tf_weight(tf: Column, dl: Column, k1: float, b: float) -> Column:
+    """Grows with tf, falls with dl; avgdl is a column."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))
+
+
+def doc_range(rows: DataFrame) -> Column:
+    """The range of doc_id: neighbours where ids are whole numbers, else by hash."""
+    if rows.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return F.coalesce(F.shiftright(F.col("doc_id").cast("long"), RANGE_BITS), F.lit(-1).cast("long"))
+    return F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+
+
+def pruned_hits(asked: DataFrame, sizes: DataFrame, peaks: DataFrame, fetch: Callable[[DataFrame], DataFrame], k: int) -> DataFrame:
+    """(query_id, doc_id, score): documents that may be among the k best of a query, these among them, with their whole scores.
+
+    asked (query_id, term, w), sizes (term, df) of the terms that any document has, and peaks (term, range, peak: the term's
+    largest part in the range) are written tables. fetch gives the postings (term, range, doc_id, part) of pairs (term, range), or more; a document has at
+    most one row a term. A score is the sum of w * part over the query's terms, rounded to 6 places.
+    """
+    few = F.broadcast if asked.count() <= BROADCAST_TERMS else (lambda df: df)  # for tables with at most a row for each of asked's
+    by = Window.partitionBy("query_id")
+    most = peaks.join(few(asked.select("term").distinct()), "term").groupBy("term").agg(F.max("peak").alias("most"))
+    before = F.coalesce(F.sum("df").over(by.orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    terms = written(asked.join(few(sizes.select("term", "df")), "term").join(most, "term").select("query_id", "term", "w", (F.col("w") * F.col("most")).alias("most"), (before < SEEDS * k).alias("seed")), "query-terms")
+    seeds = few(terms.where("seed").select("query_id", "term", "w"))
+    seen = fetch(peaks.join(few(seeds.select("term").distinct()), "term").select("term", "range"))
+    partial = seen.join(seeds, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("part")).alias("score"))
+    kth = top_k(partial, ["query_id"], [F.desc("score")], k).where(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
+    # Queries whose rarest terms give no k documents have no threshold: nothing of theirs is skipped.
+    least = F.coalesce("least", F.lit(-1.0))
+    upto = F.sum("most").over(by.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0))
+    roles = terms.join(kth, "query_id", "left").withColumn("least", least).withColumn("leads", upto >= F.col("least"))
+    roles = written(roles.withColumn("rest", F.coalesce(F.sum(F.when(~F.col("leads"), F.col("most"))).over(by), F.lit(0.0))).drop("seed", "most"), "roles")
+    here = Window.partitionBy("query_id", "range")
+    lists = peaks.join(few(roles), "term").withColumn("reach", F.sum(F.col("w") * F.col("peak")).over(here)).withColumn("any", F.max("leads").over(here))
+    lists = written(lists.where("any and leads and reach >= least").select("query_id", "term", "range", "w", "least", "rest"), "lists")
+    found = fetch(lists.select("term", "range").distinct()).join(lists, ["term", "range"])
+    found = found.groupBy("query_id", "doc_id", "range").agg(F.sum(F.col("w") * F.col("part")).alias("sum"), F.first("least").alias("least"), F.first("rest").alias("rest"))
+    found = written(found.where("sum + rest >= least").select("query_id", "doc_id", "range", "sum"), "found")
+    missing = found.join(few(roles.where("not leads").select("query_id", "term", "w")), "query_id")
+    looked = missing.alias("m").join(fetch(missing.select("term", "range").distinct()).alias("p"), (F.col("m.term") == F.col("p.term")) & (F.col("m.range") == F.col("p.range")) & F.col("m.doc_id").eqNullSafe(F.col("p.doc_id")))
+    looked = looked.select("m.query_id", "m.doc_id", (F.col("m.w") * F.col("p.part")).alias("sum"))
+    return found.drop("range").unionByName(looked).groupBy("query_id", "doc_id").agg(F.round(F.sum("sum"), 6).alias("score"))
+
+
 def top_k(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with rank from 1; the planner keeps k a group in each task before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)

@@ -57,7 +57,7 @@ _POSTINGS = f"WITH {_TF}, p AS (SELECT term, doc_id // 65536 AS block, doc_id, t
 
 @query(f"{_POSTINGS} SELECT term, block, doc_id, tf, gap FROM g")
 def postings_build(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(lexical.term_frequencies(table(spark, d, "documents")))
+    return lexical.postings(table(spark, d, "documents"))
 
 
 @query(f"{_POSTINGS} SELECT term, count(*) AS n_postings, sum(1 + (gap >= 128)::INT + (gap >= 16384)::INT + (gap >= 2097152)::INT + (gap >= 268435456)::INT)::BIGINT AS varint_bytes, count(*) * 8 AS plain_bytes FROM g GROUP BY term")

@@ -79,7 +79,7 @@ def run_dataset(docs: DataFrame, sample: int = 1000, queries: int = 10, dim: int
     with Timer() as embed:
         vectors = written(readers.synthetic_embeddings(numbered, "doc_id", dim).withColumnRenamed("doc_id", "vec_id"), "vectors")
     with Timer() as build:
-        written(lexical.postings(lexical.term_frequencies(numbered)), "postings")
+        written(lexical.postings(numbered), "postings")
     asked = numbered.where(F.col("doc_id") <= queries).withColumnRenamed("doc_id", "query_id").join(vectors.withColumnRenamed("vec_id", "query_id"), "query_id")
     found = search.hybrid(numbered, vectors, asked, k)
     return {"n_docs": numbered.count(), "embed_ms": embed.elapsed * 1000, "build_ms": build.elapsed * 1000, "search_ms": timed(found) * 1000, "num_queries": queries}

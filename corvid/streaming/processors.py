@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corvid.operators.serving import Admission, TokenLRU
 from corvid.operators.sketch import DEPTH, WIDTH, buckets
+from corvid.sources import sinks
 
 
 def windowed_rates(events: DataFrame, key: str, window: str = "10 seconds", slide: str = "1 second", late: str = "10 seconds") -> DataFrame:
@@ -29,6 +31,20 @@ def running_sketch(items: DataFrame, item: str, width: int = WIDTH, depth: int =
     return items.select(F.explode(buckets(F.col(item), width, depth)).alias("b")).groupBy("b.row", "b.bucket").agg(F.count("*").alias("cnt"))
 
 
+def index_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a micro-batch of documents becomes the index's batch of its number; coming again, it replaces itself."""
+
+    def add(docs: DataFrame, batch: int) -> None:
+        sinks.append_index(docs.select("doc_id", "text"), path, f"stream-{batch}")
+
+    return add
+
+
+def index(docs: DataFrame, path: str, state: str) -> StreamingQuery:
+    """Adds what a stream of new documents (doc_id, text) holds by now to a written index, exactly once whatever fails."""
+    return docs.writeStream.foreachBatch(index_batch(path)).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
 def admission(requests: DataFrame, key: str, qps: float = 10.0, token_rate: float = 10_000.0, seconds: float = 10.0) -> DataFrame:
     """Decisions on requests (key string, request_id, micros, tokens) as they come; a key's state is its admitted window."""
 
