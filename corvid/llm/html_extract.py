@@ -2,7 +2,8 @@
 
 Paragraphs give points for length and commas to their ancestors (all to the parent, half to its parent, then less);
 an element's points are discounted by the share of its text that stands in links. Elements named as no article (sidebar,
-header, comments and so on) and forms are left out, but not those that hold the page's article. The best element, widened to the
+header, comments and so on) and forms are left out, but not those that hold the page's article, nor those whose name may
+as well be its subject (`social-science`, a section `search`) and that hold prose: these lose points alone. The best element, widened to the
 article or main element around it, and siblings that score well themselves are the article; without such an element, so
 are headings, lists, tables and other text beside the best one and those around it, unless half of it stands in links.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,6 +34,12 @@ IMPLIED = {
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
 }
+#: For each tag the entries of IMPLIED in which it stands.
+GROUPS: dict[str, list[str]] = {}
+for _tag, (_ends, _stops) in IMPLIED.items():
+    for _x in (*_ends, *_stops):
+        GROUPS.setdefault(_x, []).append(_tag)
+CELLS = frozenset(("table", "td", "th"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 #: Words of class, id and the like that mark what is no article.
 NAMES = frozenset(
@@ -49,6 +56,13 @@ NAMING = frozenset("class id itemprop itemtype aria-label".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Those of NAMES that stay what they are however much text they hold.
 COMMENTS = frozenset("comment comments commentlist respond disqus reply replies".split())
+#: Those that may name what an article's part is about: such an element goes only if it holds no prose.
+SUBJECTS = frozenset("search login social skip".split())
+#: The same for these where other words stand beside them (`notice-periods`).
+MIXED = SUBJECTS | frozenset("alert announcement announcements banner disclaimer header masthead menu menus nav navigation notice notices overlay pager promotion rail reply replies respond related share sharing signup subscription toolbar widget".split())
+CONTROLS = frozenset("input select textarea button form".split())
+#: Headings of readers' comments, in parts of a page that have no name.
+COMMENTS_HEADING = re.compile(r"\s*(?:\d+\s+)?comments?(?:\s*\(\d+\))?:?\s*|\s*leave a (?:comment|reply)\s*", re.I)
 #: Where a capital begins a word: `userComments`.
 CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: `with-sidebar` and the like tell what stands beside an article.
@@ -68,16 +82,19 @@ class Node:
     parent: Node | None = None
     unwanted: bool = False
     named: str = ""
+    weak: bool = False
     children: list = field(default_factory=list)
     score: float = 0.0
     length: int = 0
     linked: int = 0
     plain: int = 0
     holds: bool = False
+    controls: bool = False
+    prose: bool = False
 
 
-def _unwanted(tag: str, rest: str, inside: bool) -> bool:
-    if tag in UNWANTED or tag == "header" and not inside:
+def _unwanted(tag: str, rest: str, inside: bool, quoted: bool) -> bool:
+    if tag in UNWANTED and not (quoted and tag == "footer") or tag == "header" and not inside:
         return True
     if not rest or tag in WANTED and tag != "article":
         return False
@@ -90,16 +107,17 @@ def _unwanted(tag: str, rest: str, inside: bool) -> bool:
     return False
 
 
-def _named(tag: str, rest: str, inside: bool) -> str:
-    """The word that marks the element as no article, if any; `form` for forms. Inside an article a header is its own.
+def _named(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
+    """The word that marks the element as no article, if any, and whether it is a weak mark; `form` for forms.
 
-    One word of a class is enough. Ids and labels are often made of a heading's text, so all their words must be of NAMES
-    and COMMON, and a heading's id marks comments alone.
+    Inside an article a header is its own. One word of a class is enough. Ids and labels are often made of a heading's text,
+    so all their words must be of NAMES and COMMON, and a heading's id marks comments alone.
     """
     if tag == "form":
-        return tag
+        return tag, False
     if not rest or tag in WANTED and tag != "article":
-        return ""
+        return "", False
+    weak = ""
     for m in ATTRIBUTE.finditer(rest):
         name = m[1].lower()
         if name not in NAMING:
@@ -107,17 +125,19 @@ def _named(tag: str, rest: str, inside: bool) -> str:
         value = html.unescape(m[2] or m[3] or m[4] or "")
         if name == "itemtype":
             value = value.rsplit("/", 1)[-1]
-        parts = re.findall(r"[a-z]+", BESIDE.sub(" ", CAPITAL.sub("-", value).lower()))
-        words = NAMES.intersection(parts)
-        if name != "class" and not (words | COMMON).issuperset(parts):
-            continue
-        if tag in HEADINGS and name == "id":
-            words &= COMMENTS
-        if tag in HEADINGS or "header" in words and inside:
-            words -= {"header", "masthead"}
-        if words:
-            return min(words, key=lambda w: (w not in COMMENTS, w))
-    return ""
+        for token in BESIDE.sub(" ", CAPITAL.sub("-", value).lower()).split() if name == "class" else [BESIDE.sub(" ", CAPITAL.sub("-", value).lower())]:
+            parts = re.findall(r"[a-z]+", token)
+            words, whole = NAMES.intersection(parts), (NAMES | COMMON).issuperset(parts)
+            if name != "class" and not whole:
+                continue
+            if tag in HEADINGS and name == "id":
+                words &= COMMENTS
+            if tag in HEADINGS or "header" in words and inside:
+                words -= {"header", "masthead"}
+            if sure := words - (SUBJECTS if whole else MIXED):
+                return min(sure, key=lambda w: (w not in COMMENTS, w)), False
+            weak = weak or min(words, default="")
+    return weak, weak != ""
 
 
 def _drop_named(root: Node) -> None:
@@ -128,8 +148,18 @@ def _drop_named(root: Node) -> None:
         order.append(x)
         stack += [c for c in x.children if isinstance(c, Node) and not c.unwanted]
     for x in reversed(order):
+        inner = [c for c in x.children if isinstance(c, Node)]
         x.plain = sum(len(c.strip()) if isinstance(c, str) else 0 if c.unwanted or c.tag == "a" else c.plain for c in x.children)
-        x.holds = x.tag in ("article", "main") or any(isinstance(c, Node) and not c.unwanted and c.holds for c in x.children)
+        x.linked = sum(c.linked if c.tag != "a" else c.plain for c in inner if not c.unwanted)
+        x.holds = x.tag in ("article", "main") or any(not c.unwanted and c.holds for c in inner)
+        x.controls = x.tag in CONTROLS or any(c.controls or c.tag in CONTROLS for c in inner)
+        x.prose = (x.tag in PARAGRAPHS or x.tag in HEADINGS) and x.plain > 0 or any(not c.unwanted and c.prose for c in inner)
+        if inner and inner[0].tag in HEADINGS and x.tag in ("section", "div", "aside", "ol", "ul") and not x.holds and COMMENTS_HEADING.fullmatch("".join(c for c in inner[0].children if isinstance(c, str))):
+            x.named, x.weak = "comments", False
+        if x.weak and x.prose and not x.controls and x.plain >= 2 * x.linked:
+            x.named = ""
+    for x in order:
+        x.linked = 0
     # Articles under no named element, the outermost ones: what they hold speaks against a named element beside them.
     beside, stack = [], [root]
     while stack:
@@ -138,11 +168,12 @@ def _drop_named(root: Node) -> None:
             beside.append(x)
         elif not x.named:
             stack += [c for c in x.children if isinstance(c, Node) and not c.unwanted]
-    stack = [(root, None)]
+    stack, total = [(root, None)], sum(a.plain for a in beside)
+    outer = set(map(id, beside))
     while stack:
         x, around = stack.pop()
         if x.named and not (x.tag == "article" and (around is None or around.tag == "main")):
-            others = sum(a.plain for a in beside if a is not around)
+            others = total - (around.plain if id(around) in outer else 0)
             least = 0.8 * around.plain if around is not None else root.plain / (4 if x.holds and not others else 2)
             if x.named in COMMENTS or x.plain <= least or 4 * others >= x.plain:
                 x.unwanted = True
@@ -154,13 +185,34 @@ def _drop_named(root: Node) -> None:
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed, misplaced and cut off tags do no harm."""
     root = now = Node("#root")
-    #: how many elements of each tag are open: what isn't open isn't looked for
+    # Of what is open: how many elements of each tag, in all and since the innermost table or cell; the blocks; and for
+    # the elements that end others, what they end and where they stop. So nothing is looked for where it isn't.
     opened: defaultdict[str, int] = defaultdict(int)
+    scopes: list[defaultdict[str, int]] = [defaultdict(int)]
+    blocks: list[Node] = []
+    groups: dict[str, list[Node]] = {tag: [] for tag in IMPLIED}
+
+    def enter(x: Node) -> None:
+        opened[x.tag] += 1
+        scopes[-1][x.tag] += 1
+        if x.tag in CELLS:
+            scopes.append(defaultdict(int))
+        if x.tag in BLOCKS or x.tag == "button":
+            blocks.append(x)
+        for g in GROUPS.get(x.tag, ()):
+            groups[g].append(x)
 
     def back(to: Node) -> Node:
         up = now
         while up is not to:
             opened[up.tag] -= 1
+            if up.tag in CELLS:
+                scopes.pop()
+            scopes[-1][up.tag] -= 1
+            if up.tag in BLOCKS or up.tag == "button":
+                blocks.pop()
+            for g in GROUPS.get(up.tag, ()):
+                groups[g].pop()
             up = up.parent
         return up
 
@@ -184,41 +236,34 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            up = now if opened[tag] else root
+            up = now if (opened if tag in BLOCKS else scopes[-1])[tag] else root
             while up is not root and up.tag != tag:
-                if up.tag in ("table", "td", "th") and tag not in BLOCKS:
-                    break
                 up = up.parent
-            if up is not root and up.tag == tag:
+            if up is not root:
                 now = back(up.parent)
             elif tag in ("p", "br"):
                 now.children.append(Node("br", now))
             continue
-        if opened["p"] and tag in CLOSES_P:
-            up = now
-            while up is not root and up.tag not in BLOCKS and up.tag != "button":
-                up = up.parent
-            if up.tag == "p":
-                now = back(up.parent)
-        if tag in IMPLIED and any(opened[x] for x in IMPLIED[tag][0]):
-            ends, stops = IMPLIED[tag]
-            up, last = now, None
-            while up is not root and up.tag not in stops:
-                if up.tag in ends:
-                    last = up
-                up = up.parent
+        if tag in CLOSES_P and blocks and blocks[-1].tag == "p":
+            now = back(blocks[-1].parent)
+        if tag in IMPLIED:
+            last, ends = None, IMPLIED[tag][0]
+            for x in reversed(groups[tag]):
+                if x.tag not in ends:
+                    break
+                last = x
             if last is not None:
                 now = back(last.parent)
         inside, rest = opened["article"] + opened["main"] > 0, m[3].strip()
-        unwanted = now.unwanted or _unwanted(tag, rest, inside)
-        new = Node(tag, now, unwanted, "" if unwanted else _named(tag, rest, inside))
+        unwanted = now.unwanted or _unwanted(tag, rest, inside, opened["blockquote"] > 0)
+        new = Node(tag, now, unwanted, *(("", False) if unwanted else _named(tag, rest, inside)))
         now.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
         elif tag not in VOID and not m[3].endswith("/") or tag in BLOCKS:
             now = new
-            opened[tag] += 1
+            enter(new)
     return root
 
 
@@ -232,7 +277,7 @@ def _blocks(top: list, kept) -> list[tuple[str, list, Node]]:
         out.append(tuple(current))
         current = [owner, [], 0]
 
-    stack: list = [(x, None) for x in reversed(top)]
+    stack: list = [(x, None) for x in reversed(list(top))]
     while stack:
         x, owner = stack.pop()
         if x is None:
@@ -298,7 +343,7 @@ def _article(root: Node) -> str:
             up.score += points * share
             up = up.parent
     for x in order:
-        x.score *= 1 - x.linked / max(1, x.length)
+        x.score *= (1 - x.linked / max(1, x.length)) / (2 if x.weak else 1)
     best = max(order, key=lambda x: x.score, default=root)
     if best.score <= 0:
         best = next((x for x in order if x.tag in ("article", "main")), None) or next((x for x in order if x.tag == "body"), root)
@@ -307,13 +352,15 @@ def _article(root: Node) -> str:
         if up.tag == "article" or up.tag == "main":
             best = up
         up = up.parent
-    top = [best]
+    top = deque([best])
     if best.tag not in ("article", "main"):
         least, x = max(10.0, best.score * 0.2), best
         while x.parent is not None and x.tag not in WANTED and x.tag != "#root" and (x is best or x.parent.tag not in WANTED and x.parent.tag != "#root"):
             at = next(k for k, c in enumerate(x.parent.children) if c is x)
             before, after = ([c for c in part if _beside(c, least)] for part in (x.parent.children[:at], x.parent.children[at + 1 :]))
-            top, x = [*before, *top, *after], x.parent
+            top.extendleft(reversed(before))
+            top.extend(after)
+            x = x.parent
     elif best.parent is not None and best.tag == "article":
         least = max(10.0, best.score * 0.2)
         top = [c for c in best.parent.children if c is best or isinstance(c, Node) and not c.unwanted and (c.score >= least or c.tag == "p" and c.length > 80 and c.linked < 0.25 * c.length)]

@@ -2,7 +2,8 @@
 
 A token budget goes down a tree of domains, languages and sources. At each node it is shared among the children by
 weight; a child takes no more than it can give (its tokens times the epochs allowed), and what it leaves goes to its
-siblings by weight, so only what a whole subtree lacks reaches the siblings of an ancestor. A leaf's quota is filled with
+siblings by weight, so only what a whole subtree lacks reaches the siblings of an ancestor. What stands below a weight of
+zero gives nothing, to no node above it either. A leaf's quota is filled with
 whole epochs and then a prefix of the documents in an order seeded by epoch.
 """
 
@@ -50,7 +51,7 @@ def _weight(key: Column, weights: tuple, rest: float) -> Column:
 
 
 def share(children: DataFrame, parent: list[str]) -> DataFrame:
-    """children (parent's columns, weight, room, given: the parent's budget) with `got`: the budget shared by weight up to each child's room.
+    """children (parent's columns, weight: over 0, room, given: the parent's budget) with `got`: the budget shared by weight up to each child's room.
 
     In the order of room per weight the full children are a prefix: a child is full if what is left for it and those
     after it, by weight, is its room or more.
@@ -60,7 +61,7 @@ def share(children: DataFrame, parent: list[str]) -> DataFrame:
     before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
     taken, weights = F.coalesce(F.sum("room").over(before), F.lit(0.0)), F.sum("weight").over(rest)
     full = (F.col("given") - taken) * F.col("weight") >= F.col("room") * weights
-    out = children.where("weight > 0").withColumn("full", full)
+    out = children.withColumn("full", full)
     left = F.col("given") - F.coalesce(F.sum(F.when(F.col("full"), F.col("room"))).over(by), F.lit(0.0))
     open_weight = F.sum(F.when(~F.col("full"), F.col("weight"))).over(by)
     return out.withColumn("got", F.when(F.col("full"), F.col("room")).otherwise(left * F.col("weight") / open_weight)).drop("full")
@@ -70,10 +71,13 @@ def quotas(leaves: DataFrame, mixture: Mixture) -> DataFrame:
     """leaves (domain, lang, source, tokens, documents) with quota in tokens."""
     whole = leaves.agg((F.floor(F.sum("tokens") * mixture.percent / 100)).cast("double").alias("given"))
     weights = {"domain": _weight(F.col("domain"), tuple((n, w) for n, _, w in mixture.domains), mixture.other), "lang": _weight(F.col("lang"), mixture.languages, mixture.other_language), "source": _weight(F.col("source"), mixture.sources, 1.0)}
+    live = leaves
+    for w in weights.values():
+        live = live.where(w > 0)
     given, nodes = whole, None
     for depth, key in enumerate(LEAF):
         path, parent = LEAF[: depth + 1], LEAF[:depth]
-        level = leaves.groupBy(*path).agg((F.sum("tokens") * mixture.epochs).cast("double").alias("room"))
+        level = live.groupBy(*path).agg((F.sum("tokens") * mixture.epochs).cast("double").alias("room"))
         level = level.join(given, parent) if parent else level.crossJoin(F.broadcast(given))  # one row
         nodes = share(level.withColumns({"weight": weights[key], "name": F.col(key)}), parent)
         given = nodes.select(*path, F.col("got").alias("given"))
@@ -138,12 +142,13 @@ def mix_sql(m: Mixture = Mixture()) -> str:
     weight = {"domain": _case("domain", [("=", n, w) for n, _, w in m.domains], m.other), "lang": _case("lang", [("=", n, w) for n, w in m.languages], m.other_language), "source": _case("source", [("=", n, w) for n, w in m.sources], 1.0)}
     steps, given = [], "SELECT floor(sum(tokens) * %d / 100.0)::DOUBLE AS given FROM leaves" % m.percent
     steps.append(f"g0 AS ({given})")
+    steps.append(f"live AS (SELECT * FROM leaves WHERE {' AND '.join(f'{w} > 0' for w in weight.values())})")
     for depth, key in enumerate(LEAF):
         path, parent = ", ".join(LEAF[: depth + 1]), ", ".join(LEAF[:depth])
         by = f"PARTITION BY {parent}" if parent else ""
         join = f"JOIN g{depth} USING ({parent})" if parent else f"CROSS JOIN g{depth}"
         steps += [
-            f"l{depth} AS (SELECT {path}, (sum(tokens) * {m.epochs})::DOUBLE AS room, {weight[key]} AS weight FROM leaves GROUP BY {path})",
+            f"l{depth} AS (SELECT {path}, (sum(tokens) * {m.epochs})::DOUBLE AS room, {weight[key]} AS weight FROM live GROUP BY {path})",
             f"f{depth} AS (SELECT *, (given - coalesce(sum(room) OVER ({by} ORDER BY room / weight, {key} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight >= room * sum(weight) OVER ({by} ORDER BY room / weight, {key} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sat FROM l{depth} {join})",
             f"g{depth + 1} AS (SELECT {path}, CASE WHEN sat THEN room ELSE (given - coalesce(sum(room) FILTER (sat) OVER ({by}), 0)) * weight / sum(weight) FILTER (NOT sat) OVER ({by}) END AS given FROM f{depth})",
         ]
