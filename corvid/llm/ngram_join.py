@@ -57,7 +57,7 @@ def _exploded(percent: int):
     """(cid, h) for each token in the longer sketches of sets (cid, tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, "tokens"):
+        for b in in_slices(batches, "tokens", SLICE):
             h = [np.frombuffer(x, np.int64) for x in b.column("tokens").to_pylist()]
             h = [x[: len(x) - common + _longer(common)] for x in h for common in [-(-len(x) * percent // 100)]]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(b.column("cid")), [len(x) for x in h])), pa.array(np.concatenate(h) if h else np.zeros(0, np.int64))], ["cid", "h"])
@@ -226,7 +226,7 @@ def _block_links(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        for b in batches:
+        for b in in_slices(batches, "tokens", SLICE):  # a worker holds a block's rows and a slice's
             links: list[tuple[int, int]] = []
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if rows and rows[-1][:3] != r[:3]:
