@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvid.plans.scratch import global_row_number
+from corvid.plans.scratch import few_rows, global_row_number, running_sum
 
 
 def default_priority(tokens: Column) -> Column:
@@ -156,9 +156,14 @@ def replay_lru(accesses: DataFrame, shard: str, budget: int) -> DataFrame:
 
 
 def recency(accesses: DataFrame, shard: str) -> DataFrame:
-    """(shard, item, tokens, last, above): above are the tokens of the items used later and the item's own."""
+    """(shard, item, tokens, last, above): above are the tokens of the items used later and the item's own.
+
+    In larger tables a shard's items lie in many tasks, by their last use.
+    """
     last = accesses.groupBy(shard, "item").agg(F.max(F.struct("micros", "event_id")).alias("last"), F.max("tokens").alias("tokens"))
-    w = Window.partitionBy(shard).orderBy(F.desc("last")).rowsBetween(Window.unboundedPreceding, 0)
+    if not few_rows(accesses):
+        return running_sum(last, [shard], [F.desc("last"), F.asc("item")], "tokens", "above", "__all").withColumn("above", F.col("above").cast("long")).drop("__all")
+    w = Window.partitionBy(shard).orderBy(F.desc("last"), F.asc("item")).rowsBetween(Window.unboundedPreceding, 0)
     return last.withColumn("above", F.sum("tokens").over(w).cast("long"))
 
 

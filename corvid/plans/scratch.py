@@ -111,3 +111,29 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rn") -> D
     offsets = sizes.select("__part", before.alias("__before"))
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__before")
     return parts.join(F.broadcast(offsets), "__part").withColumn(name, place.cast("long")).drop("__part", "__before")
+
+
+#: Rows up to which a group's values may stand in one task, as a table of this size does anyway.
+ONE_TASK = 2_000_000
+
+
+def few_rows(df: DataFrame) -> bool:
+    return df.limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
+def running_sum(df: DataFrame, by: list[str], order: list[Column], amount: str, name: str, total: str) -> DataFrame:
+    """df with the sum of amount over the rows of the group (by; nulls are a group) up to each row, and over all of the group.
+
+    order must be a total one within a group. Rows are range-partitioned by group and order and written, so a group with any
+    share of all rows lies in as many tasks as its share; each partition's sums by group give the others' offsets.
+    """
+    parts = written(df.repartitionByRange(*(F.col(c) for c in by), *order).withColumn("__part", F.spark_partition_id()), "running")
+    sums = parts.groupBy("__part", *by).agg(F.sum(amount).alias("__sum"))
+    group = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__sum").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(F.col("__part").alias("__p"), *(F.col(c).alias(f"__by{k}") for k, c in enumerate(by)), before.alias("__before"), F.sum("__sum").over(group).alias(total))
+    same = F.col("__part") == F.col("__p")
+    for k, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__by{k}"))
+    here = F.sum(amount).over(Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(offsets, same).withColumn(name, here + F.col("__before")).drop("__p", "__part", "__before", *(f"__by{k}" for k in range(len(by))))
