@@ -1,4 +1,4 @@
-"""Nearest neighbours by L2 distance: exact in blocks, through an index of coarse cells, and along a layered graph.
+"""Nearest neighbours by L2 distance: exact in blocks, and through an index of coarse cells; graph.py has the layered graph.
 
 Vectors and queries without an embedding are left out everywhere; embeddings of several lengths raise an error where
 they meet. Ids that are repeated are rows of their own. Empty tables give empty results.
@@ -7,7 +7,6 @@ they meet. Ids that are repeated are rows of their own. Empty tables give empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators.lexical import top_k
-from corvid.plans.scratch import written
 
 #: Queries to a block of the kernel (512 x 4096 doubles are 16 MB).
 QUERY_BLOCK = 512
@@ -208,68 +206,6 @@ def _search(k: int, with_self: bool):
     return run
 
 
-def build_graph(vectors: DataFrame, m: int = 16, recall: float = 0.93) -> DataFrame:
-    """Links (layer, vec_id, neighbour, distance) of a layered proximity graph, both ways, at most m a node and layer.
-
-    Layer n has the nodes of level n and more. A node is tied to its nearest of the layer, found through cells; links are
-    made to lead both ways, and each node keeps the m shortest, so links that only one end keeps lead one way. vec_id must
-    not be repeated: check_ids tells.
-    """
-    nodes = written(vectors.where("embedding is not null").select("vec_id", "embedding", level(F.col("vec_id")).alias("level")), "nodes")
-    top, out = nodes.agg(F.max("level")).first()[0], []
-    for n in range(0 if top is None else top + 1):  # layers, of which level() allows few
-        layer = nodes.where(F.col("level") >= n).select("vec_id", "embedding")
-        near = written(knn_ivf(layer, layer.select(F.col("vec_id").alias("query_id"), "embedding"), k=m, recall=recall).select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"), "distance"), "near")
-        both = near.unionByName(near.select(F.col("neighbour").alias("vec_id"), F.col("vec_id").alias("neighbour"), "distance")).distinct()
-        out.append(top_k(both, ["vec_id"], [F.asc("distance"), F.asc("neighbour")], m).select(F.lit(n).alias("layer"), "vec_id", "neighbour", "distance"))
-    if not out:
-        return vectors.sparkSession.createDataFrame([], "layer int, vec_id bigint, neighbour bigint, distance double")
-    return written(reduce(DataFrame.unionByName, out), "graph")
-
-
-def check_ids(vectors: DataFrame) -> DataFrame:
-    """(vec_id, n) of ids that stand in several rows, which a graph can't tell apart."""
-    return vectors.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def expand(frontier: DataFrame, links: DataFrame) -> DataFrame:
-    """(query_id, vec_id) of all neighbours of the nodes in frontier (query_id, vec_id), once each."""
-    return frontier.join(links.select("vec_id", "neighbour"), "vec_id").select("query_id", F.col("neighbour").alias("vec_id")).distinct()
-
-
-def search_graph(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, ef: int = 96, with_self: bool = False, rounds: int = 24) -> DataFrame:
-    """As knn_exact, along build_graph's links: from the node of the highest level down the layers.
-
-    In each layer a query's frontier holds its ef best nodes (8 above the lowest layer); those not yet expanded are
-    expanded together, all queries at once, until none is left or `rounds` are over. Joins on node and query ids; nothing
-    but the number of open nodes comes to the driver.
-    """
-    vectors, queries = vectors.where("embedding is not null").select("vec_id", "embedding"), queries.where("embedding is not null").select("query_id", F.col("embedding").alias("asked"))
-    top = graph.agg(F.max(F.struct("layer", -F.col("vec_id"))).alias("x")).select("x.*").first()
-    if top[0] is None:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, distance double")
-    measured = lambda rows: rows.join(queries, "query_id").join(vectors, "vec_id").select("query_id", "vec_id", F.round(l2(F.col("asked"), F.col("embedding")), PLACES).alias("distance"))
-    found = written(measured(queries.select("query_id", F.lit(-top[1]).alias("vec_id"))).withColumn("open", F.lit(True)), "frontier")
-    for n in range(top[0], -1, -1):
-        links, most = graph.where(F.col("layer") == n), ef if n == 0 else 8
-        found = found.withColumn("open", F.lit(True))
-        for _ in range(rounds):
-            fresh = measured(expand(found.where("open"), links).join(found.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"))
-            kept = top_k(found.withColumn("open", F.lit(False)).unionByName(fresh.withColumn("open", F.lit(True))), ["query_id"], [F.asc("distance"), F.asc("vec_id")], most).drop("rank")
-            found = written(kept, "frontier")
-            if found.where("open").isEmpty():
-                break
-    if not with_self:
-        found = found.where("query_id != vec_id")
-    return top_k(found, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")
-
-
-def graph_stats(graph: DataFrame, m: int = 16) -> DataFrame:
-    """Per layer: nodes with links, links, mean links a node, nodes with more than m."""
-    degree = graph.groupBy("layer", "vec_id").agg(F.count("*").alias("d"))
-    return degree.groupBy("layer").agg(F.count("*").alias("n_nodes"), F.sum("d").alias("n_links"), F.round(F.avg("d"), 6).alias("avg_links"), F.sum((F.col("d") > m).cast("long")).alias("n_over"))
-
-
 def recall_at(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """(query_id, hits, recall): share of the first k of truth that are among the first k found; 0 without truth."""
     a, b = (x.where(F.col("rank") <= k).select("query_id", "vec_id") for x in (found, truth))

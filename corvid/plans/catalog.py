@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import text as tx
-from corvid.operators import fusion, kv, lexical, serving, sketch, stats, vector
+from corvid.operators import fusion, graph, kv, lexical, serving, sketch, stats, vector
 from corvid.plans.register import QUERIES, SQL, query
 from corvid.plans.scratch import table
 from corvid.sources import readers
@@ -160,27 +160,28 @@ _RECALL = f"WITH t AS ({_KNN.format(more='')}), f AS ({_KNN.format(more=' AND v.
 
 @query()
 def knn_graph_build(spark: SparkSession, d: str) -> DataFrame:
-    return vector.build_graph(table(spark, d, "embeddings"))
+    return graph.build_graph(table(spark, d, "embeddings"))
 
 
-@query(f"WITH l AS (SELECT {_LEVEL} AS level FROM embeddings) SELECT n::INTEGER AS layer, count(*) AS n_nodes, 0::BIGINT AS n_over FROM range(11) r(n) JOIN l ON level >= n GROUP BY n HAVING count(*) > 1")
+@query(f"WITH l AS (SELECT {_LEVEL.replace(', 10)', ', 40)')} AS level FROM embeddings) SELECT n::INTEGER AS layer, count(*) AS n_nodes, 0::BIGINT AS n_over, 1::BIGINT AS n_components FROM range(41) r(n) JOIN l ON level >= n GROUP BY n HAVING count(*) > 1")
 def knn_graph_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes of each layer, and of them those with more than 16 links."""
-    return vector.graph_stats(knn_graph_build(spark, d)).select("layer", "n_nodes", "n_over")
+    """Nodes of each layer, of them those with more than 16 links, and components."""
+    return graph.graph_stats(knn_graph_build(spark, d)).select("layer", "n_nodes", "n_over", "n_components")
 
 
 @query()
 def knn_graph_search(spark: SparkSession, d: str) -> DataFrame:
     v, q = _vectors(spark, d)
-    return vector.search_graph(vector.build_graph(v), v, q)
+    return graph.search_graph(graph.build_graph(v), v, q)
 
 
-@query("SELECT 1::BIGINT AS found")
+@query(f"WITH t AS ({_KNN.format(more='')}) SELECT query_id, count(*) AS n_true, max(distance) AS farthest, true AS found_nine FROM t GROUP BY query_id")
 def knn_graph_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Whether the graph finds nine in ten of the true neighbours."""
+    """Of each query the number of its true neighbours, the distance of the farthest, and whether the graph finds nine in ten."""
     v, q = _vectors(spark, d)
-    recalls = vector.recall_at(vector.search_graph(vector.build_graph(v), v, q), vector.knn_exact(v, q), 10)
-    return recalls.agg((F.avg("recall") >= 0.9).cast("long").alias("found"))
+    truth = vector.knn_exact(v, q)
+    recalls = vector.recall_at(graph.search_graph(graph.build_graph(v), v, q), truth, 10)
+    return truth.groupBy("query_id").agg(F.count("*").alias("n_true"), F.max("distance").alias("farthest")).join(recalls.select("query_id", (F.col("recall") >= 0.9).alias("found_nine")), "query_id")
 
 
 @query(f"SELECT {_LEVEL} AS level, count(*) AS n FROM embeddings GROUP BY ALL")

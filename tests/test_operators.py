@@ -96,22 +96,6 @@ def test_knn_in_blocks_by_label_and_without_vectors(spark, monkeypatch):
         vector.knn_exact(odd, odd.withColumnRenamed("vec_id", "query_id").where("query_id = 1")).collect()
 
 
-def test_layered_graph(spark):
-    rng = np.random.default_rng(4)
-    x = rng.normal(size=(500, 8)) + 6 * rng.integers(0, 2, size=(500, 8))
-    v = spark.createDataFrame([(i, [float(c) for c in r]) for i, r in enumerate(x)] + [(900, None)], "vec_id bigint, embedding array<float>")
-    q = v.where("vec_id < 25").withColumnRenamed("vec_id", "query_id")
-    graph = vector.build_graph(v, m=12)
-    links = graph.collect()
-    assert {r["vec_id"] for r in links if r["layer"] == 0} == set(range(500)) and max(r["layer"] for r in links) >= 3
-    assert all(r["vec_id"] != r["neighbour"] for r in links) and not graph.groupBy("layer", "vec_id").count().where("count > 12").count()
-    recall = vector.recall_at(vector.search_graph(graph, v, q), vector.knn_exact(v, q), 10).agg(F.avg("recall")).first()[0]
-    assert recall >= 0.9
-    none = v.limit(0)
-    assert vector.build_graph(none).count() == 0 and vector.search_graph(vector.build_graph(none), none, q).count() == 0
-    assert [tuple(r) for r in vector.check_ids(v.union(v.where("vec_id = 3"))).collect()] == [(3, 2)]
-
-
 def test_bm25_of_awkward_rows(spark):
     docs = spark.createDataFrame([(9, "a b"), (2, "a c"), (3, "a"), (4, None), (5, "a d d"), (1, "x"), (6, "")], "doc_id bigint, text string")
     queries = spark.createDataFrame([(1, "a d"), (2, "a"), (3, "none"), (4, None)], "query_id bigint, text string")
