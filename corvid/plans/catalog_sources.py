@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.functions import text as tx
-from corvid.operators import kv, lexical, serving, stats
+from corvid.operators import kv, lexical, serving, stats, vector
 from corvid.plans import harness, search
-from corvid.plans.catalog import _KNOWN, _POSTINGS, _W, _bm25_sql, _queries
+from corvid.plans.catalog import _KNN, _KNOWN, _POSTINGS, _W, _bm25_sql, _queries, _vectors
 from corvid.plans.register import query
 from corvid.plans.scratch import scratch_path, table, written
 from corvid.sources import readers, sinks
+from corvid.sources import vector_index as stored
 
 # --- readers ---
 
@@ -261,3 +262,22 @@ def latency_breakdown(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events")
     whole = events.agg(F.sum("value").alias("whole"))
     return events.groupBy("event_type").agg(F.sum("value").alias("t")).crossJoin(F.broadcast(whole)).select("event_type", F.round("t", 4).alias("total"), F.round(F.col("t") / F.col("whole"), 6).alias("share"))
+
+
+# --- a written index of vectors ---
+
+
+@query(f"WITH t AS ({_KNN.format(more=' AND v.label IN (1, 3)')}) SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_true, round(max(distance), 6) AS farthest, true AS found_nine FROM t")
+def vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """Written from half of the vectors, the rest appended (twice, as one batch), searched among two labels; whether nine in ten
+    of the true neighbours are found."""
+    v, q = _vectors(spark, d)
+    path = scratch_path(spark, "vectors")
+    half = F.pmod(F.xxhash64("vec_id"), F.lit(2))
+    stored.write_vectors(v.where(half == 0), path)
+    for _ in range(2):
+        stored.append_vectors(v.where(half == 1), path, "rest")
+    wanted = F.col("label").isin(1, 3)
+    truth = written(vector.knn_exact(v.where(wanted), q), "truth")
+    recalls = vector.recall_at(stored.search_vectors(spark, path, q, where=wanted), truth, 10)
+    return truth.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_true"), F.max("distance").alias("farthest")).crossJoin(recalls.agg((F.avg("recall") >= 0.9).alias("found_nine")))
