@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +17,10 @@ def buckets(item: Column, width: int = WIDTH, depth: int = DEPTH) -> Column:
 
 
 def build(items: DataFrame, item: str, count: Column | None = None, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
-    """The sketch of a table's items; its size is bounded by depth * width whatever the table."""
+    """The sketch of a table's items; its size is bounded by depth * width whatever the table, and so is what each map task
+    sends of it, as cells are added up before the shuffle."""
     amount = F.lit(1) if count is None else count
-    rows = items.groupBy(item).agg(F.sum(amount).alias("n")).select("n", F.explode(buckets(F.col(item), width, depth)).alias("b"))
+    rows = items.select(amount.alias("n"), F.explode(buckets(F.col(item), width, depth)).alias("b"))
     return rows.groupBy("b.row", "b.bucket").agg(F.sum("n").alias("cnt"))
 
 
@@ -27,3 +32,44 @@ def estimate(sketch: DataFrame, items: DataFrame, item: str, width: int = WIDTH,
 
 def error_bound(total: Column, width: int = WIDTH) -> Column:
     return F.lit(2.71828) / width * total
+
+
+def summaries(items: DataFrame, item: str, size: int) -> DataFrame:
+    """(item, least): a summary of `size` items at most from each map task; nulls are an item.
+
+    A task keeps counts of the items it has seen; where there are more than `size`, the count of the first one beyond is taken
+    off all, and who has nothing left goes. Any item that is more than a (size + 1)-th of all rows is left in some task, and
+    the sum of its counts, at most its true one, is short of that by no more than a (size + 1)-th of all rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            rows = pa.table({"item": b.column(0), "n": pa.array([1] * b.num_rows, pa.int64())})
+            kept = rows if kept is None else pa.concat_tables([kept, rows])
+            kept = kept.group_by("item").aggregate([("n", "sum")]).rename_columns(["item", "n"])
+            if kept.num_rows > size:
+                over = sorted(kept.column("n").to_pylist(), reverse=True)[size]
+                kept = kept.set_column(1, "n", pc.subtract(kept.column("n"), over))
+                kept = kept.filter(pc.greater(kept.column("n"), 0))
+        if kept is not None and kept.num_rows:
+            yield from kept.rename_columns(["item", "least"]).combine_chunks().to_batches()
+
+    kind = items.schema[item].dataType.simpleString()
+    return items.select(item).mapInArrow(run, f"item {kind}, least bigint").groupBy("item").agg(F.sum("least").alias("least"))
+
+
+def heavy_hitters(items: DataFrame, item: str, share: float, size: int | None = None) -> DataFrame:
+    """(item, n) of the items that are at least that share of all rows, with their exact counts.
+
+    Map tasks make summaries, whose merged counts are short by less than a (size + 1)-th of all rows: what could reach the
+    share by that are candidates, of which there are under 1 / (share - 1 / (size + 1)). A second scan counts these alone. No
+    count of all distinct items is made, and the shuffles are bounded by the summaries.
+    """
+    size = max(1, round(2 / share)) if size is None else size
+    if size + 1 <= 1 / share:
+        raise ValueError(f"summaries of {size} items can't tell shares of {share}")
+    total = items.count()
+    names = summaries(items, item, size).where(F.col("least") >= share * total - total / (size + 1) - 0.5).select(F.col("item").alias("__item"))
+    found = items.select(item).join(F.broadcast(names), F.col(item).eqNullSafe(F.col("__item")))
+    return found.groupBy(item).agg(F.count("*").alias("n")).where(F.col("n") >= share * total)

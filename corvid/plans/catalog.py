@@ -238,6 +238,24 @@ def cms_hot_items(spark: SparkSession, d: str) -> DataFrame:
     return cms_estimate(spark, d).where("estimate >= 70")
 
 
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) >= 0.008 * (SELECT count(*) FROM events)")
+def heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
+    """Users of at least 0.8 % of the events, found by summaries of the map tasks."""
+    return sketch.heavy_hitters(table(spark, d, "events"), "user_id", 0.008)
+
+
+@query("SELECT l_quantity, count(*) AS n FROM lineitem GROUP BY l_quantity HAVING count(*) >= 0.02 * (SELECT count(*) FROM lineitem)")
+def heavy_quantities(spark: SparkSession, d: str) -> DataFrame:
+    return sketch.heavy_hitters(table(spark, d, "lineitem"), "l_quantity", 0.02)
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT (SELECT count(*) // 2 FROM documents)")
+def half_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Half of all documents, the same at every run."""
+    docs = table(spark, d, "documents").select("doc_id")
+    return readers.sample_exact(docs, docs.count() // 2, "doc_id")
+
+
 @query("SELECT count(*) AS total, round(2.71828 / 2048 * count(*), 6) AS bound FROM events")
 def cms_error_bound(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.count("*").alias("total")).withColumn("bound", F.round(sketch.error_bound(F.col("total")), 6))

@@ -76,6 +76,14 @@ def read_warc(spark: SparkSession, d: str) -> DataFrame:
     return _warc(spark, d)
 
 
+@query("SELECT page_id::VARCHAR AS id, url, html FROM pages")
+def read_warc_split(spark: SparkSession, d: str) -> DataFrame:
+    """Files of a gzip member a record, each read by several tasks."""
+    path = scratch_path(spark, "warc")
+    readers.write_warc(table(spark, d, "pages").select(F.col("page_id").cast("string").alias("id"), "url", "html"), path, gzipped=True)
+    return readers.read_warc(spark, f"{path}/*.warc.gz", split=65_536)
+
+
 @query(r"SELECT page_id::VARCHAR AS id, url, left(text, 10000) AS text FROM (SELECT page_id, url, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]+>', '', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM pages) WHERE length(text) > 100")
 def warc_documents(spark: SparkSession, d: str) -> DataFrame:
     """WARC records to documents: tags stripped, short ones left out, long ones cut at 10,000 characters as the reader's format has it."""

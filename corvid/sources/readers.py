@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvid.functions.text import strip_tags
+from corvid.plans.scratch import global_row_number
+from corvid.sources import warc
 
 DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("meta", T.MapType(T.StringType(), T.StringType()))])
 METRICS = ("build_p50_ms", "build_p95_ms", "build_p99_ms", "search_p50_ms", "search_p95_ms", "search_p99_ms", "avg_build_time_ms", "avg_search_time_ms", "qps", "peak_rss_mb", "build_peak_rss_mb", "build_memory_delta_mb", "search_peak_rss_mb")
@@ -76,60 +73,22 @@ def html_documents(pages: DataFrame, html: str = "html", least: int = 100, most:
     return rows.withColumn("text", F.substring("text", 1, most)) if most else rows
 
 
-def _records(data: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
-    """Headers, HTTP headers and body of each WARC record, of plain or gzipped files, which are inflated as they are read."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data))
-
-    def headers() -> dict[str, str]:
-        out = {}
-        while (line := stream.readline().strip()) != b"":
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            out[name.strip().lower()] = value.strip()
-        return out
-
-    while line := stream.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        record = headers()
-        body = stream.read(int(record.get("content-length", 0)))
-        head, _, rest = body.partition(b"\r\n\r\n")
-        http = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-        yield record, http, rest
-
-
-#: Bytes of html to a batch of read_warc, about.
-WARC_BATCH = 16 << 20
-
+def read_warc(spark: SparkSession, path: str, split: int = warc.SPLIT) -> DataFrame:
+    """id, url, html of the HTML responses in the WARC files at path: a file, a folder, or a pattern for names in a folder.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """id, url, html of the HTML responses in WARC files below path.
-
-    Each file is one row's work, as its gzip stream can't be split: a task holds the file as it is stored and one batch of
-    about WARC_BATCH bytes of its records. Records that are cut off or no HTML are passed over.
+    A gzipped file of one member a record is read by a task for each `split` bytes. Records that are cut off or no HTML are
+    passed over.
     """
+    spark.dataSource.register(warc.WarcSource)
+    return spark.read.format("warc").option("split", split).load(path).select("id", "url", "html")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                rows, size = [], 0
-                for r, http, body in _records(b.column("content")[k].as_py()):
-                    if r.get("warc-type") != "response" or not http.get("content-type", "").startswith("text/html"):
-                        continue
-                    rows.append((r.get("warc-record-id"), r.get("warc-target-uri", ""), body.decode("utf-8", "ignore")))
-                    size += len(body)
-                    if size > WARC_BATCH:
-                        yield pack(rows)
-                        rows, size = [], 0
-                yield pack(rows)
-
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.string()) for k in range(3)], ["id", "url", "html"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id string, url string, html string")
 
-
-def write_warc(pages: DataFrame, path: str) -> None:
-    """pages (id, url, html) as plain WARC files of HTTP responses below path."""
+def write_warc(pages: DataFrame, path: str, gzipped: bool = False) -> None:
+    """pages (id, url, html) as WARC files of HTTP responses below path, plain or, added to it, gzipped by record."""
+    if gzipped:
+        pages.sparkSession.dataSource.register(warc.WarcSource)
+        pages.select("id", "url", F.lit("response").alias("type"), "html").write.format("warc").mode("append").save(path)
+        return
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"), F.coalesce("html", F.lit("")))
     head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: "), F.coalesce("id", F.lit("")), F.lit("\r\nWARC-Target-URI: "), F.coalesce("url", F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(http).cast("string"))
     pages.select(F.concat(head, F.lit("\r\n\r\n"), http).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
@@ -168,8 +127,27 @@ def latency_export(results: DataFrame) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows without replacement, all if there are fewer; the same at every run."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    """n rows without replacement, all if there are fewer; the same at every run: those whose hashes are smallest, then keys.
+
+    Rows are counted by the first 16 bits of their hashes. Whole ranges below the one in which the n-th row lies are taken as
+    they are; only the rows of that range are put in order, over range partitions, as one key may have any share of all rows.
+    """
+    hashed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    place = F.substring(hashed, 1, 4)
+    counts = df.groupBy(place.alias("place")).agg(F.count("*").alias("n")).orderBy("place").collect()  # 65,536 rows at most
+    before, cut = 0, None
+    for r in counts:
+        if before + r["n"] > n:
+            cut = r["place"]
+            break
+        before += r["n"]
+    if cut is None:
+        return df
+    whole = df.where(place < cut)
+    if before == n:
+        return whole
+    last = global_row_number(df.where(place == cut), [hashed.asc(), F.col(key).asc()], "__rn")
+    return whole.unionByName(last.where(F.col("__rn") <= n - before).drop("__rn"))
 
 
 def synthetic_documents(spark: SparkSession, n: int, words: list[str], seed: int = 42) -> DataFrame:
