@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvid.functions import chunking
 from corvid.functions import text as tx
 from corvid.operators import kv, lexical, serving, stats, vector
 from corvid.plans import harness, search
@@ -108,9 +109,27 @@ def read_runs(spark: SparkSession, d: str) -> DataFrame:
         more = [] if old else [(F.col("n_nationkey") / 2.0).alias("peak_rss_mb")]
         run = F.to_json(F.struct(F.col("n_name").alias("corpus"), F.col("n_nationkey").alias("size"), (F.col("n_nationkey") * 1.5).alias("qps"), *more))
         files = rows.groupBy("n_regionkey").agg(F.concat(F.lit("["), F.array_join(F.collect_list(run), ",\n"), F.lit("]")).alias("value"))
-        files.select("n_regionkey", "value").write.mode("append").partitionBy("n_regionkey").option("maxRecordsPerFile", 1).text(f"{path}/corpus-{old}")
-    found = spark.read.schema(readers.RUN).option("multiLine", True).option("recursiveFileLookup", True).json(path)
-    return found.select("corpus", "size", "peak_rss_mb", "qps")
+        files.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/corpus-{old}")
+    return readers.read_runs(spark, path, "*.txt").select("corpus", "size", "peak_rss_mb", "qps")
+
+
+@query("SELECT o_orderpriority AS benchmark, CASE WHEN o_orderpriority LIKE '1%' THEN max(o_totalprice) WHEN o_orderpriority LIKE '2%' THEN min(o_totalprice) ELSE 0 END::DOUBLE AS p50_ms, CASE WHEN o_orderpriority LIKE '3%' THEN max(o_totalprice) ELSE min(o_totalprice) END::DOUBLE AS p95_ms, 0::DOUBLE AS p99_ms FROM orders GROUP BY o_orderpriority")
+def latency_export(spark: SparkSession, d: str) -> DataFrame:
+    """Results that lack some kinds of latency: null, 0, or the column as a whole."""
+    first = lambda n: F.col("o_orderpriority").startswith(n)
+    most, least = F.max("o_totalprice").cast("double"), F.min("o_totalprice").cast("double")
+    rows = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("benchmark"), first("1").alias("a"), first("2").alias("b"), first("3").alias("c")).agg(most.alias("most"), least.alias("least"))
+    return readers.latency_export(rows.select("benchmark", F.when(F.col("a"), F.col("most")).alias("attach_p50_ms"), F.when(F.col("b"), F.col("least")).otherwise(0.0).alias("build_p50_ms"), F.when(F.col("c"), F.col("most")).otherwise(0.0).alias("search_p95_ms"), F.col("least").alias("batch_p95_ms")))
+
+
+@query("SELECT o_orderkey, CASE WHEN k = 0 THEN n * 1000 WHEN k = 1 THEN n * 1000000 WHEN k = 2 THEN n ELSE NULL END::BIGINT AS size, CASE WHEN k = 3 THEN NULL ELSE n END::BIGINT AS trailing, CASE WHEN z >= 0 THEN 2 * z ELSE -2 * z - 1 END::BIGINT AS zigzag, z::BIGINT AS z FROM (SELECT o_orderkey, o_orderkey % 4 AS k, o_orderkey % 977 AS n, (o_orderkey % 2001 - 1000) * 1000003 AS z FROM orders)")
+def numbers_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes such as 10k, numbers at the end of names, and zigzag numbers with their way back."""
+    n, k = (F.col("o_orderkey") % 977).cast("string"), F.col("o_orderkey") % 4
+    size = F.when(k == 0, F.concat(n, F.lit("K"))).when(k == 1, F.concat(F.lit(" "), n, F.lit("m"))).when(k == 2, n).otherwise("many")
+    name = F.when(k == 3, F.concat(F.lit("doc_"), n, F.lit("x"))).otherwise(F.concat(F.lit("a_doc_"), n))
+    zig = tx.zigzag(((F.col("o_orderkey") % 2001 - 1000) * 1000003).cast("long"))
+    return table(spark, d, "orders").select("o_orderkey", tx.parse_size(size).alias("size"), tx.trailing_id(name).alias("trailing"), zig.alias("zigzag"), tx.unzigzag(zig).alias("z"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)), 4) AS square FROM embeddings")
@@ -182,6 +201,18 @@ def chunk_token_ids(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.posexplode(tx.id_chunks(F.col("text"), 128, 16)).alias("chunk_idx", "chunk"))
 
 
+@query(f"SELECT doc_id, (i // 112)::INTEGER AS chunk_idx, array_to_string(list_filter(list_slice(w, i + 1, i + 128), lambda x: x <> ''), ' ') AS chunk FROM (SELECT doc_id, {_TOKENS} AS w, unnest(range(0, len({_TOKENS}), 112)) AS i FROM documents)")
+def chunk_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """As chunk_token_ids, by the table function that takes any tokenizer."""
+    return chunking.chunk_by(table(spark, d, "documents"), chunking.compat, 128, 16).select("doc_id", "chunk_idx", "chunk")
+
+
+@query()
+def chunk_byte_pairs(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    """Pieces of 512 tokens of a byte-pair vocabulary."""
+    return chunking.chunk_by(table(spark, d, "documents"), chunking.byte_pairs(vocabulary))
+
+
 @query("SELECT doc_id || '_chunk_' || (i // 462) AS id, substring(text, i + 1, 512) AS text, lang, (i // 462)::VARCHAR AS chunk_idx, ((length(text) + 461) // 462)::VARCHAR AS total_chunks FROM (SELECT *, unnest(range(0, length(text), 462)) AS i FROM documents)")
 def chunk_documents_meta(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("lang"), F.col("lang")).alias("meta"))

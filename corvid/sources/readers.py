@@ -106,9 +106,9 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("vec_id bigint, embedding array<float>").parquet(path).where("embedding is not null")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Benchmark runs from JSON arrays in files below path, with the file each is from; columns that older files lack are null."""
-    return spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).withColumn("file", F.col("_metadata.file_path"))
+def read_runs(spark: SparkSession, path: str, names: str = "*.json") -> DataFrame:
+    """Benchmark runs from JSON arrays in files of such names below path, with the file each is from; columns that older files lack are null."""
+    return spark.read.schema(RUN).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", names).json(path).withColumn("file", F.col("_metadata.file_path"))
 
 
 def union_schemas(*tables: DataFrame) -> DataFrame:
