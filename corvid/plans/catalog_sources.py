@@ -12,7 +12,7 @@ from corvid.plans import harness, search
 from corvid.plans.catalog import _KNN, _KNOWN, _POSTINGS, _W, _bm25_sql, _queries, _vectors
 from corvid.plans.register import query
 from corvid.plans.scratch import scratch_path, table, written
-from corvid.sources import readers, sinks
+from corvid.sources import postings, readers, sinks
 from corvid.sources import vector_index as stored
 
 # --- readers ---
@@ -187,10 +187,7 @@ def term_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_POSTINGS} SELECT term, block, count(*) AS n, sum(gap)::BIGINT AS gaps, sum(1 + (gap >= 128)::INT + (gap >= 16384)::INT + (gap >= 2097152)::INT + (gap >= 268435456)::INT)::BIGINT AS bytes FROM g GROUP BY term, block")
 def postings_varint(spark: SparkSession, d: str) -> DataFrame:
     """Gaps of each postings block as varint bytes, decoded again; a block is bounded, so its bytes are too."""
-    lists = lexical.postings(table(spark, d, "documents"))
-    coded = lists.groupBy("term", "block").agg(F.collect_list(F.hex(tx.varint_encode(F.col("gap")))).alias("x")).select("term", "block", F.unhex(F.array_join("x", "")).alias("data"))
-    back = coded.select("term", "block", F.octet_length("data").cast("long").alias("bytes"), F.explode(F.array(tx.varint_decode(F.col("data")))).alias("g"))
-    return back.select("term", "block", F.size("g").cast("long").alias("n"), F.aggregate("g", F.lit(0).cast("long"), lambda s, x: s + x).alias("gaps"), "bytes")
+    return postings.decoded_gaps(postings.coded_gaps(lexical.postings(table(spark, d, "documents"))))
 
 
 _TOKENS = f"flatten(list_transform({_W}, lambda w: CASE WHEN w IN {_KNOWN} THEN [w] ELSE list_transform(range(length(w)), lambda i: '') END))"

@@ -41,15 +41,74 @@ def varints(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(out.tobytes())])
 
 
-def from_varints(data: bytes) -> np.ndarray:
+def from_varints(data: bytes | np.ndarray) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
-    last = raw < 128
-    of = np.concatenate(([0], np.cumsum(last)[:-1])) if len(raw) else np.zeros(0, np.int64)
-    start = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1)) if len(raw) else np.zeros(0, np.int64)
-    shift = (np.arange(len(raw)) - start[of]) * 7 if len(raw) else of
-    out = np.zeros(int(last.sum()), np.int64)
-    np.add.at(out, of, (raw & 127).astype(np.int64) << shift)
-    return out
+    ends = np.flatnonzero(raw < 128) + 1
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    starts = np.concatenate(([0], ends[:-1]))
+    raw = raw[: ends[-1]]
+    shift = (np.arange(len(raw)) - np.repeat(starts, ends - starts)) * 7
+    return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
+
+
+def coded_gaps(lists: DataFrame) -> DataFrame:
+    """(term, block, data): the gaps of each postings block (term, block, doc_id, gap) as varints; a block is one row of BLOCK
+    gaps at most."""
+
+    def coded(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        codes = t.column("term").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block = np.asarray(t.column("block"))
+        first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (block[1:] != block[:-1]))))
+        data = varints(np.asarray(t.column("gap"), np.int64), np.append(first[1:], len(codes)))
+        return pa.RecordBatch.from_arrays([t.column("term").combine_chunks().take(pa.array(first)), pa.array(block[first]), data], ["term", "block", "data"])
+
+    return lists.select("term", "block", "doc_id", "gap").sortWithinPartitions("term", "block", "doc_id").mapInArrow(lambda batches: (coded(t) for t in _whole(batches)), "term string, block bigint, data binary")
+
+
+def decoded_gaps(rows: DataFrame) -> DataFrame:
+    """(term, block, n, gaps, bytes) of coded_gaps' rows: how many gaps stand in the bytes, and their sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(pc.binary_length(b.column("data")), np.int64)
+            upto, at = np.cumsum(sizes), 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 20), "right")))
+                part, here, at = b.slice(at, to - at), sizes[at:to], to
+                raw = np.frombuffer(b"".join(part.column("data").to_pylist()), np.uint8)
+                ends = np.cumsum(here)
+                upto_n = np.concatenate(([0], np.cumsum(raw < 128)))[np.concatenate(([0], ends))]
+                sums = np.concatenate(([0], np.cumsum(from_varints(raw))))[upto_n]
+                yield pa.RecordBatch.from_arrays([part.column("term"), part.column("block"), pa.array(np.diff(upto_n)), pa.array(np.diff(sums)), pa.array(here)], ["term", "block", "n", "gaps", "bytes"])
+
+    return rows.select("term", "block", "data").mapInArrow(run, "term string, block bigint, n bigint, gaps bigint, bytes bigint")
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole (term, block) groups, from rows in that order."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        last = b.slice(b.num_rows - 1).to_pylist()[0]
+        here = np.asarray(pc.and_(pc.equal(b.column("term"), last["term"]), pc.equal(b.column("block"), last["block"])))
+        other = np.flatnonzero(~here)
+        if len(other):
+            cut = int(other[-1]) + 1
+        else:
+            first = held[0].slice(0, 1).to_pylist()[0] if held else last
+            cut = 0
+            if (first["term"], first["block"]) != (last["term"], last["block"]):
+                yield pa.Table.from_batches(held)
+                held = []
+        if cut:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, b = [], b.slice(cut)
+        held.append(b)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _points(seg: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray, n: np.ndarray) -> pa.Array:
@@ -94,20 +153,8 @@ def encode(tf: DataFrame, buckets: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            last = t.slice(t.num_rows - 1).to_pylist()[0]
-            here = np.flatnonzero(~np.asarray(pc.and_(pc.equal(t.column("term"), last["term"]), pc.equal(t.column("block"), last["block"]))))
-            cut = int(here[-1]) + 1 if len(here) else 0
-            if cut:
-                yield _rows(t.slice(0, cut))
-                held = t.slice(cut).to_batches()
-        if held:
-            yield _rows(pa.Table.from_batches(held))
+        for t in _whole(batches):
+            yield _rows(t)
 
     rows = tf.select(bucket_of(buckets), "term", F.floor(F.col("doc_id") / BLOCK).cast("long").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("term", "block", "doc_id").drop("bucket")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvid.functions import text as tx
 from corvid.operators import lexical
 from corvid.plans.scratch import written
 from corvid.sources import postings, sinks
@@ -134,3 +135,19 @@ def test_a_stream_keeps_the_index(spark, docs, queries, tmp_path):
     first = docs.where("pmod(doc_id, 3) = 0")
     processors.index_batch(path)(first, 0)  # as after a failure between the batch's end and its commit
     assert sinks._corpus_rows(spark, path).count() == 4
+
+
+def test_gaps_of_long_and_short_blocks_are_coded_and_decoded(spark):
+    """A word of all documents has blocks of 65,536 gaps, each longer than an Arrow batch."""
+    docs = spark.range(140_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("all x"), (F.col("id") % 30_000).cast("string")).alias("text"))
+    lists = lexical.postings(docs).cache()
+    got = {(r["term"], r["block"]): (r["n"], r["gaps"], r["bytes"]) for r in postings.decoded_gaps(postings.coded_gaps(lists)).collect()}
+    want = lists.groupBy("term", "block").agg(F.count("*").alias("n"), F.sum("gap").alias("gaps"), F.sum(tx.varint_bytes(F.col("gap"))).alias("bytes")).collect()
+    assert got == {(r["term"], r["block"]): (r["n"], r["gaps"], r["bytes"]) for r in want} and got["all", 0] == (65_536, 65_535, 65_536)
+    assert postings.from_varints(b"").tolist() == [] and postings.from_varints(b"\x80").tolist() == [] and postings.from_varints(b"\x05\xac\x02").tolist() == [5, 300]
+
+
+def test_a_task_of_postings_does_not_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "TASK_TEXT", 1000)
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("w"), F.col("id").cast("string"), F.lit(" ")), 20).alias("text"))
+    assert lexical.postings(docs).rdd.getNumPartitions() > 40
