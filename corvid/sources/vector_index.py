@@ -223,5 +223,5 @@ def search_vectors(spark: SparkSession, path: str, queries: DataFrame, k: int =
     placed = rows.join(parts, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("side"), F.col("vec_id").alias("id"), doubles)
     asked = queries.join(probes, "query_id").join(parts, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), F.col("query_id").alias("id"), doubles)
     both = placed.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "id")
-    near = both.mapInArrow(vector._search(k, with_self), "query_id bigint, vec_id bigint, distance double")
+    near = both.mapInArrow(vector.search_parts(k, with_self), "query_id bigint, vec_id bigint, distance double")
     return top_k(near, ["query_id"], [F.asc("distance"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "distance")

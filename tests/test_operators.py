@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -129,6 +130,21 @@ def test_sketch_counts_exactly_where_all_cells_are_shared(spark):
     assert sketch.exact(items.limit(0), "item").count() == 0
 
 
+@pytest.mark.parametrize("held", [7, 1 << 20])
+def test_nearest_holds_a_bounded_block_and_breaks_ties_by_id(monkeypatch, held):
+    """Rounded distances tie where squares differ in their last places."""
+    monkeypatch.setattr(vector, "HELD", held)
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 3, (60, 2)) + rng.normal(size=(60, 2)) * 1e-9
+    ids = rng.permutation(60)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(v.ravel()), 2)], ["vec_id", "embedding"])
+    out = list(vector._nearest(ids, v, 5, False)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 5 * max(1, held // 60)
+    got = sorted((r["query_id"], r["distance"], r["vec_id"]) for b in out for r in b.to_pylist())
+    d = vector.distances(v, v)
+    assert got == sorted(x for i in range(60) for x in sorted((ids[i], d[i, j], ids[j]) for j in range(60) if j != i)[:5])
+
+
 def test_sketch_never_counts_too_little(spark):
     rows = [(i % 97,) for i in range(3000)]
     items = spark.createDataFrame(rows, "item bigint")
