@@ -65,6 +65,24 @@ def test_vectors_without_structure(spark, monkeypatch):
     assert lowest(v, links, 1200, 10) >= 0.9
 
 
+def test_layers_linked_exactly_hold_each_nearest_neighbour(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(900, 32))
+    _, _, rows = built(spark, x, monkeypatch, 64)
+    links = {(r["vec_id"], r["neighbour"]) for r in rows if r["layer"] == 0}
+    y = np.float32(x).astype(float)
+    d = ((y[:, None] - y[None]) ** 2).sum(2) + np.diag([np.inf] * len(y))
+    assert all((i, int(j)) in links for i, j in enumerate(d.argmin(1)))
+
+
+def test_batches_are_inserted_along_links(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EXACT", 200)
+    rng = np.random.default_rng(9)
+    x = (40 * rng.normal(size=(8, 16)))[np.arange(1000) % 8] + rng.normal(size=(1000, 16))
+    v, links, _ = built(spark, x, monkeypatch, 64)
+    assert {(r["n_over"], r["n_components"]) for r in graph.graph_stats(links).collect()} == {(0, 1)}
+    assert lowest(v, links, 1000, 10) >= 0.9
+
+
 def test_equal_vectors_are_one_component(spark, monkeypatch):
     x = np.concatenate([np.zeros((150, 4)), np.random.default_rng(7).normal(size=(50, 4))])
     _, links, rows = built(spark, x, monkeypatch, 16, m=6)
