@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.operators import fusion, lexical, sketch, vector
+from corvid.plans.scratch import written
 
 RESULTS = "key string, rank int, doc_id bigint, score double"
 
@@ -25,10 +26,17 @@ def result_key(k: int, weight: float) -> Column:
 
 
 def hybrid_kept(docs: DataFrame, vectors: DataFrame, queries: DataFrame, kept: DataFrame, k: int = 10, weight: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """Results of queries, from kept (RESULTS) where it has them; and the rows to add to kept."""
+    """Results of queries, from kept (RESULTS) where it has them; and the rows to add to kept, which are written.
+
+    The corpus is searched once, for new queries alone, and isn't read if there are none.
+    """
     keyed = queries.withColumn("key", result_key(k, weight))
-    new = keyed.join(kept.select("key").distinct(), "key", "left_anti").dropDuplicates(["key"])
-    fresh = hybrid(docs, vectors, new.select("query_id", "text", "embedding"), k, weight).join(new.select("query_id", "key"), "query_id").select("key", "rank", "doc_id", "score")
+    new = written(keyed.join(kept.select("key").distinct(), "key", "left_anti").dropDuplicates(["key"]), "new")
+    if new.isEmpty():
+        fresh = docs.sparkSession.createDataFrame([], RESULTS)
+    else:
+        found = hybrid(docs, vectors, new.select("query_id", "text", "embedding"), k, weight)
+        fresh = written(found.join(new.select("query_id", "key"), "query_id").select("key", "rank", "doc_id", "score"), "fresh")
     return keyed.select("query_id", "key").join(kept.unionByName(fresh), "key").select("query_id", "rank", "doc_id", "score"), fresh
 
 

@@ -114,3 +114,13 @@ def test_codecs_pages_and_admission(spark):
     gate = serving.Admission(qps=0.2, token_rate=100.0, seconds=10.0)
     gate.record(0.0, 5)
     assert gate.ask(1.0, 5) == "admitted" and gate.ask(2.0, 5) == "qps" and gate.tokens == 10
+
+
+def test_kept_results_are_given_without_reading_the_corpus(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "quick dog"), (1, "slow cat")], "doc_id bigint, text string")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id bigint, embedding array<float>")
+    asked = spark.createDataFrame([(5, "dog", [1.0, 0.0])], "query_id bigint, text string, embedding array<float>")
+    first, add = search.hybrid_kept(docs, vectors, asked, spark.createDataFrame([], search.RESULTS))
+    monkeypatch.setattr(search, "hybrid", lambda *_: pytest.fail("searched again"))
+    again, more = search.hybrid_kept(docs, vectors, asked, add)
+    assert sorted(again.collect()) == sorted(first.collect()) != [] and not more.count()
