@@ -31,7 +31,7 @@ SHARED, LONGER = 20, 35
 BLOCK_ROWS, BLOCK_TOKENS = 2048, 1 << 20
 LEAF, FAN = 8, 8
 #: Bytes of texts that a worker hashes at once: its memory grows with them.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 

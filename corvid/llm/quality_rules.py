@@ -20,6 +20,8 @@ from corvid.llm.shared import content_key, in_slices, table, utf8, window_hashes
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _WORD = ~np.isin(np.arange(256), [32, *range(9, 14)])
+#: Bytes of texts that a worker looks at at once: its memory grows with them.
+SLICE = 1 << 18
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
 
 
@@ -55,7 +57,7 @@ def _lines(text: bytes) -> tuple[int, list[dict]]:
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
-    for b in in_slices(batches, "text"):
+    for b in in_slices(batches, "text", SLICE):
         texts = utf8(b, "text")
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         ends = np.cumsum([len(t) + 1 for t in texts])
@@ -130,7 +132,7 @@ def apply_quality(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
         return "\n".join(x for x in text.split("\n") if not x.strip(" \t\n\v\f\r") or line_hash(x.encode()) not in bad)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in in_slices(batches, "text"):
+        for b in in_slices(batches, "text", SLICE):
             at = b.schema.get_field_index("text")
             *arrays, gone = b.columns
             arrays[at] = pa.array([clean(t, g) for t, g in zip(b.column("text").to_pylist(), gone.to_pylist(), strict=True)], arrays[at].type)
