@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,7 @@ COMPAT_WORDS = (
 ).split()
 SPECIAL = ("<pad>", "<unk>", "<bos>", "<eos>")
 WHITE = r"[ \t\n\r\f]+"
+_IN_WORDS = ~np.isin(np.arange(256), np.frombuffer(b" \t\n\r\f", np.uint8))
 
 
 def words(text: Column) -> Column:
@@ -18,6 +22,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE), lambda w: w != "")
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words() in a task, of texts that are lower-case and not null: the words of all, and how many each text has."""
+    if not len(texts):
+        return pa.array([], pa.string()), np.zeros(0, np.int64)
+    texts = texts.cast(pa.string())
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    inside = _IN_WORDS[raw]  # white space is one byte in UTF-8, and no part of another character
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(raw)]
+    first[begins] = inside[begins]
+    upto = np.concatenate(([0], np.cumsum(inside, dtype=np.int32)))
+    offsets = np.append(upto[:-1][first], upto[-1]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])])
+    return found, np.diff(np.concatenate(([0], np.cumsum(first)))[ends])
+
+
+def slices(texts: pa.Array, size: int) -> list[tuple[int, int]]:
+    """(start, length) of consecutive rows of about so many bytes; a longer text is alone."""
+    sizes, out, at = np.cumsum(np.asarray(pc.binary_length(texts), np.int64)), [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + size, "right")))
+        out.append((at, to - at))
+        at = to
+    return out
+
+
 def known(word: Column) -> Column:
     return word.isin(COMPAT_WORDS)
 
