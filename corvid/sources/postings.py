@@ -15,11 +15,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvid.functions.text import slices, split_words
 from corvid.operators.lexical import BLOCK, RANGE_BITS
 
+#: Bytes of texts of which a task makes runs at once, and what a run holds: a row of some documents, not yet of the whole block.
+CUT = 4 << 20
+RUN = "term string, block bigint, n bigint, ids binary, tfs binary, dls binary"
+#: Parts into which a bucket's terms are dealt, so that few blocks keep all cores busy.
+PARTS = 4
 #: Rows of fewer postings carry no points and no first and last id: they are decoded to know their parts.
 LONG = 64
-ROW = "term string, block bigint, n bigint, first_id bigint, last_id bigint, ids binary, tfs binary, dls binary, points array<struct<range:bigint,tf:bigint,dl:bigint>>"
+ROW = "term string, block bigint, n bigint, first_id bigint, last_id bigint, ids binary, tfs binary, dls binary, points array<struct<range:bigint,tf:bigint,dl:bigint>>, tokens bigint"
 _POINT = pa.struct([("range", pa.int64()), ("tf", pa.int64()), ("dl", pa.int64())])
 
 
@@ -52,6 +58,12 @@ def from_varints(data: bytes | np.ndarray) -> np.ndarray:
     return np.add.reduceat((raw & 127).astype(np.int64) << shift, starts)
 
 
+def _bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column, one value after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
 def coded_gaps(lists: DataFrame) -> DataFrame:
     """(term, block, data): the gaps of each postings block (term, block, doc_id, gap) as varints; a block is one row of BLOCK
     gaps at most."""
@@ -130,20 +142,22 @@ def _points(seg: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray, n:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32), pa.int32(), mask=np.concatenate((~long, [False]))), values)
 
 
-def _rows(t: pa.Table) -> pa.RecordBatch:
-    """Rows for whole (term, block) groups of a sorted table."""
-    t = t.combine_chunks()
-    term, block, doc, tf, dl = (t.column(c) for c in ("term", "block", "doc_id", "tf", "dl"))
-    codes = term.dictionary_encode().combine_chunks().indices.to_numpy(zero_copy_only=False)
-    b, doc, tf, dl = (np.asarray(x).astype(np.int64) for x in (block, doc, tf, dl))
-    first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (b[1:] != b[:-1]))))
-    ends = np.append(first[1:], len(doc))
-    n = ends - first
-    seg = np.repeat(np.arange(len(first)), n)
+def _runs(term: pa.Array, codes: np.ndarray, block: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Where each (term, block) of sorted postings begins, and the columns of RUN; codes number the terms."""
+    first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (block[1:] != block[:-1])))[: len(doc)])
+    ends = np.append(first[1:], len(doc))[: len(first)]
     gap = np.diff(doc, prepend=0)
-    gap[first] = doc[first] - b[first] * BLOCK
-    columns = [term.take(pa.array(first)).combine_chunks(), pa.array(b[first]), pa.array(n), pa.array(doc[first], mask=n < LONG), pa.array(doc[ends - 1], mask=n < LONG)]
-    return pa.RecordBatch.from_arrays([*columns, varints(gap, ends), varints(tf, ends), varints(dl, ends), _points(seg, doc, tf, dl, n)], [x.split(" ")[0] for x in ROW.split(", ")])
+    gap[first] = doc[first] - block[first] * BLOCK
+    return first, [term.take(pa.array(codes[first])), pa.array(block[first]), pa.array(ends - first), varints(gap, ends), varints(tf, ends), varints(dl, ends)]
+
+
+def _rows(term: pa.Array, codes: np.ndarray, block: np.ndarray, doc: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> pa.RecordBatch:
+    """Rows for whole (term, block) groups of sorted postings."""
+    first, (terms, blocks, sizes, ids, tfs, dls) = _runs(term, codes, block, doc, tf, dl)
+    n = np.asarray(sizes)
+    ids_at = [pa.array(doc[at], mask=n < LONG) for at in (first, first + n - 1)]
+    tokens = pa.array(np.add.reduceat(tf, first) if len(first) else tf)
+    return pa.RecordBatch.from_arrays([terms, blocks, sizes, *ids_at, ids, tfs, dls, _points(np.repeat(np.arange(len(first)), n), doc, tf, dl, n), tokens], [x.split(" ")[0] for x in ROW.split(", ")])
 
 
 def encode(tf: DataFrame, buckets: int) -> DataFrame:
@@ -154,13 +168,73 @@ def encode(tf: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole(batches):
-            yield _rows(t)
+            t = t.combine_chunks()
+            term = t.column("term").combine_chunks().dictionary_encode()
+            yield _rows(term.dictionary, *(np.asarray(x, np.int64) for x in (term.indices, *(t.column(c) for c in ("block", "doc_id", "tf", "dl")))))
 
     rows = tf.select(bucket_of(buckets), "term", F.floor(F.col("doc_id") / BLOCK).cast("long").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tf").cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
     dealt = rows.repartition("bucket", "block").sortWithinPartitions("term", "block", "doc_id").drop("bucket")
     return dealt.mapInArrow(run, ROW).withColumn("bucket", bucket_of(buckets))
 
 
+def encode_texts(docs: DataFrame, buckets: int) -> DataFrame:
+    """encode() of the words of docs (doc_id, text): rows with one doc_id and length count as one document.
+
+    It is the runs of text_runs() that are shuffled and sorted, and not postings. A task decodes whole blocks of them, of some
+    2 * BLOCK postings at once.
+    """
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches):
+            t = t.combine_chunks()
+            term, block, n = t.column("term").combine_chunks().dictionary_encode(), np.asarray(t.column("block")), np.asarray(t.column("n"))
+            code = np.asarray(term.indices, np.int64)
+            first = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (block[1:] != block[:-1]))))
+            ends, upto, at = np.append(first[1:], len(n)), np.cumsum(n), 0
+            while at < len(n):
+                fit = int(np.searchsorted(upto[ends - 1], (upto[at - 1] if at else 0) + 2 * BLOCK, "right"))
+                to = int(ends[max(fit - 1, int(np.searchsorted(ends, at, "right")))])
+                gap, tf, dl = (from_varints(_bytes(t.column(c).combine_chunks().slice(at, to - at))) for c in ("ids", "tfs", "dls"))
+                sizes = n[at:to]
+                sums = np.concatenate(([0], np.cumsum(gap)))
+                begins = np.cumsum(sizes) - sizes
+                b, c = np.repeat(block[at:to], sizes), np.repeat(code[at:to], sizes)
+                doc = sums[1:] - np.repeat(sums[begins], sizes) + b * BLOCK
+                group = np.repeat(np.searchsorted(first, np.arange(at, to), "right"), sizes)
+                order = np.lexsort((dl, doc, group))
+                b, c, doc, tf, dl, group = (x[order] for x in (b, c, doc, tf, dl, group))
+                new = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (doc[1:] != doc[:-1]) | (dl[1:] != dl[:-1]))))
+                yield _rows(term.dictionary, c[new], b[new], doc[new], np.add.reduceat(tf, new), dl[new])
+                at = to
+
+    part = F.pmod(F.shiftright(F.xxhash64("term"), 32), F.lit(PARTS))
+    dealt = text_runs(docs).repartition(bucket_of(buckets), F.col("block"), part).sortWithinPartitions("term", "block")
+    return dealt.mapInArrow(merge, ROW).withColumn("bucket", bucket_of(buckets))
+
+
+def text_runs(docs: DataFrame) -> DataFrame:
+    """Rows of RUN: of each CUT bytes of texts that a task reads, the postings of a term and block."""
+
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.column("doc_id").null_count:
+                raise ValueError("a document of an index has a doc_id")
+            for at, n in slices(batch.column("text"), CUT):
+                here = batch.slice(at, n)
+                found, dl = split_words(here.column("text"))
+                ids = np.asarray(here.column("doc_id"), np.int64)
+                order = np.argsort(ids, kind="stable")
+                place = np.empty(n, np.int64)
+                place[order] = np.arange(n)
+                term = found.dictionary_encode()
+                key, tf = np.unique(np.asarray(term.indices, np.int64) * n + np.repeat(place, dl), return_counts=True)
+                doc = ids[order][key % n]
+                yield pa.RecordBatch.from_arrays(_runs(term.dictionary, key // n, doc // BLOCK, doc, tf, dl[order][key % n])[1], RUN.replace(",", "").split(" ")[::2])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return texts.mapInArrow(invert, RUN)
+
+
 def bucket_of(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 

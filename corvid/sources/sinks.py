@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions.text import words
 from corvid.operators import lexical
-from corvid.plans.scratch import written
+from corvid.plans.scratch import sparing, written
 from corvid.sources import postings
 
 BLOCK_BITS = lexical.BLOCK.bit_length() - 1
@@ -43,12 +43,12 @@ def append_index(docs: DataFrame, path: str, batch: str | None = None) -> None:
 def _put(docs: DataFrame, path: str, buckets: int, batch: str) -> None:
     if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
         raise ValueError(f"a batch's name is made of letters, digits and dashes: {batch!r}")
-    length = F.size(words(F.col("text"))).cast("long")
-    once = docs.select("doc_id", F.explode(F.array(F.struct(length.alias("dl"), words(F.col("text")).alias("terms")))).alias("x"))
-    tf = once.select("doc_id", "x.dl", F.explode("x.terms").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     out = lambda df: df.write.mode("overwrite").option("compression", "zstd")
-    out(postings.encode(tf, buckets)).partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    sizes = docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(length), F.lit(0)).alias("total_tokens"), F.lit(buckets).alias("buckets"))
+    rows = f"{path}/postings/batch={batch}"
+    with sparing(docs.sparkSession):
+        out(postings.encode_texts(docs, buckets)).partitionBy("bucket").parquet(rows)
+    tokens = docs.sparkSession.read.schema(postings.ROW).parquet(rows).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"))
+    sizes = docs.agg(F.count("*").alias("n_docs")).crossJoin(tokens).select("n_docs", "total_tokens", F.lit(buckets).alias("buckets"))
     out(sizes.coalesce(1)).parquet(f"{path}/corpus/batch={batch}")
 
 
